@@ -35,22 +35,18 @@ def _lcs_long(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
-def _codes(strings: list[str], width: int) -> np.ndarray:
-    """Code points of each string in a row of ``width`` cells, padded with -1."""
-    out = np.full((len(strings), width), -1, dtype=np.int64)
-    for i, s in enumerate(strings):
-        if s:
-            out[i, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return out
+def _codes(strings: list[str]) -> np.ndarray:
+    """Code points of each string in one row, padded with zeros."""
+    width = max(1, max(map(len, strings), default=1))
+    return np.array(strings, dtype=f"U{width}").view(np.uint32).reshape(len(strings), width)
 
 
 def _lcs_chunk(short: list[str], long: list[str]) -> np.ndarray:
     sizes = np.array([len(s) for s in short], dtype=np.uint64)
-    a = _codes(short, int(sizes.max(initial=0)))
-    b = _codes(long, max((len(s) for s in long), default=0))
-    alphabet = np.unique(np.concatenate([a.ravel(), b.ravel(), [-1]]))
+    a, b = _codes(short), _codes(long)
+    alphabet = np.unique(np.concatenate([a.ravel(), b.ravel(), np.zeros(1, dtype=np.uint32)]))
     a, b = np.searchsorted(alphabet, a), np.searchsorted(alphabet, b)
-    pad = 0  # -1 sorts first
+    pad = 0  # the zero code sorts first
     rows = np.arange(len(short))
     masks = np.zeros((len(short), len(alphabet)), dtype=np.uint64)
     for i in range(a.shape[1]):
@@ -69,7 +65,7 @@ def lcs(a: list[str], b: list[str]) -> np.ndarray:
     out = np.zeros(len(a), dtype=np.int64)
     order = []
     for i, (x, y) in enumerate(zip(a, b)):
-        if min(len(x), len(y)) > 64:
+        if min(len(x), len(y)) > 64 or "\0" in x or "\0" in y:
             out[i] = _lcs_long(x, y)
         elif x and y:
             order.append(i)

@@ -11,7 +11,7 @@ from ..functions.text import quoted, text_of
 from .ordering import with_position
 
 # Pages that end before this row are taken from a top-k; deeper ones by position.
-TOP_ROWS = 100_000
+TOP_ROWS = 20_000
 
 
 def search(df: DataFrame, q: str, column: str | None = None) -> DataFrame:

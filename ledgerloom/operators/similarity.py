@@ -9,6 +9,7 @@ carry the number of rows on each side.
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +39,24 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 # ---------------------------------------------------------------- signatures
 
 
+def _bits(grams: Column, seed: str) -> Column:
+    """64-bit map of a gram set. A bit set on one side only means a gram on one side only."""
+    one = F.lit(1).cast("long")
+    place = lambda g: F.pmod(F.xxhash64(F.lit(seed), g), F.lit(64)).cast("int")
+    return F.aggregate(grams, F.lit(0).cast("long"), lambda acc, g: acc.bitwiseOR(F.call_function("shiftleft", one, place(g))))
+
+
+# Letters with a bit of their own; none is shared, so equal bits mean equal letters.
+_LETTERS = string.ascii_lowercase + string.ascii_uppercase + string.digits + " "
+
+
+def _own_bit(g: Column) -> Column:
+    place = F.call_function("locate", g, F.lit(_LETTERS))
+    return F.when(place > 0, F.call_function("shiftleft", F.lit(1).cast("long"), place - 1)).otherwise(F.lit(0).cast("long"))
+
+
 def _signature(values: DataFrame) -> DataFrame:
-    """Words, within-word letter pairs, letters and lengths of each value."""
+    """Words, within-word letter pairs, letters, lengths and bit maps of each value."""
     words = F.filter(F.split(F.col("v"), r"(?U)\s+"), lambda w: w != "")
     pairs = F.flatten(F.transform(
         F.col("words"),
@@ -53,13 +70,16 @@ def _signature(values: DataFrame) -> DataFrame:
     def joined(ws: Column) -> Column:
         return F.aggregate(ws, F.lit(0), lambda acc, w: acc + F.length(w) + 1) - F.when(F.size(ws) > 0, 1).otherwise(0)
 
-    return (
-        values.select("k", "v", F.length("v").alias("m"), words.alias("words"))
+    sets = (
+        values.select("k", F.length("v").alias("m"), letters.alias("letters"), words.alias("words"))
         .withColumn("uwords", F.array_distinct("words"))
-        .select(
-            "k", "m", joined(F.col("words")).alias("ms"), joined(F.col("uwords")).alias("mt"),
-            F.col("uwords").alias("words"), F.array_distinct(pairs).alias("pairs"), letters.alias("letters"),
-        )
+        .withColumn("pairs", F.array_distinct(pairs))
+    )
+    return sets.select(
+        "k", "m", joined(F.col("words")).alias("ms"), joined(F.col("uwords")).alias("mt"), F.col("uwords").alias("words"),
+        "pairs", "letters", _bits(F.col("letters"), "letter").alias("lb"), _bits(F.col("pairs"), "pair one").alias("pa"),
+        _bits(F.col("pairs"), "pair two").alias("pb"),
+        F.aggregate("letters", F.lit(0).cast("long"), lambda acc, g: acc.bitwiseOR(_own_bit(g))).alias("own"),
     )
 
 
@@ -96,21 +116,42 @@ def _frequency(left: DataFrame, right: DataFrame, grams: str) -> DataFrame:
     return both.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
 
 
-def _lengths_fit(tau: float, column: str) -> Column:
+def _lost(bits: str) -> tuple[Column, Column]:
+    """Grams that only the left, and only the right, value has; at least the bits that differ."""
+    l, r = F.col(f"l.{bits}"), F.col(f"r.{bits}")
+    both = l.bitwiseAND(r)
+    return F.bit_count(l) - F.bit_count(both), F.bit_count(r) - F.bit_count(both)
+
+
+def _full_fit(tau: float, column: str) -> Column:
+    """Lengths and bit maps allow a ratio of ``tau``: exact bounds, so no match is refused."""
     a, b = F.col(f"l.{column}"), F.col(f"r.{column}")
-    return F.least(a, b) >= F.greatest(a, b) * (tau / (200.0 - tau)) - 1e-6
+    least = F.ceil((a + b) * (tau / 200.0) - 1e-6)
+    d, i = a - least, b - least
+    (xl, xr), (al, ar), (bl, br) = _lost("lb"), _lost("pa"), _lost("pb")
+    return (
+        (d >= 0) & (i >= 0) & (xl <= d + 1) & (xr <= i + 1)
+        & (F.greatest(al, bl) <= 2 * d + i) & (F.greatest(ar, br) <= 2 * i + d)
+    )
 
 
 def _meet(left: DataFrame, right: DataFrame, fits: Column) -> DataFrame:
+    """Pairs that share a gram and fit."""
     joined = left.alias("l").join(right.alias("r"), (F.col("l.g") == F.col("r.g")) & fits)
     return joined.select(F.col("l.k").alias("kl"), F.col("r.k").alias("kr"))
 
 
+# A pair met at several letters is kept at the first one that has a bit of its own;
+# other repeats are left to the final distinct.
+def _new() -> Column:
+    return F.col("l.earlier").bitwiseAND(F.col("r.own")) == 0
+
+
 def _swap(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("kr").alias("kl"), F.col("kl").alias("kr"))
 
 
-LENGTHS = ["m", "ms", "mt"]
+FACTS = ["m", "ms", "mt", "lb", "pa", "pb", "own"]
 
 
 def _rules(scorer: str, threshold: float) -> dict:
@@ -164,35 +205,38 @@ def _candidates(left: DataFrame, right: DataFrame, scorer: str, threshold: float
 
     def letter_prefix(sig: DataFrame) -> DataFrame:
         """Letters of weak values: enough of the rarest, or all when none can be spared."""
-        ranked = _ranked(sig.filter(~F.col("strong")), "letters", letter_f, LENGTHS + ["dl", "letters"])
+        ranked = _ranked(sig.filter(~F.col("strong")), "letters", letter_f, FACTS + ["dp", "dl", "letters"])
+        before = W.partitionBy("k").orderBy("r").rowsBetween(W.unboundedPreceding, -1)
+        earlier = F.coalesce(F.bit_or(_own_bit(F.col("g"))).over(before), F.lit(0).cast("long"))
         enough = (F.size("letters") <= F.col("dl")) | (F.col("r") <= F.col("dl") + 1)
-        return ranked.filter(enough).drop("letters")
+        return ranked.withColumn("earlier", earlier).filter(enough).drop("letters")
+
+    def pair_prefix(sig: DataFrame) -> DataFrame:
+        return _ranked(sig.filter("strong"), "pairs", pair_f, FACTS + ["dp", "dl"]).filter(F.col("r") <= F.col("dp") + 1)
 
     def every(sig: DataFrame, grams: str) -> DataFrame:
-        return sig.select("k", *LENGTHS, F.explode(grams).alias("g"))
+        return sig.select("k", *FACTS, F.explode(grams).alias("g"))
 
     if rules.get("full"):
         needs = rules["full"]
-        fits = _any([_lengths_fit(tau, c) for c, tau in needs.items()])
+        fits = _any([_full_fit(tau, c) for c, tau in needs.items()])
         l, r = limits(left, needs), limits(right, needs)
-        strong = [
-            _ranked(s.filter("strong"), "pairs", pair_f, LENGTHS + ["dp"]).filter(F.col("r") <= F.col("dp") + 1) for s in (l, r)
-        ]
-        out.append(_meet(strong[0], strong[1], fits))
-        out.append(_meet(letter_prefix(l), every(r, "letters"), fits))
+        out.append(_meet(pair_prefix(l), pair_prefix(r), fits))
+        out.append(_meet(letter_prefix(l), every(r, "letters"), fits & _new()))
         if not own:
-            out.append(_swap(_meet(letter_prefix(r), every(l, "letters"), fits)))
+            out.append(_swap(_meet(letter_prefix(r), every(l, "letters"), fits & _new())))
     if rules.get("partial"):
         needs = rules["partial"]
         for a, b, turn in turns:
             # The grams of the shorter string must be found in the longer one.
             shorter = _any([F.col(f"l.{c}") <= F.col(f"r.{c}") for c in needs])
             if scorer == "weighted_ratio":
-                shorter = shorter & (F.col("r.m") >= F.col("l.m") * scoring.PARTIAL_FROM)
+                # Raw lengths choose this branch; a word form may be the shorter one on either side.
+                shorter = shorter & (F.greatest("l.m", "r.m") >= F.least("l.m", "r.m") * scoring.PARTIAL_FROM)
+            lost = (_lost("lb")[0] <= F.col("l.dl")) & (F.greatest(_lost("pa")[0], _lost("pb")[0]) <= F.col("l.dp"))
             s = limits(a, needs)
-            prefix = _ranked(s.filter("strong"), "pairs", pair_f, LENGTHS + ["dp"]).filter(F.col("r") <= F.col("dp") + 1)
-            found = _meet(prefix, every(b, "pairs"), shorter).unionAll(
-                _meet(letter_prefix(s), every(b, "letters"), shorter)
+            found = _meet(pair_prefix(s), every(b, "pairs"), shorter & lost).unionAll(
+                _meet(letter_prefix(s), every(b, "letters"), shorter & lost & _new())
             )
             out.append(_swap(found) if turn else found)
     if "contain" in rules or "word" in rules:
@@ -202,7 +246,7 @@ def _candidates(left: DataFrame, right: DataFrame, scorer: str, threshold: float
         near = longest < shortest * scoring.PARTIAL_FROM if scorer == "weighted_ratio" else F.lit(True)
         for a, b, turn in turns:
             if "contain" in rules:
-                rows = a.select("k", *LENGTHS, F.explode("words").alias("g")).join(word_f, "g")
+                rows = a.select("k", *FACTS, F.explode("words").alias("g")).join(word_f, "g")
                 w = W.partitionBy("k").orderBy("f", "g").rowsBetween(W.unboundedPreceding, -1)
                 before = F.coalesce(F.sum(F.length("g") + 1).over(w), F.lit(0))
                 prefix = rows.withColumn("before", before).filter(F.col("before") <= F.col("mt") * slack + 1e-6)
@@ -213,7 +257,7 @@ def _candidates(left: DataFrame, right: DataFrame, scorer: str, threshold: float
     if scorer in ("ratio", "token_sort", "partial"):
         # Empty forms match each other and nothing else.
         size = {"ratio": "m", "token_sort": "ms", "partial": "m"}[scorer]
-        blank = [s.filter(F.col(size) == 0).select("k", *LENGTHS, F.lit("").alias("g")) for s in (left, right)]
+        blank = [s.filter(F.col(size) == 0).select("k", *FACTS, F.lit("").alias("g")) for s in (left, right)]
         out.append(_meet(blank[0], blank[1], F.lit(True)))
     return reduce(DataFrame.unionAll, out)
 

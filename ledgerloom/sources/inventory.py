@@ -49,8 +49,8 @@ def file_inventory(spark: SparkSession, root: str, recursive: bool = True) -> Da
 
 def _analysed(files: DataFrame) -> DataFrame:
     """Row and column facts from file content; lines minus the header count as rows."""
-    text = F.decode("content", F.lit("UTF-8"))
-    breaks = F.length("content") - F.length(F.encode(F.replace(text, F.lit("\n"), F.lit("")), F.lit("UTF-8")))
+    text = F.decode("content", "UTF-8")
+    breaks = F.length("content") - F.length(F.encode(F.replace(text, F.lit("\n"), F.lit("")), "UTF-8"))
     lines = F.when(F.length("content") == 0, 0).otherwise(breaks + F.when(text.endswith("\n"), 0).otherwise(1))
     header = F.regexp_replace(F.substring_index(text, "\n", 1), "\r$", "")
     columns = F.when(header == "", F.array().cast("array<string>")).otherwise(
