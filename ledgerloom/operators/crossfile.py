@@ -208,15 +208,21 @@ def cross_match(sheets: list[Sheet]) -> DataFrame:
             (F.col(tx.quoted(s.order_by[k])) if k < len(s.order_by) else F.lit(None).cast("long")).alias(f"_o{k}") for k in range(depth)
         ]
         parts.append(s.df.select(
-            F.lower(tx.strip(raw)).alias("key"), F.lit(i).alias("_src"), *place, F.lit(f"{s.file} ({s.sheet})").alias("_label"),
+            F.lower(tx.strip(raw)).alias("key"), F.lit(i).alias("_src"), *place,
             *[t.alias(c) for c, t in text.items()],
         ).filter(F.col("key") != ""))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    shown = [c for c in union.columns if c not in ("key", "_src", "_label") and c not in [f"_o{k}" for k in range(depth)]]
+    shown = [c for c in union.columns if c not in ("key", "_src") and c not in [f"_o{k}" for k in range(depth)]]
     place = F.struct("_src", *[f"_o{k}" for k in range(depth)])
     first = F.min_by(F.struct(*[F.col(tx.quoted(c)) for c in shown]), place)
-    # The set holds at most one entry per sheet.
-    seen = F.array_sort(F.collect_set(F.struct("_src", "_label")))
-    out = union.groupBy("key").agg(F.count(F.lit(1)).alias("Match_Occurrences"), seen.alias("_seen"), first.alias("_row"))
-    labels = F.array_distinct(F.transform("_seen", lambda x: x["_label"]))
+    # The sheets that hold a key are a bit map, 63 sheets to a number.
+    words = range((len(sheets) + 62) // 63)
+    none = F.lit(0).cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("_src"), F.lit(63)))
+    maps = [F.bit_or(F.when(F.floor(F.col("_src") / 63) == w, bit).otherwise(none)).alias(f"_w{w}") for w in words]
+    out = union.groupBy("key").agg(F.count(F.lit(1)).alias("Match_Occurrences"), *maps, first.alias("_row"))
+    labels = F.array_distinct(F.array_compact(F.array(*[
+        F.when(F.col(f"_w{i // 63}").bitwiseAND(F.lit(1 << (i % 63)).cast("long")) != 0, F.lit(f"{s.file} ({s.sheet})"))
+        for i, s in enumerate(sheets)
+    ])))
     return out.filter("Match_Occurrences > 1").select("key", "Match_Occurrences", F.array_join(labels, "; ").alias("Matched_In_Files"), "_row.*")

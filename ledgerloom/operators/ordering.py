@@ -79,7 +79,7 @@ def group_quantiles(
     if one_group:
         slim = slim.withColumn("_g", F.lit(0))
         groups = ["_g"]
-    if method == "linear" and df.limit(small_rows + 1).count() <= small_rows:
+    if method == "linear" and df.count() <= small_rows:
         aggs = [F.percentile("_v", p).alias(name) for name, p in probs.items()]
         out = slim.groupBy(*groups).agg(*aggs)
     else:

@@ -51,9 +51,9 @@ def fk_candidates(df: DataFrame) -> list[str]:
 def discover_relationships(datasets: dict[str, DataFrame], min_overlap: float = 0.6, min_shared: int = 5) -> DataFrame:
     """Value overlap between name-compatible columns of different tables.
 
-    An inverted index: every distinct value collects the set of columns that hold
-    it (combined on the map side, at most one entry per column), and column and
-    pair counts are read off those sets. No value is joined with another table.
+    An inverted index: every distinct value is marked with the columns that hold it
+    (combined on the map side), and column and pair counts are read off those
+    marks in one aggregate. No value is joined with another table.
     """
     candidates = {name: fk_candidates(df) for name, df in datasets.items()}
     pairs = [
@@ -80,18 +80,20 @@ def discover_relationships(datasets: dict[str, DataFrame], min_overlap: float =
         cells = F.array(*[F.struct(F.lit(ids[name, c]).alias("col"), text_of(df, c).alias("value")) for c in used])
         part = df.select(F.explode(cells).alias("x")).select("x.*").filter(F.col("value").isNotNull())
         long = part if long is None else long.unionByName(part)
-    holders = long.groupBy("value").agg(F.collect_set("col").alias("cols"))
-    partners: dict[int, list[int]] = {}
-    for a, ca, b, cb in pairs:
-        partners.setdefault(ids[a, ca], []).append(ids[b, cb])
-    table = F.create_map(*[F.lit(x) for k, v in partners.items() for x in (k, v)])
-    both = F.flatten(F.transform(
-        "cols",
-        lambda c: F.transform(F.array_intersect(F.coalesce(table[c], F.array().cast("array<int>")), F.col("cols")),
-                              lambda d: F.struct(c.alias("a"), d.alias("b"))),
-    ))
-    single = F.transform("cols", lambda c: F.struct(c.alias("a"), F.lit(-1).alias("b")))
-    counts = holders.select(F.explode(F.concat(single, both)).alias("k")).groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("n"))
+    # Column sets are bit maps, 63 columns to a number: a fixed-width aggregate.
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("col"), F.lit(63)))
+    words = range((len(ids) + 62) // 63)
+    none = F.lit(0).cast("long")
+    maps = [F.bit_or(F.when(F.floor(F.col("col") / 63) == w, bit).otherwise(none)).alias(f"w{w}") for w in words]
+    holders = long.groupBy("value").agg(*maps)
+
+    def holds(column: int):
+        return F.col(f"w{column // 63}").bitwiseAND(F.lit(1 << (column % 63)).cast("long")) != 0
+
+    wanted = [(c, -1) for c in ids.values()] + sorted({(ids[a, ca], ids[b, cb]) for a, ca, b, cb in pairs})
+    tests = [F.count_if(holds(x) if y < 0 else holds(x) & holds(y)).alias(f"n{i}") for i, (x, y) in enumerate(wanted)]
+    cells = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"n{i}").alias("n")) for i, (x, y) in enumerate(wanted)]
+    counts = holders.agg(*tests).select(F.explode(F.array(*cells)).alias("x")).select("x.*")
     # From here on every table has one row per column or per column pair.
     sizes = counts.filter("b = -1").select(F.col("a").alias("col"), F.col("n").alias("size"))
     names = spark.createDataFrame(

@@ -337,22 +337,47 @@ def phonetic_join(left: DataFrame, right: DataFrame, left_col: str, right_col: s
 # ---------------------------------------------------------------- set overlap
 
 
+_MAPS = ["b0", "b1", "b2", "b3"]
+
+
+def _wide_bits(grams: str) -> list[Column]:
+    """256-bit map of a gram set in four numbers."""
+    spots = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(256)).cast("int"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def word(i: int) -> Column:
+        bit = lambda p: F.when(F.floor(p / 64) == i, F.call_function("shiftleft", one, F.pmod(p, F.lit(64)))).otherwise(none)
+        return F.aggregate("spots", none, lambda acc, p: acc.bitwiseOR(bit(p)))
+
+    return [spots.alias("spots"), *[word(i).alias(b) for i, b in enumerate(_MAPS)]]
+
+
 def _set_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, to_set, threshold: float) -> DataFrame:
     """Pairs of values whose gram sets have Jaccard similarity of at least ``threshold`` percent.
 
-    Sets with overlap share one of their ``size - ceil(t * size) + 1`` rarest
-    grams, so only those are joined. Empty sets equal each other.
+    With t = threshold / 100, a match of sizes a and b shares at least
+    t / (1 + t) (a + b) grams. So it shares one of the ``a - ceil(t a) + 1`` rarest
+    grams; at the first such gram the grams that remain on both sides must still
+    reach that number; and no more bits of the maps may differ than grams can.
+    Each test is a bound, so no match is refused. Empty sets equal each other.
     """
     _check(threshold)
     share = threshold / 100.0
     sides = [distinct_values(df, c).withColumn("s", to_set(F.col("v"))) for df, c in ((left, left_col), (right, right_col))]
-    sets = [s.select("k", F.col("s").alias("grams"), F.size("s").alias("size")) for s in sides]
+    sets = []
+    for side in sides:
+        spots, *maps = _wide_bits("s")
+        sets.append(side.select("k", F.col("s").alias("grams"), F.size("s").alias("size"), spots).select("k", "grams", "size", *maps))
     frequency = _frequency(sets[0], sets[1], "grams")
     prefix = [
-        _ranked(s, "grams", frequency, ["size"]).filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1)
+        _ranked(s, "grams", frequency, ["size", *_MAPS]).filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1)
         for s in sets
     ]
-    fits = F.least("l.size", "r.size") >= F.greatest("l.size", "r.size") * share - 1e-9
+    a, b = F.col("l.size"), F.col("r.size")
+    need = F.ceil((a + b) * (share / (1 + share)) - 1e-9)
+    left_over = F.least(a - F.col("l.r") + 1, b - F.col("r.r") + 1)
+    lost_l, lost_r = (reduce(lambda x, y: x + y, side) for side in zip(*[_lost(m) for m in _MAPS]))
+    fits = (F.least(a, b) >= F.greatest(a, b) * share - 1e-9) & (left_over >= need) & (lost_l <= a - need) & (lost_r <= b - need)
     pairs = _meet(prefix[0], prefix[1], fits).distinct()
     empty = [s.filter("size = 0").select("k", F.lit("").alias("g")) for s in sets]
     pairs = pairs.unionAll(_meet(empty[0], empty[1], F.lit(True)))

@@ -187,12 +187,12 @@ def k10_summary(spark, sf):
   coalesce(email, '') as "Email", coalesce(phone, '') as "Phone", x.source_file as "Source File", x.sheet_name as "Sheet", x.row_number as "Row", x.match_level as "Match Type",
   '100%' as "Confidence Score" from x join rec using (ord)""")
 def e1(spark, sf):
-    return reports.duplicate_report_tables(contact_sheets(spark, sf))["exact_duplicates"]
+    return reports.DuplicateReport(contact_sheets(spark, sf)).exact_duplicates
 
 
 @query("e1_similar_records")
 def e1_similar(spark, sf):
-    return reports.duplicate_report_tables(contact_sheets(spark, sf))["similar_records"]
+    return reports.DuplicateReport(contact_sheets(spark, sf)).similar_records
 
 
 @query("e1_conflicting_records", f"""with {_SURVIVORS}, c as (select * from pairs where {_SAME}), d as (select nm, 'Email' as f, email as va, email_b as vb, source_file, sheet_name, rn, file_b, rn_b from c
@@ -200,22 +200,22 @@ def e1_similar(spark, sf):
   select nm as "Entity Name", f as "Field", va as "Old Value", vb as "New Value", source_file || ' (' || sheet_name || ':L' || rn || ')' as "Source A",
   file_b || ' (' || replace(file_b, '.csv', '') || ':L' || rn_b || ')' as "Source B" from d""")
 def e1_conflicts(spark, sf):
-    return reports.duplicate_report_tables(contact_sheets(spark, sf))["conflicting_records"]
+    return reports.DuplicateReport(contact_sheets(spark, sf)).conflicting_records
 
 
 @query("e1_missing_data", f"""select source_file as "File", sheet_name as "Sheet", row_number as "Row", missing_column as "Missing Column", details as "Details" from ({MISSING_SQL})
   order by source_file, sheet_name, row_number, missing_column limit 2000""")
 def e1_missing(spark, sf):
-    return reports.duplicate_report_tables(contact_sheets(spark, sf))["missing_data"]
+    return reports.DuplicateReport(contact_sheets(spark, sf)).missing_data
 
 
 @query("e1_summary")
 def e1_summary(spark, sf):
-    return reports.duplicate_report_tables(contact_sheets(spark, sf))["summary"]
+    return reports.DuplicateReport(contact_sheets(spark, sf)).summary
 
 
 def _master_table(spark, sf, name):
-    return reports.master_tables(_run(spark, sf), contact_sheets(spark, sf), "rule_5")[name]
+    return getattr(reports.MasterReport(_run(spark, sf), contact_sheets(spark, sf), "rule_5"), name)
 
 
 _TITLES = {"master_id": "Master ID", "name": "Name", "address": "Address", "city": "City", "state": "State", "contact_number": "Contact Number", "email": "Email", "company": "Company",

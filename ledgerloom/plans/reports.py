@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,98 +36,160 @@ def metric_rows(summary: DataFrame, labels: dict[str, str]) -> DataFrame:
     return wide.unpivot([], [tx.quoted(label) for label in labels.values()], "metric", "value")
 
 
-def duplicate_report_tables(sheets: list[Sheet]) -> dict[str, DataFrame]:
-    """Exact duplicates, similar records, conflicts, missing data and summary.
+class DuplicateReport:
+    """Tables of the cross-file report; each is built when it is first asked for.
 
-    The missing table is a report of the first 2,000 cells; the summary counts all.
+    The missing table shows the first 2,000 cells; the summary counts all of them.
     """
-    records = canonical_records(sheets)
-    exact = stable(xf.exact_matches(records))
-    pairs = stable(xf.near_matches(records))
-    conflicts = xf.match_conflicts(pairs)
-    missing = xf.missing_cells(sheets)
-    members = exact.join(xf.with_fields(records, xf.FIELDS).select("ord", *[tx.quoted(f) for f in xf.FIELDS]), "ord")
-    exact_table = members.select(
-        F.col("group_id").alias("Group"), _filled("Name", "Company").alias("Name"), _filled("Address").alias("Address"),
-        _filled("Email").alias("Email"), _filled("Phone Number").alias("Phone"), F.col("source_file").alias("Source File"),
-        F.col("sheet_name").alias("Sheet"), F.col("row_number").alias("Row"), F.col("match_level").alias("Match Type"),
-        F.format_string("%.0f%%", "confidence").alias("Confidence Score"),
-    )
-    # Similar pairs come first in the table, possible ones after; ids follow pair order.
-    offset = exact.agg(F.coalesce(F.max("group_id"), F.lit(0))).scalar()
-    numbered = with_position(pairs, ["ord_a", "ord_b"], "_n", 1)
-    similar = numbered.select(
-        (F.col("_n") + offset).alias("Group ID"), F.col("name_a").alias("Name / Primary Entity"),
-        F.format_string("%.1f%%", "confidence").alias("Similarity"), F.col("matching_fields").alias("Matching Fields"),
-        F.array_join(F.array_distinct(F.array(_place("source_file_a", "sheet_name_a", "row_number_a"),
-                                              _place("source_file_b", "sheet_name_b", "row_number_b"))), " | ").alias("Source Files"),
-        F.col("reason").alias("Details"),
-    )
-    conflict_table = conflicts.select(
-        F.col("entity_name").alias("Entity Name"), F.col("field_name").alias("Field"), F.col("value_a").alias("Old Value"),
-        F.col("value_b").alias("New Value"), _place("source_file_a", "sheet_name_a", "row_number_a").alias("Source A"),
-        _place("source_file_b", "sheet_name_b", "row_number_b").alias("Source B"),
-    )
-    top_missing = missing.orderBy("source_file", "sheet_name", "row_number", "missing_column").limit(DUPLICATE_REPORT_MISSING)
-    missing_table = top_missing.select(
-        F.col("source_file").alias("File"), F.col("sheet_name").alias("Sheet"), F.col("row_number").alias("Row"),
-        F.col("missing_column").alias("Missing Column"), F.col("details").alias("Details"),
-    )
-    summary = xf.cross_summary(records, exact, pairs, conflicts, missing, len({s.file for s in sheets}), len(sheets))
-    labels = {
-        "total_files": "Total Files Processed", "total_worksheets": "Total Worksheets Analyzed",
-        "total_records": "Total Records Analyzed", "exact_duplicates": "Exact Duplicate Records",
-        "similar_records": "Similar Match Records", "possible_matches": "Possible Match Records",
-        "unique_records": "Unique Records", "conflicting_records": "Conflicting Records Flagged",
-        "missing_records": "Missing Data Instances",
-    }
-    return {
-        "exact_duplicates": exact_table, "similar_records": similar, "conflicting_records": conflict_table,
-        "missing_data": missing_table, "summary": metric_rows(summary, labels),
-    }
-
-
-def master_tables(run: Consolidation, sheets: list[Sheet], rule: str | None = "rule_1", fields: list[str] | None = None) -> dict[str, DataFrame]:
-    """Masters, references, uniques, conflicts, missing, statistics and analysis summary."""
-    titles = {
-        "master_id": "Master ID", "name": "Name", "address": "Address", "city": "City", "state": "State",
-        "contact_number": "Contact Number", "email": "Email", "company": "Company", "gst_number": "GST Number",
-        "customer_id": "Customer ID", "source_count": "Source Count", "duplicate_count": "Duplicate Count",
-        "total_occurrences": "Total Occurrences", "created_date": "Created Date",
-    }
-    masters = run.masters.select(*[F.col(c).alias(t) for c, t in titles.items()])
-    references = run.references.select(
-        F.col("master_id").alias("Master ID"), F.col("source_file").alias("Source File"), F.col("sheet_name").alias("Worksheet"),
-        F.col("row_number").alias("Row Number"), F.col("folder_path").alias("Folder Path"), F.col("import_date").alias("Import Date"),
-    )
-    conflicts = run.conflicts.select(
-        F.col("conflict_id").alias("Conflict ID"), F.col("master_id").alias("Master ID"), F.col("entity_name").alias("Entity Name"),
-        F.col("field_name").alias("Field Name"), F.col("value_a").alias("Value A"),
-        _place("source_a", "sheet_a", "row_a").alias("Source A (Sheet:Row)"), F.col("value_b").alias("Value B"),
-        _place("source_b", "sheet_b", "row_b").alias("Source B (Sheet:Row)"), F.col("status").alias("Status"),
-    )
-    missing = xf.missing_cells(sheets)
-    top_missing = missing.orderBy("source_file", "sheet_name", "row_number", "missing_column").limit(MASTER_REPORT_MISSING)
-    missing_table = top_missing.select(
-        F.col("source_file").alias("File"), F.col("sheet_name").alias("Worksheet"), F.col("row_number").alias("Row Number"),
-        F.col("folder_path").alias("Folder Path"), F.col("missing_column").alias("Missing Column"), F.col("details").alias("Details"),
-    )
-    labels = {
-        "total_files": "Total Spreadsheets Found", "total_worksheets": "Total Worksheets Scanned",
-        "total_records": "Total Indexed Records", "total_columns": "Total Unique Columns", "size_mb": "Processing Data Size (MB)",
-        "master_records_count": "Master Dataset Records", "duplicate_groups_count": "Duplicate Record Groups",
-        "duplicate_records_count": "Total Duplicate References", "unique_records_count": "Unique Records (Non-Duplicate)",
-        "conflicting_records_count": "Conflicting Field Instances", "missing_records_count": "Missing Field Entries",
-    }
-    stats = mdm_summary(run, sheets, missing).withColumn("size_mb", F.format_string("%.2f MB", F.col("processing_size_bytes") / (1024 * 1024)))
-    used = rule_fields(rule, fields)
-    name = "Custom Matching Fields" if fields else RULE_NAMES.get(rule, "Default Match (Name + Contact)")
-    summary = [("Matching Rule Name", name), ("Matching Fields Evaluated", ", ".join(used))]
-    return {
-        "master_records": masters, "duplicate_references": references, "unique_records": masters.filter(F.col("Duplicate Count") == 0),
-        "conflicting_records": conflicts, "missing_data": missing_table, "statistics": metric_rows(stats, labels),
-        "analysis_summary": run.records.sparkSession.createDataFrame(summary, "metric string, value string"),
-    }
+
+    NAMES = ("exact_duplicates", "similar_records", "conflicting_records", "missing_data", "summary")
+
+    def __init__(self, sheets: list[Sheet]):
+        self.sheets = sheets
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return stable(canonical_records(self.sheets))
+
+    @cached_property
+    def exact(self) -> DataFrame:
+        return xf.exact_matches(self.records)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return stable(xf.near_matches(self.records))
+
+    @cached_property
+    def missing(self) -> DataFrame:
+        return xf.missing_cells(self.sheets)
+
+    @cached_property
+    def exact_duplicates(self) -> DataFrame:
+        fields = xf.with_fields(self.records, xf.FIELDS).select("ord", *[tx.quoted(f) for f in xf.FIELDS])
+        return self.exact.join(fields, "ord").select(
+            F.col("group_id").alias("Group"), _filled("Name", "Company").alias("Name"), _filled("Address").alias("Address"),
+            _filled("Email").alias("Email"), _filled("Phone Number").alias("Phone"), F.col("source_file").alias("Source File"),
+            F.col("sheet_name").alias("Sheet"), F.col("row_number").alias("Row"), F.col("match_level").alias("Match Type"),
+            F.format_string("%.0f%%", "confidence").alias("Confidence Score"),
+        )
+
+    @cached_property
+    def similar_records(self) -> DataFrame:
+        """Similar and possible pairs; their ids continue those of the exact groups in pair order."""
+        offset = self.exact.agg(F.coalesce(F.max("group_id"), F.lit(0))).scalar()
+        sources = F.array_distinct(F.array(_place("source_file_a", "sheet_name_a", "row_number_a"),
+                                           _place("source_file_b", "sheet_name_b", "row_number_b")))
+        return with_position(self.pairs, ["ord_a", "ord_b"], "_n", 1).select(
+            (F.col("_n") + offset).alias("Group ID"), F.col("name_a").alias("Name / Primary Entity"),
+            F.format_string("%.1f%%", "confidence").alias("Similarity"), F.col("matching_fields").alias("Matching Fields"),
+            F.array_join(sources, " | ").alias("Source Files"), F.col("reason").alias("Details"),
+        )
+
+    @cached_property
+    def conflicting_records(self) -> DataFrame:
+        return xf.match_conflicts(self.pairs).select(
+            F.col("entity_name").alias("Entity Name"), F.col("field_name").alias("Field"), F.col("value_a").alias("Old Value"),
+            F.col("value_b").alias("New Value"), _place("source_file_a", "sheet_name_a", "row_number_a").alias("Source A"),
+            _place("source_file_b", "sheet_name_b", "row_number_b").alias("Source B"),
+        )
+
+    @cached_property
+    def missing_data(self) -> DataFrame:
+        top = self.missing.orderBy("source_file", "sheet_name", "row_number", "missing_column").limit(DUPLICATE_REPORT_MISSING)
+        return top.select(
+            F.col("source_file").alias("File"), F.col("sheet_name").alias("Sheet"), F.col("row_number").alias("Row"),
+            F.col("missing_column").alias("Missing Column"), F.col("details").alias("Details"),
+        )
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        labels = {
+            "total_files": "Total Files Processed", "total_worksheets": "Total Worksheets Analyzed",
+            "total_records": "Total Records Analyzed", "exact_duplicates": "Exact Duplicate Records",
+            "similar_records": "Similar Match Records", "possible_matches": "Possible Match Records",
+            "unique_records": "Unique Records", "conflicting_records": "Conflicting Records Flagged",
+            "missing_records": "Missing Data Instances",
+        }
+        counts = xf.cross_summary(self.records, self.exact, self.pairs, xf.match_conflicts(self.pairs), self.missing,
+                                  len({s.file for s in self.sheets}), len(self.sheets))
+        return metric_rows(counts, labels)
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in self.NAMES}
+
+
+class MasterReport:
+    """Tables of a consolidation run; each is built when it is first asked for."""
+
+    NAMES = ("master_records", "duplicate_references", "unique_records", "conflicting_records", "missing_data", "statistics",
+             "analysis_summary")
+
+    def __init__(self, run: Consolidation, sheets: list[Sheet], rule: str | None = "rule_1", fields: list[str] | None = None):
+        self.run, self.sheets, self.rule, self.fields = run, sheets, rule, fields
+
+    @cached_property
+    def missing(self) -> DataFrame:
+        return xf.missing_cells(self.sheets)
+
+    @cached_property
+    def master_records(self) -> DataFrame:
+        titles = {
+            "master_id": "Master ID", "name": "Name", "address": "Address", "city": "City", "state": "State",
+            "contact_number": "Contact Number", "email": "Email", "company": "Company", "gst_number": "GST Number",
+            "customer_id": "Customer ID", "source_count": "Source Count", "duplicate_count": "Duplicate Count",
+            "total_occurrences": "Total Occurrences", "created_date": "Created Date",
+        }
+        return self.run.masters.select(*[F.col(c).alias(t) for c, t in titles.items()])
+
+    @cached_property
+    def duplicate_references(self) -> DataFrame:
+        return self.run.references.select(
+            F.col("master_id").alias("Master ID"), F.col("source_file").alias("Source File"), F.col("sheet_name").alias("Worksheet"),
+            F.col("row_number").alias("Row Number"), F.col("folder_path").alias("Folder Path"), F.col("import_date").alias("Import Date"),
+        )
+
+    @cached_property
+    def unique_records(self) -> DataFrame:
+        return self.master_records.filter(F.col("Duplicate Count") == 0)
+
+    @cached_property
+    def conflicting_records(self) -> DataFrame:
+        return self.run.conflicts.select(
+            F.col("conflict_id").alias("Conflict ID"), F.col("master_id").alias("Master ID"), F.col("entity_name").alias("Entity Name"),
+            F.col("field_name").alias("Field Name"), F.col("value_a").alias("Value A"),
+            _place("source_a", "sheet_a", "row_a").alias("Source A (Sheet:Row)"), F.col("value_b").alias("Value B"),
+            _place("source_b", "sheet_b", "row_b").alias("Source B (Sheet:Row)"), F.col("status").alias("Status"),
+        )
+
+    @cached_property
+    def missing_data(self) -> DataFrame:
+        """The first 3,000 missing cells; the statistics count all of them."""
+        top = self.missing.orderBy("source_file", "sheet_name", "row_number", "missing_column").limit(MASTER_REPORT_MISSING)
+        return top.select(
+            F.col("source_file").alias("File"), F.col("sheet_name").alias("Worksheet"), F.col("row_number").alias("Row Number"),
+            F.col("folder_path").alias("Folder Path"), F.col("missing_column").alias("Missing Column"), F.col("details").alias("Details"),
+        )
+
+    @cached_property
+    def statistics(self) -> DataFrame:
+        labels = {
+            "total_files": "Total Spreadsheets Found", "total_worksheets": "Total Worksheets Scanned",
+            "total_records": "Total Indexed Records", "total_columns": "Total Unique Columns", "size_mb": "Processing Data Size (MB)",
+            "master_records_count": "Master Dataset Records", "duplicate_groups_count": "Duplicate Record Groups",
+            "duplicate_records_count": "Total Duplicate References", "unique_records_count": "Unique Records (Non-Duplicate)",
+            "conflicting_records_count": "Conflicting Field Instances", "missing_records_count": "Missing Field Entries",
+        }
+        megabytes = F.format_string("%.2f MB", F.col("processing_size_bytes") / (1024 * 1024))
+        return metric_rows(mdm_summary(self.run, self.sheets, self.missing).withColumn("size_mb", megabytes), labels)
+
+    @cached_property
+    def analysis_summary(self) -> DataFrame:
+        name = "Custom Matching Fields" if self.fields else RULE_NAMES.get(self.rule, "Default Match (Name + Contact)")
+        rows = [("Matching Rule Name", name), ("Matching Fields Evaluated", ", ".join(rule_fields(self.rule, self.fields)))]
+        return self.run.records.sparkSession.createDataFrame(rows, "metric string, value string")
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in self.NAMES}
 
 
 def report_package(datasets: dict[str, DataFrame], row_ids: dict[str, str], out: str, threshold: float = 88.0) -> dict[str, str]:
