@@ -90,10 +90,18 @@ def quick_ratio(a: list[str], b: list[str]) -> np.ndarray:
     return np.where(empty, 0.0, ratio(a, b))
 
 
-def partial(a: list[str], b: list[str]) -> np.ndarray:
-    """Best ratio of the shorter string against windows of the longer one."""
+def partial(a: list[str], b: list[str], cutoff: float | np.ndarray = 0.0) -> np.ndarray:
+    """Best ratio of the shorter string against windows of the longer one.
+
+    Pairs that cannot reach ``cutoff`` score 0 without a look at the windows: no
+    window has more in common with the short string than the whole long one.
+    """
     out = np.zeros(len(a))
     owner, pieces, windows = [], [], []
+    common = lcs(a, b)
+    sizes = np.array([min(len(x), len(y)) for x, y in zip(a, b)], dtype=np.float64)
+    reach = 200.0 * common / np.maximum(sizes + common, 1.0)
+    hopeful = reach >= np.asarray(cutoff) - 1e-9
 
     def add(i: int, short: str, long: str) -> None:
         m = len(short)
@@ -112,7 +120,7 @@ def partial(a: list[str], b: list[str]) -> np.ndarray:
             out[i] = 0.0 if long else 100.0
         elif short in long:
             out[i] = 100.0
-        else:
+        elif hopeful[i] and common[i]:
             add(i, short, long)
             if len(short) == len(long):
                 add(i, long, short)
@@ -163,7 +171,7 @@ def token_set(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def _partial_token(a: list[str], b: list[str]) -> np.ndarray:
+def _partial_token(a: list[str], b: list[str], cutoff: np.ndarray) -> np.ndarray:
     out = np.zeros(len(a))
     rest = []
     for i, (x, y) in enumerate(zip(a, b)):
@@ -172,16 +180,19 @@ def _partial_token(a: list[str], b: list[str]) -> np.ndarray:
         else:
             rest.append(i)
     if rest:
-        plain = partial([_sorted_words(a[i]) for i in rest], [_sorted_words(b[i]) for i in rest])
+        plain = partial([_sorted_words(a[i]) for i in rest], [_sorted_words(b[i]) for i in rest], cutoff[rest])
         unique = partial(
-            [" ".join(sorted(set(_words(a[i])))) for i in rest], [" ".join(sorted(set(_words(b[i])))) for i in rest]
+            [" ".join(sorted(set(_words(a[i])))) for i in rest], [" ".join(sorted(set(_words(b[i])))) for i in rest], cutoff[rest]
         )
         out[rest] = np.maximum(plain, unique)
     return out
 
 
-def weighted_ratio(a: list[str], b: list[str]) -> np.ndarray:
-    """Combined score: token scores for similar lengths, partial scores otherwise."""
+def weighted_ratio(a: list[str], b: list[str], cutoff: float = 0.0) -> np.ndarray:
+    """Combined score: token scores for similar lengths, partial scores otherwise.
+
+    Scores of at least ``cutoff`` are exact; parts below it may be left out.
+    """
     out = quick_ratio(a, b)
     near, far = [], []
     for i, (x, y) in enumerate(zip(a, b)):
@@ -195,7 +206,8 @@ def weighted_ratio(a: list[str], b: list[str]) -> np.ndarray:
         x, y = [a[i] for i in far], [b[i] for i in far]
         spread = np.array([max(len(p), len(q)) / min(len(p), len(q)) for p, q in zip(x, y)])
         scale = np.where(spread <= FAR_FROM, PARTIAL_SCALE, FAR_PARTIAL_SCALE)
-        best = np.maximum(partial(x, y) * scale, _partial_token(x, y) * TOKEN_SCALE * scale)
+        tokens = _partial_token(x, y, cutoff / (TOKEN_SCALE * scale))
+        best = np.maximum(partial(x, y, cutoff / scale) * scale, tokens * TOKEN_SCALE * scale)
         out[far] = np.maximum(out[far], best)
     return out
 
@@ -210,11 +222,14 @@ _BY_NAME = {
 }
 
 
-def scores(a: list[str], b: list[str], scorer: str) -> np.ndarray:
+def scores(a: list[str], b: list[str], scorer: str, cutoff: float = 0.0) -> np.ndarray:
+    """Scores of pairs; values below ``cutoff`` need not be exact."""
+    if scorer in ("partial", "weighted_ratio"):
+        return _BY_NAME[scorer](list(a), list(b), cutoff)
     return _BY_NAME[scorer](list(a), list(b))
 
 
-def score_udf(scorer: str):
+def score_udf(scorer: str, cutoff: float = 0.0):
     """Pandas UDF of one scorer; a null on either side scores 0."""
     if scorer not in _BY_NAME:
         raise ValueError(f"unknown scorer {scorer!r}, use one of {SCORERS}")
@@ -223,7 +238,7 @@ def score_udf(scorer: str):
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         known = a.notna() & b.notna()
         out = np.zeros(len(a))
-        out[known.to_numpy()] = scores(a[known].tolist(), b[known].tolist(), scorer)
+        out[known.to_numpy()] = scores(a[known].tolist(), b[known].tolist(), scorer, cutoff)
         return pd.Series(out)
 
     return score

@@ -66,12 +66,11 @@ def normalize_headers(df: DataFrame) -> DataFrame:
         base = raw.strip()
         if not base or base.lower().startswith("unnamed"):
             base = "column"
-        key = base.lower()
-        name = base
-        while key in seen and (name == base or name.lower() in taken):
-            seen[key] += 1
-            name = f"{base}_{seen[key]}"
-        seen.setdefault(key, 0)
+        name, n = base, seen.get(base.lower(), 0)
+        while name.lower() in taken:
+            n += 1
+            name = f"{base}_{n}"
+        seen[base.lower()] = n
         taken.add(name.lower())
         names.append(name)
     return df.toDF(*names)

@@ -210,7 +210,7 @@ def cross_match(sheets: list[Sheet]) -> DataFrame:
         parts.append(s.df.select(
             F.lower(tx.strip(raw)).alias("key"), F.lit(i).alias("_src"), *place,
             *[t.alias(c) for c, t in text.items()],
-        ).filter(F.col("key") != ""))
+        ))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     shown = [c for c in union.columns if c not in ("key", "_src") and c not in [f"_o{k}" for k in range(depth)]]
     place = F.struct("_src", *[f"_o{k}" for k in range(depth)])
@@ -220,7 +220,7 @@ def cross_match(sheets: list[Sheet]) -> DataFrame:
     none = F.lit(0).cast("long")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("_src"), F.lit(63)))
     maps = [F.bit_or(F.when(F.floor(F.col("_src") / 63) == w, bit).otherwise(none)).alias(f"_w{w}") for w in words]
-    out = union.groupBy("key").agg(F.count(F.lit(1)).alias("Match_Occurrences"), *maps, first.alias("_row"))
+    out = union.groupBy("key").agg(F.count_if(F.col("key") != "").alias("Match_Occurrences"), *maps, first.alias("_row"))
     labels = F.array_distinct(F.array_compact(F.array(*[
         F.when(F.col(f"_w{i // 63}").bitwiseAND(F.lit(1 << (i % 63)).cast("long")) != 0, F.lit(f"{s.file} ({s.sheet})"))
         for i, s in enumerate(sheets)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import quoted, text_of
 
@@ -32,30 +33,36 @@ def merge(left: DataFrame, right: DataFrame, on=None, how: str = "inner", suffix
     if missing or not keys:
         raise ValueError(f"join keys missing in one of the tables: {missing}")
     kind = JOIN_KINDS[how]
-    lkeys = [text_of(left, k).alias(k) for k in keys]
-    lrest = [F.col(quoted(c)) for c in left.columns if c not in keys]
-    l = left.select(*lkeys, *lrest)
+    plain = {k: _same_plain_type(left, right, k) for k in keys}
+
+    def keyed(df: DataFrame, side: str, rest: dict[str, str]) -> DataFrame:
+        raw = [(F.col(quoted(k)) if plain[k] else text_of(df, k)).alias(f"{side}{i}") for i, k in enumerate(keys)]
+        return df.select(*raw, *[F.col(quoted(c)).alias(n) for c, n in rest.items()])
+
+    lnames = {c: c for c in left.columns if c not in keys}
     rnames = {c: f"{c}{suffix}" if c in left.columns else c for c in right.columns if c not in keys}
-    rkeys = [text_of(right, k).alias(f"_r_{k}") for k in keys]
-    r = right.select(*rkeys, *[F.col(quoted(c)).alias(n) for c, n in rnames.items()])
-    on_cond = reduce(lambda a, b: a & b, [l[quoted(k)] == r[quoted(f"_r_{k}")] for k in keys])
-    lcols = [quoted(c) for c in l.columns if c not in keys]
-    rcols = [quoted(n) for n in rnames.values()]
-    left_key = [F.col(quoted(k)) for k in keys]
-    right_key = [F.col(quoted(f"_r_{k}")) for k in keys]
+    l, r = keyed(left, "_lk", lnames), keyed(right, "_rk", rnames)
+    on_cond = reduce(lambda a, b: a & b, [l[f"_lk{i}"] == r[f"_rk{i}"] for i in range(len(keys))])
+    lcols, rcols = [quoted(n) for n in lnames.values()], [quoted(n) for n in rnames.values()]
+
+    def shown(side: str, ending: str = "") -> list:
+        return [F.col(f"{side}{i}").cast("string").alias(f"{k}{ending}") for i, k in enumerate(keys)]
+
     if kind in ("inner", "left"):
-        return l.join(r, on_cond, kind).select(*left_key, *lcols, *rcols)
+        return l.join(r, on_cond, kind).select(*shown("_lk"), *lcols, *rcols)
     if kind == "right":
-        named = [c.alias(k) for c, k in zip(right_key, keys)]
-        return l.join(r, on_cond, kind).select(*named, *lcols, *rcols)
-    rkey_named = [c.alias(f"{k}{suffix}") for c, k in zip(right_key, keys)]
-    matched = l.join(r, on_cond, "left").select(*left_key, *lcols, *rkey_named, *rcols)
-    known = l.select(*[F.col(quoted(k)).alias(f"_k_{k}") for k in keys]).distinct()
-    same = reduce(lambda a, b: a & b, [r[quoted(f"_r_{k}")] == known[quoted(f"_k_{k}")] for k in keys])
-    alone = r.join(known, same, "left_anti").select(*rkey_named, *rcols)
+        return l.join(r, on_cond, kind).select(*shown("_rk"), *lcols, *rcols)
+    matched = l.join(r, on_cond, "left").select(*shown("_lk"), *lcols, *shown("_rk", suffix), *rcols)
+    alone = r.join(l.select(*[f"_lk{i}" for i in range(len(keys))]), on_cond, "left_anti").select(*shown("_rk", suffix), *rcols)
     return matched.unionByName(alone, allowMissingColumns=True)
 
 
+def _same_plain_type(left: DataFrame, right: DataFrame, key: str) -> bool:
+    """True when equal values have equal text, so the key joins as it is and keeps its partitioning."""
+    a, b = left.schema[key].dataType, right.schema[key].dataType
+    return a == b and isinstance(a, (T.StringType, T.IntegralType, T.DateType))
+
+
 def merge_conflicts(joined: DataFrame, keys: list[str], suffix: str = "_right") -> DataFrame:
     """One row per shared non-key column whose two non-null values differ."""
     shared = [c for c in joined.columns if f"{c}{suffix}" in joined.columns and c not in keys]

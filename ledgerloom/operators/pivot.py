@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import quoted, text_of
 from .ordering import group_quantiles
@@ -108,10 +111,18 @@ def _lenient(df: DataFrame, rows: list[str], value: str | None, aggregate: str)
 
 
 def drill_through(df: DataFrame, row_keys: dict, col_keys: dict | None = None) -> DataFrame:
-    """Rows behind a pivot cell. Values compare as text; unknown columns and null values are ignored."""
+    """Rows behind a pivot cell. Values compare as text; unknown columns and null values are ignored.
+
+    Text and whole-number columns compare without a cast, so the filter reaches the scan.
+    """
     for column, wanted in {**row_keys, **(col_keys or {})}.items():
-        if column in df.columns and wanted is not None:
-            df = df.filter(text_of(df, column) == F.lit(str(wanted)))
+        if column not in df.columns or wanted is None:
+            continue
+        text = str(wanted)
+        if isinstance(df.schema[column].dataType, T.IntegralType) and re.fullmatch(r"0|-?[1-9][0-9]{0,17}", text):
+            df = df.filter(F.col(quoted(column)) == F.lit(int(text)))
+        else:
+            df = df.filter(text_of(df, column) == F.lit(text))
     return df
 
 

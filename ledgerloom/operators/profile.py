@@ -52,6 +52,8 @@ def row_duplicate_kpi(df: DataFrame) -> DataFrame:
 
 def null_counts(df: DataFrame) -> DataFrame:
     """One row per column: (column, nulls)."""
+    if not df.columns:
+        return df.sparkSession.createDataFrame([], "column string, nulls long")
     wide = df.agg(*[F.count_if(F.col(quoted(c)).isNull()).alias(c) for c in df.columns])
     return wide.unpivot([], [quoted(c) for c in df.columns], "column", "nulls")
 

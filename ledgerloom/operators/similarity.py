@@ -9,7 +9,6 @@ carry the number of rows on each side.
 
 from __future__ import annotations
 
-import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.text import ngrams, quoted, soundex_code, tokens
+from ..session import stable
 
 # How far the parts of the combined score are scaled down.
 TOKEN = scoring.TOKEN_SCALE
@@ -46,15 +46,6 @@ def _bits(grams: Column, seed: str) -> Column:
     return F.aggregate(grams, F.lit(0).cast("long"), lambda acc, g: acc.bitwiseOR(F.call_function("shiftleft", one, place(g))))
 
 
-# Letters with a bit of their own; none is shared, so equal bits mean equal letters.
-_LETTERS = string.ascii_lowercase + string.ascii_uppercase + string.digits + " "
-
-
-def _own_bit(g: Column) -> Column:
-    place = F.call_function("locate", g, F.lit(_LETTERS))
-    return F.when(place > 0, F.call_function("shiftleft", F.lit(1).cast("long"), place - 1)).otherwise(F.lit(0).cast("long"))
-
-
 def _signature(values: DataFrame) -> DataFrame:
     """Words, within-word letter pairs, letters, lengths and bit maps of each value."""
     words = F.filter(F.split(F.col("v"), r"(?U)\s+"), lambda w: w != "")
@@ -71,15 +62,14 @@ def _signature(values: DataFrame) -> DataFrame:
         return F.aggregate(ws, F.lit(0), lambda acc, w: acc + F.length(w) + 1) - F.when(F.size(ws) > 0, 1).otherwise(0)
 
     sets = (
-        values.select("k", F.length("v").alias("m"), letters.alias("letters"), words.alias("words"))
+        values.select("k", "v", "n", F.length("v").alias("m"), letters.alias("letters"), words.alias("words"))
         .withColumn("uwords", F.array_distinct("words"))
         .withColumn("pairs", F.array_distinct(pairs))
     )
     return sets.select(
-        "k", "m", joined(F.col("words")).alias("ms"), joined(F.col("uwords")).alias("mt"), F.col("uwords").alias("words"),
+        "k", "v", "n", "m", joined(F.col("words")).alias("ms"), joined(F.col("uwords")).alias("mt"), F.col("uwords").alias("words"),
         "pairs", "letters", _bits(F.col("letters"), "letter").alias("lb"), _bits(F.col("pairs"), "pair one").alias("pa"),
         _bits(F.col("pairs"), "pair two").alias("pb"),
-        F.aggregate("letters", F.lit(0).cast("long"), lambda acc, g: acc.bitwiseOR(_own_bit(g))).alias("own"),
     )
 
 
@@ -141,9 +131,11 @@ def _meet(left: DataFrame, right: DataFrame, fits: Column) -> DataFrame:
     return joined.select(F.col("l.k").alias("kl"), F.col("r.k").alias("kr"))
 
 
-# A pair met at several letters is kept at the first one that has a bit of its own;
-# other repeats are left to the final distinct.
 def _new() -> Column:
+    """Keeps a pair only at its first shared gram, as far as grams have a bit of their own.
+
+    Other repeats are left to the final distinct.
+    """
     return F.col("l.earlier").bitwiseAND(F.col("r.own")) == 0
 
 
@@ -151,7 +143,7 @@ def _swap(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("kr").alias("kl"), F.col("kl").alias("kr"))
 
 
-FACTS = ["m", "ms", "mt", "lb", "pa", "pb", "own"]
+FACTS = ["m", "ms", "mt", "lb", "pa", "pb"]
 
 
 def _rules(scorer: str, threshold: float) -> dict:
@@ -188,43 +180,76 @@ def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+class _Grams:
+    """One kind of gram over both sides: frequencies, prefixes and whole sets."""
+
+    def __init__(self, left: DataFrame, right: DataFrame, kind: str):
+        self.kind = kind
+        self.frequency = _frequency(left, right, kind)
+        # The 63 commonest grams cause most repeats; each gets a bit of its own.
+        common = [row["g"] for row in self.frequency.orderBy(F.desc("f"), "g").limit(63).collect()]
+        self.common = F.array(*[F.lit(g) for g in common]) if common else F.array(F.lit(""))
+
+    def bit(self, g: Column) -> Column:
+        place = F.array_position(self.common, g)
+        return F.when(place > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (place - 1).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+    def every(self, sig: DataFrame) -> DataFrame:
+        own = F.aggregate(self.kind, F.lit(0).cast("long"), lambda acc, g: acc.bitwiseOR(self.bit(g)))
+        return sig.select("k", *FACTS, own.alias("own"), F.explode(self.kind).alias("g"))
+
+    def prefix(self, sig: DataFrame, enough: Column) -> DataFrame:
+        """Leading grams of each value, rarest first, with the bits of those before."""
+        ranked = _ranked(sig.withColumn("size", F.size(self.kind)), self.kind, self.frequency, FACTS + ["dp", "dl", "size"])
+        w = W.partitionBy("k").orderBy("r")
+        earlier = F.bit_or(self.bit(F.col("g"))).over(w.rowsBetween(W.unboundedPreceding, -1))
+        rows = ranked.filter(enough).withColumn("earlier", F.coalesce(earlier, F.lit(0).cast("long")))
+        own = F.bit_or(self.bit(F.col("g"))).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        return rows.withColumn("own", own)
+
+
+def _limits(sig: DataFrame, needs: dict[str, float]) -> DataFrame:
+    """Grams each value may lack; a value with more letter pairs than that is strong."""
+    allowed = [_edits(F.col(c), tau) for c, tau in needs.items()]
+    pairs, letters = [F.greatest(*x) if len(x) > 1 else x[0] for x in zip(*allowed)]
+    return sig.withColumn("dp", pairs).withColumn("dl", letters).withColumn("strong", F.size("pairs") > F.col("dp"))
+
+
 def _candidates(left: DataFrame, right: DataFrame, scorer: str, threshold: float, own: bool) -> DataFrame:
     """(kl, kr) pairs among which every qualifying pair is found, in either order when ``own``."""
     rules = _rules(scorer, threshold)
     out = []
     turns = [(left, right, False)] if own else [(left, right, False), (right, left, True)]
-    pair_f = _frequency(left, right, "pairs")
-    letter_f = _frequency(left, right, "letters")
-
-    def limits(sig: DataFrame, needs: dict[str, float]) -> DataFrame:
-        allowed = [_edits(F.col(c), tau) for c, tau in needs.items()]
-        lost_pairs, lost_letters = (
-            [F.greatest(*x) if len(x) > 1 else x[0] for x in zip(*allowed)]
-        )
-        return sig.withColumn("dp", lost_pairs).withColumn("dl", lost_letters).withColumn("strong", F.size("pairs") > F.col("dp"))
-
-    def letter_prefix(sig: DataFrame) -> DataFrame:
-        """Letters of weak values: enough of the rarest, or all when none can be spared."""
-        ranked = _ranked(sig.filter(~F.col("strong")), "letters", letter_f, FACTS + ["dp", "dl", "letters"])
-        before = W.partitionBy("k").orderBy("r").rowsBetween(W.unboundedPreceding, -1)
-        earlier = F.coalesce(F.bit_or(_own_bit(F.col("g"))).over(before), F.lit(0).cast("long"))
-        enough = (F.size("letters") <= F.col("dl")) | (F.col("r") <= F.col("dl") + 1)
-        return ranked.withColumn("earlier", earlier).filter(enough).drop("letters")
-
-    def pair_prefix(sig: DataFrame) -> DataFrame:
-        return _ranked(sig.filter("strong"), "pairs", pair_f, FACTS + ["dp", "dl"]).filter(F.col("r") <= F.col("dp") + 1)
-
-    def every(sig: DataFrame, grams: str) -> DataFrame:
-        return sig.select("k", *FACTS, F.explode(grams).alias("g"))
-
-    if rules.get("full"):
-        needs = rules["full"]
-        fits = _any([_full_fit(tau, c) for c, tau in needs.items()])
-        l, r = limits(left, needs), limits(right, needs)
-        out.append(_meet(pair_prefix(l), pair_prefix(r), fits))
-        out.append(_meet(letter_prefix(l), every(r, "letters"), fits & _new()))
+    pairs, letters = _Grams(left, right, "pairs"), _Grams(left, right, "letters")
+    enough_pairs = F.col("r") <= F.col("dp") + 1
+    # A weak value takes enough of its rarest letters, or all when none can be spared.
+    enough_letters = (F.col("size") <= F.col("dl")) | (F.col("r") <= F.col("dl") + 1)
+
+    def weak(sig: DataFrame) -> DataFrame:
+        return letters.prefix(sig.filter(~F.col("strong")), enough_letters)
+
+    def strong(sig: DataFrame) -> DataFrame:
+        return pairs.prefix(sig.filter("strong"), enough_pairs)
+
+    def full(a: DataFrame, b: DataFrame, column: str, tau: float) -> None:
+        fits = _full_fit(tau, column) & _new()
+        l, r = _limits(a, {column: tau}), _limits(b, {column: tau})
+        out.append(_meet(strong(l), strong(r), fits))
+        out.append(_meet(weak(l), letters.every(r), fits))
+        if not own or a is not b:
+            out.append(_swap(_meet(weak(r), letters.every(l), fits)))
+
+    needs = rules.get("full", {})
+    for column, tau in needs.items():
+        if "m" not in needs or column == "m":
+            full(left, right, column, tau)
+            continue
+        # Where a word form is as long as the value on both sides, the rule on "m"
+        # is the weaker one and has found the pair.
+        differs = F.col(column) != F.col("m")
+        full(left.filter(differs), right, column, tau)
         if not own:
-            out.append(_swap(_meet(letter_prefix(r), every(l, "letters"), fits & _new())))
+            full(left, right.filter(differs), column, tau)
     if rules.get("partial"):
         needs = rules["partial"]
         for a, b, turn in turns:
@@ -234,30 +259,33 @@ def _candidates(left: DataFrame, right: DataFrame, scorer: str, threshold: float
                 # Raw lengths choose this branch; a word form may be the shorter one on either side.
                 shorter = shorter & (F.greatest("l.m", "r.m") >= F.least("l.m", "r.m") * scoring.PARTIAL_FROM)
             lost = (_lost("lb")[0] <= F.col("l.dl")) & (F.greatest(_lost("pa")[0], _lost("pb")[0]) <= F.col("l.dp"))
-            s = limits(a, needs)
-            found = _meet(pair_prefix(s), every(b, "pairs"), shorter & lost).unionAll(
-                _meet(letter_prefix(s), every(b, "letters"), shorter & lost & _new())
-            )
+            s = _limits(a, needs)
+            fits = shorter & lost & _new()
+            found = _meet(strong(s), pairs.every(b), fits).unionAll(_meet(weak(s), letters.every(b), fits))
             out.append(_swap(found) if turn else found)
     if "contain" in rules or "word" in rules:
-        word_f = _frequency(left, right, "words")
+        words = _frequency(left, right, "words")
         slack = 2 * (1 - rules.get("contain", 100.0) / 100.0)
         longest, shortest = F.greatest("l.m", "r.m"), F.least("l.m", "r.m")
         near = longest < shortest * scoring.PARTIAL_FROM if scorer == "weighted_ratio" else F.lit(True)
+
+        def every_word(sig: DataFrame) -> DataFrame:
+            return sig.select("k", "m", F.explode("words").alias("g"))
+
         for a, b, turn in turns:
             if "contain" in rules:
-                rows = a.select("k", *FACTS, F.explode("words").alias("g")).join(word_f, "g")
+                rows = a.select("k", "m", "mt", F.explode("words").alias("g")).join(words, "g")
                 w = W.partitionBy("k").orderBy("f", "g").rowsBetween(W.unboundedPreceding, -1)
                 before = F.coalesce(F.sum(F.length("g") + 1).over(w), F.lit(0))
                 prefix = rows.withColumn("before", before).filter(F.col("before") <= F.col("mt") * slack + 1e-6)
-                found = _meet(prefix, every(b, "words"), near)
+                found = _meet(prefix, every_word(b), near)
                 out.append(_swap(found) if turn else found)
         if "word" in rules:
-            out.append(_meet(every(left, "words"), every(right, "words"), longest >= shortest * scoring.PARTIAL_FROM))
+            out.append(_meet(every_word(left), every_word(right), longest >= shortest * scoring.PARTIAL_FROM))
     if scorer in ("ratio", "token_sort", "partial"):
         # Empty forms match each other and nothing else.
         size = {"ratio": "m", "token_sort": "ms", "partial": "m"}[scorer]
-        blank = [s.filter(F.col(size) == 0).select("k", *FACTS, F.lit("").alias("g")) for s in (left, right)]
+        blank = [s.filter(F.col(size) == 0).select("k", F.lit("").alias("g")) for s in (left, right)]
         out.append(_meet(blank[0], blank[1], F.lit(True)))
     return reduce(DataFrame.unionAll, out)
 
@@ -275,15 +303,16 @@ def value_pairs(left: DataFrame, right: DataFrame | None, scorer: str, threshold
     """
     _check(threshold)
     own = right is None
-    right = left if own else right
-    sig_l = _signature(left)
-    pairs = _candidates(sig_l, sig_l if own else _signature(right), scorer, threshold, own)
+    # The signed values are read several times, so they are written once.
+    left = stable(_signature(left))
+    right = left if own else stable(_signature(right))
+    pairs = _candidates(left, right, scorer, threshold, own)
     if own:
         pairs = pairs.select(F.least("kl", "kr").alias("kl"), F.greatest("kl", "kr").alias("kr")).filter("kl != kr")
     pairs = pairs.distinct()
     l = left.select(F.col("k").alias("kl"), F.col("v").alias("vl"), F.col("n").alias("nl"))
     r = right.select(F.col("k").alias("kr"), F.col("v").alias("vr"), F.col("n").alias("nr"))
-    scored = pairs.join(l, "kl").join(r, "kr").withColumn("score", scoring.score_udf(scorer)("vl", "vr"))
+    scored = pairs.join(l, "kl").join(r, "kr").withColumn("score", scoring.score_udf(scorer, threshold)("vl", "vr"))
     return scored.filter(F.col("score") >= threshold)
 
 
@@ -328,10 +357,22 @@ def best_match(
 
 
 def phonetic_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str) -> DataFrame:
-    """Pairs of distinct values with the same phonetic code."""
-    l = distinct_values(left, left_col).select(F.col("v").alias("left_value"), soundex_code(F.col("v")).alias("code"))
-    r = distinct_values(right, right_col).select(F.col("v").alias("right_value"), soundex_code(F.col("v")).alias("code"))
-    return l.join(r, "code").select("left_value", "right_value", "code")
+    """Values that sound like a value of the other table: (side, value, code, partners).
+
+    Every left value equals every right value of its code, so the pairs are the two
+    lists of a code. They are returned as such, with the number of partners, because
+    writing a frequent code out in pairs would square its size.
+    """
+    sides = [
+        distinct_values(df, c).select(F.lit(side).alias("side"), F.col("v").alias("value"), soundex_code(F.col("v")).alias("code"))
+        for df, c, side in ((left, left_col, "left"), (right, right_col, "right"))
+    ]
+    both = sides[0].unionAll(sides[1])
+    sizes = both.groupBy("code").agg(
+        F.count_if(F.col("side") == "left").alias("lefts"), F.count_if(F.col("side") == "right").alias("rights")
+    ).filter("lefts > 0 and rights > 0")
+    partners = F.when(F.col("side") == "left", F.col("rights")).otherwise(F.col("lefts"))
+    return both.join(sizes, "code").select("side", "value", "code", partners.alias("partners"))
 
 
 # ---------------------------------------------------------------- set overlap
@@ -363,11 +404,15 @@ def _set_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str,
     """
     _check(threshold)
     share = threshold / 100.0
-    sides = [distinct_values(df, c).withColumn("s", to_set(F.col("v"))) for df, c in ((left, left_col), (right, right_col))]
-    sets = []
-    for side in sides:
+    def signed(df: DataFrame, column: str) -> DataFrame:
         spots, *maps = _wide_bits("s")
-        sets.append(side.select("k", F.col("s").alias("grams"), F.size("s").alias("size"), spots).select("k", "grams", "size", *maps))
+        values = distinct_values(df, column).withColumn("s", to_set(F.col("v")))
+        return stable(values.select("*", F.size("s").alias("size"), spots).select("k", "v", "n", "s", "size", *maps))
+
+    # Each side is read several times, so it is written once; equal sides are one table.
+    sides = [signed(left, left_col)]
+    sides.append(sides[0] if left is right and left_col == right_col else signed(right, right_col))
+    sets = [s.select("k", F.col("s").alias("grams"), "size", *_MAPS) for s in sides]
     frequency = _frequency(sets[0], sets[1], "grams")
     prefix = [
         _ranked(s, "grams", frequency, ["size", *_MAPS]).filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1)

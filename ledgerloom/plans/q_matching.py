@@ -65,8 +65,10 @@ def f9(spark, sf):
     return table(spark, sf, "part").select("p_partkey", "p_name", tx.soundex_code(F.col("p_name")).alias("code"))
 
 
-@query("f10_phonetic_join", f"""with l as (select distinct p_name as v from part), r as (select distinct p_type || 'R' as v from part union select distinct p_name from part)
-  select l.v as left_value, r.v as right_value, {_soundex_sql('l.v')} as code from l join r on {_soundex_sql('l.v')} = {_soundex_sql('r.v')}""")
+@query("f10_phonetic_join", f"""with l as (select distinct p_name as v from part), r as (select distinct p_type || 'R' as v from part union select distinct p_name from part),
+  b as (select 'left' as side, v as value, {_soundex_sql('v')} as code from l union all select 'right', v, {_soundex_sql('v')} from r)
+  select side, value, code, (select count(*) from b o where o.code = b.code and o.side <> b.side) as partners from b
+  where exists (select 1 from b o where o.code = b.code and o.side <> b.side)""")
 def f10(spark, sf):
     part = table(spark, sf, "part")
     other = part.selectExpr("p_type || 'R' as v").unionAll(part.selectExpr("p_name as v"))

@@ -135,5 +135,5 @@ def test_set_joins(spark, threshold):
 def test_phonetic(spark):
     l = spark.createDataFrame([("Robert",), ("Smith",)], "v string")
     r = spark.createDataFrame([("Rupert",), ("Smyth",), ("Jones",)], "v string")
-    got = {(x.left_value, x.right_value) for x in sim.phonetic_join(l, r, "v", "v").collect()}
-    assert got == {("Robert", "Rupert"), ("Smith", "Smyth")}
+    got = {(x.side, x.value, x.partners) for x in sim.phonetic_join(l, r, "v", "v").collect()}
+    assert got == {("left", "Robert", 1), ("right", "Rupert", 1), ("left", "Smith", 1), ("right", "Smyth", 1)}
