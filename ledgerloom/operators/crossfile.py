@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.scoring import score_udf
-from .ordering import with_position
+from .ordering import spread, with_position
 from .profile import unpivot_text
 from .schema_map import PROVENANCE, Sheet
 
@@ -66,7 +66,7 @@ def _survivors(records: DataFrame) -> DataFrame:
     """
     records = with_fields(records, FIELDS)
     keys = _exact_keys(records).select("ord", "key")
-    copied = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("key is not null and n > 1")
+    copied = keys.groupBy("key", spread("key")).agg(F.count(F.lit(1)).alias("n")).filter("key is not null and n > 1").select("key")
     exact = keys.join(copied, "key", "left_semi").select("ord")
     rest = records.join(exact, "ord", "left_anti")
     name = tx.clean_text(F.coalesce(F.when(F.col("Name") != "", F.col("Name")), F.col("Company")))

@@ -5,7 +5,8 @@ similarity, confidence, method, reason, group_size. ``group_first`` is the
 smallest row id of the group, so (detector, group_first) orders the groups.
 
 Members find their group by a join on the key of a pre-aggregated group table, not
-by a window, so that a key holding a large share of the rows is split at run time.
+by a window, so that a key holding a large share of the rows is split at run time
+(see ``ordering.spread``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..session import stable
-from .ordering import with_position
+from .ordering import spread, with_position
 from .similarity import _key, value_pairs
 
 # Header words by kind of column, and the order of detectors.
@@ -69,8 +70,8 @@ def row_text(df: DataFrame, columns: list[str], norm: str = "full") -> Column:
 
 def _groups(keyed: DataFrame, row_id: str, method: str, reason: str, detector: int) -> DataFrame:
     """Members of keys with more than one row; ``keyed`` has (row_id, key)."""
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), F.min(row_id).alias("group_first"))
-    return keyed.join(sizes.filter("group_size > 1"), "key").select(
+    sizes = keyed.groupBy("key", spread("key")).agg(F.count(F.lit(1)).alias("group_size"), F.min(row_id).alias("group_first"))
+    return keyed.join(sizes.filter("group_size > 1").drop("_spread"), "key").select(
         "key", F.lit(detector).alias("detector"), "group_first", row_id, F.lit(100.0).alias("similarity"),
         F.lit(100.0).alias("confidence"), F.lit(method).alias("method"), F.lit(reason).alias("reason"), "group_size",
     )
@@ -139,11 +140,11 @@ def detect_fuzzy(
     placed = values.join(led, values["first"] == led["follower"], "left").select(
         "key", "first", "n", F.coalesce("leader", "first").alias("lead"), F.coalesce("score", F.lit(100.0)).alias("similarity")
     )
-    groups = placed.groupBy("lead").agg(
+    groups = placed.groupBy("lead", spread("lead")).agg(
         F.sum("n").alias("group_size"), F.min("first").alias("group_first"),
         (F.sum(F.col("similarity") * F.col("n")) / F.sum("n")).alias("confidence"),
         F.min_by("key", "first").alias("group_key"),
-    ).filter("group_size > 1")
+    ).filter("group_size > 1").drop("_spread")
     members = placed.join(groups, "lead").select("key", "group_key", "group_first", "similarity", "confidence", "group_size")
     reason = f"'{column}' similarity ≥ {threshold:.0f}%"
     return keyed.join(members, "key").select(
@@ -169,7 +170,7 @@ def resolve_overlaps(groups: DataFrame, row_id: str) -> DataFrame:
     """
     order = F.struct("detector", "group_first")
     marked = groups.withColumn("_own", order == F.min(order).over(W.partitionBy(row_id)))
-    kept = marked.groupBy("detector", "group_first").agg(F.bool_and("_own").alias("_keep")).filter("_keep")
+    kept = marked.groupBy("detector", "group_first", spread("detector", "group_first")).agg(F.bool_and("_own").alias("_keep")).filter("_keep")
     return groups.join(kept.select("detector", "group_first"), ["detector", "group_first"]).select(*groups.columns)
 
 

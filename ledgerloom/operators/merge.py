@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import quoted, text_of
+from .ordering import spread
 
 # Accepted join names.
 JOIN_KINDS = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full"}
@@ -53,7 +54,8 @@ def merge(left: DataFrame, right: DataFrame, on=None, how: str = "inner", suffix
     if kind == "right":
         return l.join(r, on_cond, kind).select(*shown("_rk"), *lcols, *rcols)
     matched = l.join(r, on_cond, "left").select(*shown("_lk"), *lcols, *shown("_rk", suffix), *rcols)
-    alone = r.join(l.select(*[f"_lk{i}" for i in range(len(keys))]), on_cond, "left_anti").select(*shown("_rk", suffix), *rcols)
+    known = [f"_lk{i}" for i in range(len(keys))]
+    alone = r.join(l.groupBy(*known, spread(*known)).agg(F.lit(1)).select(*known), on_cond, "left_anti").select(*shown("_rk", suffix), *rcols)
     return matched.unionByName(alone, allowMissingColumns=True)
 
 
@@ -94,7 +96,8 @@ def merge_stats(left: DataFrame, right: DataFrame, on, how: str = "inner", suffi
         return df.distinct().agg(F.count(F.lit(1))).scalar()
 
     def alone(a: DataFrame, b: DataFrame):
-        return a.join(b.distinct(), keys, "left_anti").agg(F.count(F.lit(1))).scalar()
+        known = b.groupBy(*keys, spread(*keys)).agg(F.lit(1)).select(*[quoted(k) for k in keys])
+        return a.join(known, keys, "left_anti").agg(F.count(F.lit(1))).scalar()
 
     zero = F.lit(0).cast("long")
     left_gap = F.greatest(zero, distinct_count(lk) - distinct_count(jk)) if how in ("right", "inner") else zero

@@ -39,6 +39,17 @@ def with_position(df: DataFrame, order_by: list, name: str = "pos", start: int =
     )
 
 
+def spread(*keys: str) -> Column:
+    """Extra grouping column for aggregates that are joined back to rows on ``keys``.
+
+    It follows from the keys, so groups stay the same, but the aggregate is then
+    partitioned by more than the keys and the join shuffles both of its inputs. Only
+    such joins have their hot partitions split at run time; without it the rows of
+    a hot key would all pass through one task.
+    """
+    return F.pmod(F.xxhash64(*[F.col(quoted(k)) for k in keys]), F.lit(8)).alias("_spread")
+
+
 def first_by(value: Column, order: Column, keep: Column) -> Column:
     """Value of the row that comes first in ``order`` among rows where ``keep`` holds."""
     return F.min_by(F.when(keep, value), F.when(keep, order))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.text import ngrams, quoted, soundex_code, tokens
 from ..session import stable
+from .ordering import spread
 
 # How far the parts of the combined score are scaled down.
 TOKEN = scoring.TOKEN_SCALE
@@ -103,7 +104,7 @@ def _ranked(sig: DataFrame, grams: str, frequency: DataFrame, keep: list[str]) -
 
 def _frequency(left: DataFrame, right: DataFrame, grams: str) -> DataFrame:
     both = left.select(F.explode(grams).alias("g")).unionAll(right.select(F.explode(grams).alias("g")))
-    return both.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    return both.groupBy("g", spread("g")).agg(F.count(F.lit(1)).alias("f")).drop("_spread")
 
 
 def _lost(bits: str) -> tuple[Column, Column]:
@@ -368,9 +369,9 @@ def phonetic_join(left: DataFrame, right: DataFrame, left_col: str, right_col: s
         for df, c, side in ((left, left_col, "left"), (right, right_col, "right"))
     ]
     both = sides[0].unionAll(sides[1])
-    sizes = both.groupBy("code").agg(
+    sizes = both.groupBy("code", spread("code")).agg(
         F.count_if(F.col("side") == "left").alias("lefts"), F.count_if(F.col("side") == "right").alias("rights")
-    ).filter("lefts > 0 and rights > 0")
+    ).filter("lefts > 0 and rights > 0").drop("_spread")
     partners = F.when(F.col("side") == "left", F.col("rights")).otherwise(F.col("lefts"))
     return both.join(sizes, "code").select("side", "value", "code", partners.alias("partners"))
 

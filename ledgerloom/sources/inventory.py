@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordering import with_position
+from ..operators.ordering import spread, with_position
 
 # Readable extensions, size cap of content analysis, skipped name.
 EXTENSIONS = ("csv", "tsv", "txt")
@@ -82,7 +82,7 @@ def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> Data
     before = placed.select(
         (F.col("_pos") + 1).alias("_pos"), F.col("sha256").alias("_sha"), F.col("relative_path").alias("_before")
     )
-    first = placed.groupBy("sha256").agg(F.min("relative_path").alias("_first"))
+    first = placed.groupBy("sha256", spread("sha256")).agg(F.min("relative_path").alias("_first")).drop("_spread")
     joined = placed.join(before, "_pos", "left").join(first, "sha256")
     same = F.when(F.col("_sha") == F.col("sha256"), F.col("_before"))
     return joined.select(
