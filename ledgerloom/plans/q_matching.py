@@ -288,3 +288,83 @@ def x8(spark, sf):
     sheets = contact_sheets(spark, sf) + [sm.Sheet(mail, ["c_custkey"], "mail.csv", "mail", "sales")]
     found = xf.cross_match(sheets)
     return found.select("key", "Match_Occurrences", "Matched_In_Files", F.coalesce("`Customer Name`", "`Full Name`", F.lit("")).alias("primary_name"))
+
+
+# ---------------------------------------------------------------- scores that SQL can follow
+
+# The product name column has few distinct values at every scale, so the quadratic
+# form of the oracle stays small over the whole table.
+
+
+def _lcs_sql(a: str, b: str) -> str:
+    """Longest common subsequence by rows of the usual table, as nested list folds."""
+    cell = f"case when unicode({b}[j[1]]) = ch[1] then row[j[1]] + 1 else greatest(acc[j[1]], row[j[1] + 1]) end"
+    line = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda x: [x]), lambda acc, j: list_append(acc, {cell}), [0::bigint])"
+    letters = f"list_transform(range(1, length({a}) + 1), lambda x: [unicode({a}[x])::bigint])"
+    start = f"list_transform(range(length({b}) + 1), lambda x: 0::bigint)"
+    return f"list_reduce({letters}, lambda row, ch: {line}, {start})[length({b}) + 1]"
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return f"(1 - (length({a}) + length({b}) - 2 * {_lcs_sql(a, b)}) / cast(length({a}) + length({b}) as double)) * 100"
+
+
+_SPELLED = "case when p_partkey % 2 = 0 then replace(p_name, 'in', 'n') else p_name || 's' end"
+_TURNED = "split_part(p_name, ' ', 2) || ' ' || replace(split_part(p_name, ' ', 1), 'e', '')"
+
+
+def _pairs_sql(other: str, sorted_words: bool) -> str:
+    def form(x):
+        return f"array_to_string(list_sort(string_split({x}, ' ')), ' ')" if sorted_words else x
+
+    return f"""l as (select p_name as v, {form('p_name')} as u, count(*) as n from part group by all), r as (select v, {form('v')} as u, count(*) as n from (select {other} as v from part) group by all),
+  pairs as (select l.v as left_value, r.v as right_value, l.n as left_rows, r.n as right_rows, {_ratio_sql('l.u', 'r.u')} as score from l, r)"""
+
+
+def _labelled(spark, sf, other):
+    part = table(spark, sf, "part")
+    return part, part.selectExpr(f"{other} as other")
+
+
+def _scored(name: str, scorer: str, threshold: float, other: str, sorted_words: bool):
+    sql = f"with {_pairs_sql(other, sorted_words)} select left_value, right_value, left_rows, right_rows, round(score, 6) as score from pairs where score >= {threshold}"
+
+    @query(name, sql)
+    def run(spark, sf):
+        return si.similarity_join(*_labelled(spark, sf, other), "p_name", "other", scorer, threshold).withColumn("score", F.round("score", 6))
+
+
+_scored("f1_ratio_product_names", "ratio", 75.0, _SPELLED, False)
+_scored("f3_token_sort_product_names", "token_sort", 80.0, _TURNED, True)
+_scored("f6_quick_ratio_product_names", "quick_ratio", 88.0, _SPELLED, False)
+
+
+@query("f7_best_product_name", f"with {_pairs_sql(_SPELLED, False)} select left_value, right_value, left_rows, right_rows, round(score, 6) as score from pairs where score >= 80 "
+       "qualify row_number() over (partition by left_value order by score desc, right_value) = 1")
+def f7_names(spark, sf):
+    return si.best_match(*_labelled(spark, sf, _SPELLED), "p_name", "other", "ratio", 80.0).withColumn("score", F.round("score", 6))
+
+
+@query("f8_top_product_names", f"""with {_pairs_sql(_SPELLED, False)} select left_value, right_value, left_rows, right_rows, round(score, 6) as score,
+  row_number() over (partition by left_value order by score desc, right_value) as rank from pairs where score >= 60 qualify rank <= 3""")
+def f8_names(spark, sf):
+    return si.top_matches(*_labelled(spark, sf, _SPELLED), "p_name", "other", 3, "ratio", 60.0).withColumn("score", F.round("score", 6))
+
+
+_GREEDY = f"""with keys as (select p_name as v, min(p_partkey) as first, count(*) as n from part group by 1), ranked as (select *, row_number() over (order by first) as i from keys),
+  near as (select b.i, a.i as j, {_ratio_sql('a.v', 'b.v')} as score from ranked a, ranked b where a.i < b.i), hits as (select * from near where score >= 70),
+  links as (select ranked.i, list(j) filter (where j is not null) as js from ranked left join hits using (i) group by 1),
+  table_of as (select list(coalesce(js, []) order by i) as adj from links),
+  led as (select list_reduce(list_transform(range(1, len(adj) + 1), lambda x: [x]), lambda acc, x: case when len(list_intersect(acc, adj[x[1]])) = 0 then list_append(acc, x[1]) else acc end,
+    []::bigint[]) as leaders from table_of),
+  placed as (select r.*, coalesce(h.j, r.i) as lead from ranked r left join (select hits.i, min(hits.j) as j from hits, led where list_contains(leaders, hits.j) group by 1) h on h.i = r.i),
+  scored as (select p.*, coalesce(h.score, 100) as similarity, l.v as key, l.first as group_first from placed p join ranked l on l.i = p.lead left join hits h on h.i = p.i and h.j = p.lead),
+  groups as (select lead, sum(n) as group_size, sum(similarity * n) / sum(n) as confidence from scored group by 1 having sum(n) > 1)"""
+
+
+@query("d3_fuzzy_product_names", _GREEDY + """ select p_partkey as row_id, key, group_first, round(similarity, 6) as similarity, round(confidence, 6) as confidence, cast(group_size as bigint) as group_size
+  from part join scored on p_name = v join groups using (lead)""")
+def d3_products(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), "p_name")
+    found = dd.detect_fuzzy(part, "row_id", "p_name", 70.0, "ratio")
+    return found.select("row_id", "key", "group_first", F.round("similarity", 6).alias("similarity"), F.round("confidence", 6).alias("confidence"), "group_size")
