@@ -115,7 +115,7 @@ def near_matches(records: DataFrame, window: int = WINDOW, similar_below: float
     reason = (
         F.when(F.col("_high"), F.concat(F.lit("Case/formatting difference only ("), quote("name_a"), F.lit(" vs "), quote("name_b"), F.lit(")")))
         .when(F.col("_same"), F.concat(F.lit("Same Name ("), quote("name_a"), F.lit("), but differing details across files")))
-        .otherwise(F.concat(F.format_string("Minor spelling difference (%.0f%% similarity: ", F.col("ratio")),
+        .otherwise(F.concat(F.lit("Minor spelling difference ("), F.bround("ratio", 0).cast("int").cast("string"), F.lit("% similarity: "),
                             quote("name_a"), F.lit(" vs "), quote("name_b"), F.lit(")")))
     )
     fields = F.when(F.col("_same") & ~F.col("_high"), "Name").otherwise("Name/Company")

@@ -111,9 +111,10 @@ def discover_relationships(datasets: dict[str, DataFrame], min_overlap: float =
     )
     left_in, right_in = F.col("ab") > CONTAINED, F.col("ba") > CONTAINED
     cardinality = F.when(left_in & right_in, "1:1").when(right_in, "N:1").when(left_in, "1:N").otherwise("N:N")
-    same = F.format_string("Same column name; %.0f%% / %.0f%% value overlap", F.col("ab") * 100, F.col("ba") * 100)
-    near = F.format_string("Compatible names (%s ~ %s); overlaps %.0f%% / %.0f%%", "left_column", "right_column",
-                           F.col("ab") * 100, F.col("ba") * 100)
+    share = lambda c: F.concat(F.bround(F.col(c) * 100, 0).cast("int").cast("string"), F.lit("%"))
+    same = F.concat(F.lit("Same column name; "), share("ab"), F.lit(" / "), share("ba"), F.lit(" value overlap"))
+    near = F.concat(F.lit("Compatible names ("), F.col("left_column"), F.lit(" ~ "), F.col("right_column"), F.lit("); overlaps "),
+                    share("ab"), F.lit(" / "), share("ba"))
     return found.select(
         "left_dataset", "left_column", "right_dataset", "right_column",
         F.round("ab", 4).alias("overlap"), F.round("ba", 4).alias("reverse_overlap"),

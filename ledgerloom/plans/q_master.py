@@ -8,7 +8,7 @@ from ..operators import crossfile as xf
 from ..operators import mdm
 from ..operators import schema_map as sm
 from . import reports
-from .q_matching import _EXACT_MATCHES, _SAME, _SURVIVORS
+from .q_matching import _EXACT_MATCHES, _HIGH, _SAME, _SIMILAR, _SURVIVORS, SUMMARY_SQL
 from .q_quality import MISSING_SQL
 from .registry import query
 from .sheets import RECORDS_SQL, contact_sheets, joined_parts, n_clean, n_exact, n_phone
@@ -190,7 +190,18 @@ def e1(spark, sf):
     return reports.DuplicateReport(contact_sheets(spark, sf)).exact_duplicates
 
 
-@query("e1_similar_records")
+_SPOT = "source_file || ' (' || sheet_name || ':L' || rn || ')'"
+_SPOT_B = "file_b || ' (' || replace(file_b, '.csv', '') || ':L' || rn_b || ')'"
+_BOTH = "''' || nm || ''' vs ''' || nm_b || '''"
+_PAIR_COLUMNS = "ord, ord_b, nm, nm_b, source_file, sheet_name, rn, file_b, rn_b"
+
+
+@query("e1_similar_records", f"""with {_SIMILAR}, found as (
+    select {_PAIR_COLUMNS}, cast(97 as double) as c, 'Name/Company' as f, 'Case/formatting difference only ({_BOTH})' as d from pairs where {_HIGH}
+    union all select {_PAIR_COLUMNS}, score, 'Name/Company', 'Minor spelling difference (' || printf('%.0f', score) || '% similarity: {_BOTH})' from alike
+    union all select {_PAIR_COLUMNS}, cast(75 as double), 'Name', 'Same Name (''' || nm || '''), but differing details across files' from pairs where {_SAME})
+  select (select coalesce(max(group_id), 0) from groups) + row_number() over (order by ord, ord_b) as "Group ID", nm as "Name / Primary Entity", printf('%.1f', c) || '%' as "Similarity",
+    f as "Matching Fields", {_SPOT} || ' | ' || {_SPOT_B} as "Source Files", d as "Details" from found""")
 def e1_similar(spark, sf):
     return reports.DuplicateReport(contact_sheets(spark, sf)).similar_records
 
@@ -209,7 +220,14 @@ def e1_missing(spark, sf):
     return reports.DuplicateReport(contact_sheets(spark, sf)).missing_data
 
 
-@query("e1_summary")
+_METRICS = {
+    "total_files": "Total Files Processed", "total_worksheets": "Total Worksheets Analyzed", "total_records": "Total Records Analyzed",
+    "exact_duplicates": "Exact Duplicate Records", "similar_records": "Similar Match Records", "possible_matches": "Possible Match Records",
+    "unique_records": "Unique Records", "conflicting_records": "Conflicting Records Flagged", "missing_records": "Missing Data Instances",
+}
+
+
+@query("e1_summary", f"with x as ({SUMMARY_SQL}) " + " union all ".join(f"select '{label}' as metric, cast({c} as varchar) as value from x" for c, label in _METRICS.items()))
 def e1_summary(spark, sf):
     return reports.DuplicateReport(contact_sheets(spark, sf)).summary
 

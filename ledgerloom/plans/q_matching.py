@@ -9,6 +9,7 @@ from ..operators import crossfile as xf
 from ..operators import dedupe as dd
 from ..operators import schema_map as sm
 from ..operators import similarity as si
+from .q_quality import MISSING_SQL
 from .registry import query
 from .sheets import ACCOUNTS, NAMED, RECORDS_SQL, contact_sheets, frame, joined_parts, n_clean, n_exact, n_hc, select_sql, table
 
@@ -210,6 +211,19 @@ def d8_totals(spark, sf):
     return dd.group_totals(dd.detect_smart(_accounts(spark, sf), "row_id"))
 
 
+def _lcs_sql(a: str, b: str) -> str:
+    """Longest common subsequence by rows of the usual table, as nested list folds."""
+    cell = f"case when unicode({b}[j[1]]) = ch[1] then row[j[1]] + 1 else greatest(acc[j[1]], row[j[1] + 1]) end"
+    line = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda x: [x]), lambda acc, j: list_append(acc, {cell}), [0::bigint])"
+    letters = f"list_transform(range(1, length({a}) + 1), lambda x: [unicode({a}[x])::bigint])"
+    start = f"list_transform(range(length({b}) + 1), lambda x: 0::bigint)"
+    return f"list_reduce({letters}, lambda row, ch: {line}, {start})[length({b}) + 1]"
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return f"(1 - (length({a}) + length({b}) - 2 * {_lcs_sql(a, b)}) / cast(length({a}) + length({b}) as double)) * 100"
+
+
 # ---------------------------------------------------------------- cross-file
 
 _FIELDS = {"Name": "name", "Company": "company", "Email": "email", "Phone Number": "phone", "Address": "address", "GST Number": "gst"}
@@ -245,8 +259,20 @@ def x2(spark, sf):
     return pairs.select("ord_a", "ord_b", "name_a", "name_b", "confidence", "reason")
 
 
-@query("x3_similar_records")
+# Pairs in the window are scored by the slow fold; letters in common bound the score first.
+_SIMILAR = f"""{_SURVIVORS}, near as (select *, lower(nm) as low, lower(nm_b) as low_b from pairs where not {_HIGH} and lower(nm) <> lower(nm_b) and abs(length(nm) - length(nm_b)) <= 10),
+  open as (select * from near where length(low) - len(list_filter(string_split(low, ''), lambda c: contains(low_b, c))) <= length(low) - 0.4 * (length(low) + length(low_b))),
+  scored as (select *, {_ratio_sql('low', 'low_b')} as score from open), alike as (select * from scored where score >= 80 and score < 95)"""
+
+
+@query("x3_similar_records", f"with {_SIMILAR} select ord as ord_a, ord_b, nm as name_a, nm_b as name_b, round(score, 1) as confidence from alike")
 def x3(spark, sf):
+    pairs = xf.near_matches(_records(spark, sf)).filter(F.col("match_level") == xf.SIMILAR_LEVEL)
+    return pairs.select("ord_a", "ord_b", "name_a", "name_b", "confidence")
+
+
+@query("x3_similar_reasons")
+def x3_reasons(spark, sf):
     return xf.near_matches(_records(spark, sf)).filter(F.col("match_level") == xf.SIMILAR_LEVEL)
 
 
@@ -265,7 +291,17 @@ def x5(spark, sf):
     return xf.match_conflicts(xf.near_matches(_records(spark, sf))).drop("sheet_name_a", "sheet_name_b")
 
 
-@query("x7_cross_summary")
+SUMMARY_SQL = f"""with {_SIMILAR}, possible as (select * from pairs where {_SAME}), high as (select * from pairs where {_HIGH}),
+  flagged as (select ord from keyed join sizes using (key) union select ord from alike union select ord_b from alike union select ord from possible union select ord_b from possible
+    union select ord from high union select ord_b from high),
+  conf as (select count(*) filter (where em <> '' and em_b <> '' and em <> em_b) + count(*) filter (where ph <> '' and ph_b <> '' and ph <> ph_b) as n from possible)
+  select 2 as total_files, 2 as total_worksheets, (select count(*) from rec) as total_records, (select count(*) from keyed join sizes using (key)) as exact_duplicates,
+  2 * ((select count(*) from alike) + (select count(*) from high)) as similar_records, (select count(*) from possible) as possible_matches,
+  (select count(*) from rec) - (select count(*) from flagged) as unique_records, (select n from conf) as conflicting_records,
+  (select count(*) from ({MISSING_SQL})) as missing_records"""
+
+
+@query("x7_cross_summary", SUMMARY_SQL)
 def x7(spark, sf):
     sheets = contact_sheets(spark, sf)
     records = sm.canonical_records(sheets)
@@ -296,19 +332,6 @@ def x8(spark, sf):
 # form of the oracle stays small over the whole table.
 
 
-def _lcs_sql(a: str, b: str) -> str:
-    """Longest common subsequence by rows of the usual table, as nested list folds."""
-    cell = f"case when unicode({b}[j[1]]) = ch[1] then row[j[1]] + 1 else greatest(acc[j[1]], row[j[1] + 1]) end"
-    line = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda x: [x]), lambda acc, j: list_append(acc, {cell}), [0::bigint])"
-    letters = f"list_transform(range(1, length({a}) + 1), lambda x: [unicode({a}[x])::bigint])"
-    start = f"list_transform(range(length({b}) + 1), lambda x: 0::bigint)"
-    return f"list_reduce({letters}, lambda row, ch: {line}, {start})[length({b}) + 1]"
-
-
-def _ratio_sql(a: str, b: str) -> str:
-    return f"(1 - (length({a}) + length({b}) - 2 * {_lcs_sql(a, b)}) / cast(length({a}) + length({b}) as double)) * 100"
-
-
 _SPELLED = "case when p_partkey % 2 = 0 then replace(p_name, 'in', 'n') else p_name || 's' end"
 _TURNED = "split_part(p_name, ' ', 2) || ' ' || replace(split_part(p_name, ' ', 1), 'e', '')"
 
