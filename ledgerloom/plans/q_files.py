@@ -100,7 +100,7 @@ def s8(spark, sf):
     return iv.discover_incremental(spark, root, manifest).groupBy("folder", "reanalysed").agg(F.sum("rows").alias("rows"))
 
 
-@query("s9_write_tables", "select 'orders' as name, count(*) as rows, sum(o_orderkey) as keys from orders union all select 'customer', count(*), sum(c_custkey) from customer")
+@query("s9_write_tables", "select 'orders' as name, count(*) as rows, cast(sum(o_orderkey) as bigint) as keys from orders union all select 'customer', count(*), cast(sum(c_custkey) as bigint) from customer")
 def s9(spark, sf):
     written = sinks.write_tables({t: table(spark, sf, t) for t in ("orders", "customer")}, scratch(spark))
     keys = {"orders": "o_orderkey", "customer": "c_custkey"}
