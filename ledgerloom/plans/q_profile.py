@@ -9,9 +9,6 @@ from .registry import query
 from .sheets import table
 
 ORDER_COLUMNS = ["o_custkey", "o_orderstatus", "o_orderpriority"]
-_STATS = """
-  select count(*) as n, (select count(*) from (select distinct {cols} from {t})) as u, {nulls} as m from {t}
-"""
 
 
 def _kpi_tables(spark, sf):
