@@ -5,12 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mtree, onebit
 from .common import read
 from .packing import pack
 from .tokens import count_tokens
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_tree_search": """
+        with scaled as (
+            select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+            select q.vec_id query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint score
+            from scaled q join scaled c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+        select * from (
+            select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int "rank", vec_id, score from scored)
+        where "rank" <= 10""",
+}
 
 
 def query(fn):
@@ -18,12 +30,24 @@ def query(fn):
     return fn
 
 
+@query
+def op2_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return onebit.search(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
+@query
+def op8_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return mtree.search(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
