@@ -9,6 +9,7 @@ from . import mtree, onebit
 from .common import read
 from .packing import pack
 from .tokens import count_tokens
+from .urls import judge
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {
@@ -51,3 +52,9 @@ def op8_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+    return judge(read(spark, sf_dir, "pages"), rules)
