@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mtree, onebit
-from .common import read
+from . import langid, mtree, onebit
+from .common import crc_mod, read
 from .packing import pack
 from .tokens import count_tokens
 from .urls import judge
@@ -43,6 +44,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 3) == 1
+    documents = read(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    found = langid.identify(documents, langid.fit(documents.where(~F.col("held_out"))), keep=["held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op8_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
