@@ -134,6 +134,30 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         yield pa.concat_tables(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 4096) -> Iterator[pa.Table]:
+    """Regroup Arrow batches that are sorted by ``keys`` so that no group is cut; about ``least`` rows a table, or one larger group."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        new = np.zeros(len(table), bool)
+        for key in keys:
+            column = table[key].to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+            new[0] |= bool(held) and held[-1][key][-1].as_py() != column[0]
+        starts = np.flatnonzero(new)
+        if len(starts) and size + starts[-1] >= least:
+            held.append(table.slice(0, starts[-1]))
+            yield pa.concat_tables(held)
+            table = table.slice(starts[-1])
+            held, size = [], 0
+        held.append(table)
+        size += len(table)
+    if held:
+        yield pa.concat_tables(held)
+
+
 def _byte_lengths(texts: pa.Array):
     import pyarrow.compute as pc
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import langid, mtree, onebit
 from .common import crc_mod, read
+from .near import near_duplicates
 from .packing import pack
 from .tokens import count_tokens
 from .urls import judge
@@ -38,6 +39,11 @@ def op2_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.search(rows, rows.where("vec_id % 20 = 0"), k=20)
 
 
+@query
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
