@@ -122,9 +122,11 @@ def fit(df: DataFrame, label_col: str = "lang", text_col: str = "text", id_col:
     chars = 2 * WINDOW
     order = F.xxhash64(F.col("id").cast("string"))
     rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(order, F.xxhash64("text")))).where(F.col("r") <= PER_LABEL)
-    at = F.pmod(F.xxhash64(F.col("id").cast("string"), "j"), F.greatest(F.length("text") - chars, F.lit(1))) + 1
-    cuts = rows.orderBy("r", "label").limit(MOST_ROWS).select("label", "r", "text", F.explode(F.sequence(F.lit(1), F.lit(CUTS))).alias("j"), "id").select("label", "r", "j", F.substring("text", at.cast("int"), F.lit(chars)).alias("cut"))
+    at = lambda j: F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(j)), F.greatest(F.length("text") - chars, F.lit(1))) + 1
+    cuts = [F.substring("text", at(j).cast("int"), F.lit(chars)) for j in range(CUTS)]
+    rows = rows.select("label", order.alias("order"), F.array(*cuts).alias("cuts"))  # before the ranking, so that no whole text is shuffled
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("order", "cuts"))).where(F.col("r") <= PER_LABEL)
+    cuts = rows.orderBy("r", "label").limit(MOST_ROWS).select("label", "r", F.posexplode("cuts").alias("j", "cut"))
     taken = sorted((r.label, r.r, r.j, r.cut) for r in cuts.collect())
     if not taken:
         return None
