@@ -10,6 +10,7 @@ from . import langid, mtree, onebit
 from .common import crc_mod, read
 from .near import near_duplicates
 from .packing import pack
+from .repeats import remove_repeats
 from .tokens import count_tokens
 from .urls import judge
 
@@ -50,6 +51,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
+@query
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 3) == 1
