@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mtree, onebit
+from . import langid, mtree, onebit, pieces
 from .common import crc_mod, read
 from .near import near_duplicates
 from .packing import pack
@@ -57,6 +57,11 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 3) == 1
