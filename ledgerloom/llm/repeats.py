@@ -112,15 +112,17 @@ def _shared(docs: DataFrame, window: int, buckets: int, bits: int) -> list[tuple
 
 def _occurrences(docs: DataFrame, window: int, shared, hot, buckets: int, bits: int) -> DataFrame:
     """Every run whose minimiser may be another document's too, as one packed string; of very frequent minimisers each window alone."""
-    schema = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("packed", pa.string())])
+    schema = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("low", pa.int64()), ("packed", pa.string())])
 
     def on(maps, minimiser):
+        if maps.value is None:
+            return np.zeros(len(minimiser), bool)
         bucket, at = _bit(minimiser, buckets, bits)
         place = bucket * bits + at
         return (maps.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
     def run(batches):
-        for table in blocks(batches):
+        for table in blocks(batches, most=4 * BLOCK_BYTES):
             block = Block(table["text"])
             runs = SuperKmers(block, window)
             chosen = on(shared, runs.minimiser)
@@ -134,12 +136,21 @@ def _occurrences(docs: DataFrame, window: int, shared, hot, buckets: int, bits:
             last = at + windows + window - 2
             packed, starts, ends = _packed(block, runs, at, last)
             s1, s2 = (Block.hashes(packed, starts, ends, seed).view(np.int64) for seed in (1, 2))
+            if not len(doc):
+                continue
+            ids = table["doc_id"].to_numpy()[doc]
+            order = np.lexsort((ids, s2, s1))
+            new = np.append(True, (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1]))
+            sender = order[new]  # equal runs of a block: the one of the least id carries the string
+            carried = np.full(len(doc), -1)
+            carried[sender] = np.arange(len(sender))
+            strings = spans_to_strings(packed.data, starts[sender], ends[sender])
             yield to_arrow(schema, {
-                "key": key.view(np.int64), "s1": s1, "s2": s2, "doc_id": table["doc_id"].to_numpy()[doc] if len(doc) else [], "text_hash": table["text_hash"].to_numpy()[doc] if len(doc) else [],
-                "start": (at - runs.first_word[doc]).astype(np.int32) if len(doc) else [], "packed": spans_to_strings(packed.data, starts, ends),
+                "key": key.view(np.int64), "s1": s1, "s2": s2, "doc_id": ids, "text_hash": table["text_hash"].to_numpy()[doc], "start": (at - runs.first_word[doc]).astype(np.int32),
+                "low": pa.array(ids, mask=carried < 0), "packed": strings.take(pa.array(carried, mask=carried < 0)),
             })
 
-    return docs.mapInArrow(run, "key long, s1 long, s2 long, doc_id long, text_hash long, start int, packed string")
+    return docs.mapInArrow(run, "key long, s1 long, s2 long, doc_id long, text_hash long, start int, low long, packed string")
 
 
 def _packed(block: Block, runs: SuperKmers, first: np.ndarray, last: np.ndarray) -> tuple[Block, np.ndarray, np.ndarray]:
@@ -162,19 +173,24 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return out, off[:-1], off[1:] - 1
 
 
-def _least_ids(distinct: DataFrame, window: int) -> DataFrame:
+def _least_ids(strings: DataFrame, window: int) -> DataFrame:
     """For every distinct packed string the least id that has each of its windows: windows of a bucket are sorted and met exactly."""
     schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("least", pa.list_(pa.int64()))])
 
     def run(batches):
         for table in whole_groups(batches, ["key"], 32768):
+            s1, s2 = table["s1"].to_numpy(), table["s2"].to_numpy()
+            order = np.lexsort((s2, s1))
+            first = np.flatnonzero(np.append(True, (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])))
+            lows = np.minimum.reduceat(table["low"].to_numpy()[order], first)
+            table = table.take(pa.array(order[first]))
             block = Block(table["packed"])
             starts, ends, doc = block.words()
             count = np.bincount(doc, minlength=block.n)
             first = np.concatenate([[0], np.cumsum(count)])[:-1]
             at, off = ragged(first, count - window + 1)
             one, two = (_runs_hash(block.hashes(starts, ends, seed), at, window) for seed in (0, 5))
-            ids = np.repeat(table["low"].to_numpy(), count - window + 1)
+            ids = np.repeat(lows, count - window + 1)
             order = np.lexsort((two, one))
             one, two = one[order], two[order]
             new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
@@ -183,7 +199,7 @@ def _least_ids(distinct: DataFrame, window: int) -> DataFrame:
             least[order] = lowest
             yield to_arrow(schema, {"s1": table["s1"].combine_chunks(), "s2": table["s2"].combine_chunks(), "least": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(least))})
 
-    return distinct.repartition("key").sortWithinPartitions("key").mapInArrow(run, "s1 long, s2 long, least array<long>")
+    return strings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "s1 long, s2 long, least array<long>")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -209,12 +225,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
-    bits = max(8, min(FILTER_BITS, 8 * total + (1 << 16)) // buckets // 8 * 8)
+    bits = max(8, min(FILTER_BITS, total // 4 + (1 << 16)) // buckets // 8 * 8)
     maps = _shared(docs, window, buckets, bits)
-    shared, hot = (spark.sparkContext.broadcast(np.concatenate([m[i] for m in maps])) for i in (0, 1))
+    shared, hot = (np.concatenate([m[i] for m in maps]) for i in (0, 1))
+    shared, hot = (spark.sparkContext.broadcast(m if m.any() else None) for m in (shared, hot))
     found = settle(_occurrences(docs, window, shared, hot, buckets, bits), "runs")
-    distinct = found.groupBy("s1", "s2").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), F.min("packed").alias("packed"))
-    least = _least_ids(distinct, window)
+    least = _least_ids(found.where("packed is not null").select("key", "s1", "s2", "low", "packed"), window)
     met = found.select("s1", "s2", "doc_id", "text_hash", "start").join(least, ["s1", "s2"])
     places = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     lost = met.select("doc_id", "text_hash", places.alias("places")).where(F.size("places") > 0).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("places")).alias("places"))
