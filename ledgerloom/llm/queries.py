@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mtree, onebit, pieces
+from . import langid, mixing, mtree, onebit, pieces
 from .common import crc_mod, read
 from .near import near_duplicates
 from .packing import pack
@@ -34,6 +34,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(read(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+
+
 @query
 def op2_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
