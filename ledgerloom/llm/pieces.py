@@ -16,7 +16,7 @@ SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
 _NEVER = float("inf")
 FALLBACK_WEIGHT = 100.0
-KEPT_UNITS, KEPT_PAIRS = 1 << 19, 1 << 20
+KEPT_UNITS, KEPT_PAIRS = 1 << 20, 1 << 20
 
 
 def _fields(message: bytes):
@@ -80,7 +80,6 @@ class Transducer:
             self.out[i] = bytes([value])
         self.rank = {p: -s for p, s in score.items()}
         self.weight = {p: 1.0 if self.merges else -s for p, s in score.items()}
-        self.longest = max(map(len, self.ids))
         self.spines: dict[str, tuple[list, list]] = {}
         if self.merges:
             for piece in list(self.ids):
@@ -89,6 +88,7 @@ class Transducer:
                     del self.weight[piece]  # no merges lead to it
                 else:
                     self.spines[piece] = edges
+        self.index()
 
     def _edges(self, piece: str) -> tuple[list, list] | None:
         """How the piece's last, and its first, character grows by merges: each stage and the rank at which it ends."""
@@ -129,44 +129,72 @@ class Transducer:
                 j += 1
 
     def shortest(self, text: str, pairs: dict) -> list[int]:
-        """Ids of the cheapest path that reads the whole normalised ``text``. ``pairs`` keeps what ``may_follow`` said."""
-        n = len(text)
-        best: list = [(0.0, None, "")] + [None] * n
-        weight, merges, longest = self.weight, self.merges, self.longest
-        for end in range(1, n + 1):
-            found = None
-            for start in range(end - 1, max(-1, end - longest - 1), -1):
-                before = best[start]
-                if before is None:
-                    continue
-                piece = text[start:end]
-                cost = weight.get(piece)
-                if cost is None:
-                    if end - start > 1:
-                        continue
-                    cost = FALLBACK_WEIGHT
-                cost += before[0]
-                if found is not None and cost >= found[0]:
-                    continue
-                if merges and start:
-                    key = (before[2], piece)
-                    fits = pairs.get(key)
-                    if fits is None:
-                        fits = pairs[key] = self.may_follow(*key)
-                    if not fits:
+        """Ids of the cheapest path that reads the whole normalised ``text``.
+
+        Places are taken from the left; from each that a path has reached, the
+        lexicon's tree is followed as far as the text goes. ``pairs`` keeps what
+        ``may_follow`` said.
+        """
+        n, merges, tree, costs = len(text), self.merges, self.tree, self.costs
+        best, before, last = [0.0] + [_NEVER] * n, [0] * (n + 1), [0] * (n + 1)
+        for start in range(n):
+            reached = best[start]
+            if reached == _NEVER:
+                continue
+            node, end, left = tree, start, last[start]
+            while end < n:
+                found = node.get(text[end])
+                end += 1
+                if found is None:
+                    if end > start + 1:
+                        break
+                    piece, cost = -ord(text[start]) - 1, reached + FALLBACK_WEIGHT
+                else:
+                    node, piece = found
+                    if piece is not None:
+                        cost = reached + costs[piece]
+                    elif end == start + 1:
+                        piece, cost = -ord(text[start]) - 1, reached + FALLBACK_WEIGHT
+                    else:
                         continue
-                found = (cost, start, piece)
-            best[end] = found
-        path, end = [], n
-        while end:
-            _, end, piece = best[end]
-            path.append(piece)
+                if cost < best[end]:
+                    if merges and start:
+                        key = (left << 32) ^ piece
+                        fits = pairs.get(key)
+                        if fits is None:
+                            fits = pairs[key] = self.may_follow(self._string(left), self._string(piece))
+                        if not fits:
+                            if found is None:
+                                break
+                            continue
+                    best[end], before[end], last[end] = cost, start, piece
+                if found is None:
+                    break
+        path = []
+        while n:
+            path.append(last[n])
+            n = before[n]
+        if min(path, default=0) >= 0:
+            return path[::-1]
         return [i for piece in reversed(path) for i in self._written(piece)]
 
-    def _written(self, piece: str) -> list[int]:
-        if piece in self.weight:
-            return [self.ids[piece]]
-        return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
+    def index(self) -> None:
+        """The lexicon as a tree of characters, from the weights of its pieces."""
+        self.tree, self.costs = {}, {self.ids[p]: w for p, w in self.weight.items()}
+        self.names = {i: p for p, i in self.ids.items()}
+        for piece in self.weight:
+            node = self.tree
+            for c in piece[:-1]:
+                node = node.setdefault(c, [{}, None])[0]
+            node.setdefault(piece[-1], [{}, None])[1] = self.ids[piece]
+
+    def _string(self, piece: int) -> str:
+        return self.names[piece] if piece >= 0 else chr(-piece - 1)
+
+    def _written(self, piece: int) -> list[int]:
+        if piece >= 0:
+            return [piece]
+        return [self.bytes[b] for b in chr(-piece - 1).encode()] if self.bytes else [self.unknown]
 
 
 class PieceCoder:
@@ -178,8 +206,7 @@ class PieceCoder:
         self._forget()
 
     def _forget(self):
-        self.known: dict[int, int] = {}
-        self.starts, self.counts, self.ids = [], [], []
+        self.hashes, self.starts, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids one after another. A unit begins at each first space of several:
@@ -198,25 +225,25 @@ class PieceCoder:
         ends = np.append(starts[1:], n)[: len(starts)]
         doc = np.searchsorted(block.off, starts, side="right") - 1
         distinct, first, inverse = np.unique(block.hashes(starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > KEPT_UNITS:
+        if len(self.hashes) + len(distinct) > KEPT_UNITS:
             self._forget()
         if len(self.pairs) > KEPT_PAIRS:
             self.pairs.clear()
-        place = np.empty(len(distinct), np.int64)
-        raw = d.tobytes()
-        for i, (h, a, b) in enumerate(zip(distinct.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True)):
-            at = self.known.get(h)
-            if at is None:
-                at = self.known[h] = len(self.starts)
-                got = self.t.shortest(raw[a:b].decode("utf-8", "replace").replace(" ", SPACE), self.pairs)
-                self.starts.append(len(self.ids))
-                self.counts.append(len(got))
-                self.ids.extend(got)
-            place[i] = at
-        place = place[inverse]
-        counts = np.array(self.counts, np.int64)[place]
-        flat, _ = ragged(np.array(self.starts, np.int64)[place], counts)
-        return np.bincount(doc, weights=counts, minlength=block.n).astype(np.int64), np.array(self.ids, np.uint32)[flat]
+        new = ~np.isin(distinct, self.hashes, assume_unique=True)
+        raw, got, sizes = d.tobytes(), [], []
+        for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True):
+            ids = self.t.shortest(raw[a:b].decode("utf-8", "replace").replace(" ", SPACE), self.pairs)
+            sizes.append(len(ids))
+            got.extend(ids)
+        counts = np.array(sizes, np.int64)
+        order = np.argsort(np.concatenate([self.hashes, distinct[new]]))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])[order]
+        self.hashes, self.counts = np.concatenate([self.hashes, distinct[new]])[order], np.concatenate([self.counts, counts])[order]
+        self.ids = np.concatenate([self.ids, np.array(got, np.uint32)])
+        place = np.searchsorted(self.hashes, distinct)[inverse]
+        counts = self.counts[place]
+        flat, _ = ragged(self.starts[place], counts)
+        return np.bincount(doc, weights=counts, minlength=block.n).astype(np.int64), self.ids[flat]
 
     def decode(self, counts: np.ndarray, ids: np.ndarray) -> pa.Array:
         """The inverse machine: each piece's text, the space sign as a space, without the one in front; bad bytes are replaced."""

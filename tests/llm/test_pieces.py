@@ -44,9 +44,10 @@ def test_whole_documents(spark, library):
 def test_shortest_path_equals_all_paths():
     """A small unigram machine against every way to cut a text."""
     t = object.__new__(pieces.Transducer)
-    t.merges, t.prefix, t.unknown, t.bytes, t.longest = False, False, 0, {}, 3
+    t.merges, t.prefix, t.unknown, t.bytes = False, False, 0, {}
     t.weight = {"a": 2.0, "b": 2.5, "ab": 3.0, "ba": 4.0, "aba": 6.2, "bb": 4.1}
     t.ids = {p: i for i, p in enumerate(t.weight, 1)}
+    t.index()
     for n in range(1, 8):
         for text in map("".join, itertools.product("ab", repeat=n)):
             ways = [[text[i:j] for i, j in zip((0, *cut), (*cut, n), strict=True)] for k in range(n) for cut in itertools.combinations(range(1, n), k)]
