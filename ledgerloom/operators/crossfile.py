@@ -187,14 +187,13 @@ def cross_summary(records: DataFrame, exact: DataFrame, pairs: DataFrame, confli
 
 # Headers that identify a row, in order of preference.
 MATCH_HEADERS = ("Booking number", "Email address", "Email", "customer_id", "Customer ID")
-MATCH_CELLS = 4
 
 
 def cross_match(sheets: list[Sheet]) -> DataFrame:
     """Keys that occur more than once over all sheets, with the first row that has them.
 
-    The key is the first filled identifying column, else the first four filled
-    cells of a row that has at least three.
+    The key is the first filled identifying column, else all filled cells of a
+    row that has at least three.
     """
     parts = []
     depth = max(len(s.order_by) for s in sheets)
@@ -202,7 +201,7 @@ def cross_match(sheets: list[Sheet]) -> DataFrame:
         text = {c: tx.text_of(s.df, c) for c in s.columns}
         named = [F.when(text[h] != "", text[h]) for h in MATCH_HEADERS if h in s.columns]
         cells = F.array_compact(F.array(*[F.when(~tx.is_blank(t), tx.strip(t)) for t in text.values()]))
-        fallback = F.when(F.size(cells) > 2, F.array_join(F.slice(cells, 1, MATCH_CELLS), "|"))
+        fallback = F.when(F.size(cells) > 2, F.array_join(cells, "|"))
         raw = F.coalesce(*named, fallback)
         place = [
             (F.col(tx.quoted(s.order_by[k])) if k < len(s.order_by) else F.lit(None).cast("long")).alias(f"_o{k}") for k in range(depth)

@@ -207,13 +207,18 @@ def duplicate_report(df: DataFrame, groups: DataFrame, row_id: str) -> DataFrame
     return rows.join(marks, "_row_index").select(*shown, "_group_id", "_group_size", "_confidence", "_method", "_reason", "_row_index")
 
 
-def report_top(groups: DataFrame, row_id: str, max_groups: int = 80, max_rows: int = 10) -> DataFrame:
-    """The first ``max_groups`` groups with up to ``max_rows`` rows each.
+def report_top(groups: DataFrame, row_id: str, max_groups: int | None = None, max_rows: int | None = None) -> DataFrame:
+    """Numbered groups with ranked rows; all of them, or the first ``max_groups`` and up to ``max_rows`` rows of each.
 
-    Spark applies the rank limit before the shuffle, so at most ``max_rows`` rows
-    of a group leave each task.
+    Spark applies a rank limit before the shuffle. Without one, ranks come from
+    row positions, so that a group of any size is never in one task.
     """
-    numbered = number_groups(groups).filter(F.col("group_id") < max_groups)
+    numbered = number_groups(groups)
+    if max_groups is not None:
+        numbered = numbered.filter(F.col("group_id") < max_groups)
+    if max_rows is None:
+        ranked = _ranked(numbered, ["group_id"], [F.desc("similarity"), F.col(row_id)])
+        return ranked.select("group_id", "group_size", F.round("confidence", 2).alias("confidence"), "method", "reason", "rank", row_id)
     order = W.partitionBy("group_id").orderBy(F.desc("similarity"), row_id)
     top = numbered.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_rows)
     return top.select("group_id", "group_size", F.round("confidence", 2).alias("confidence"), "method", "reason", "rank", row_id)
@@ -225,7 +230,16 @@ def group_totals(groups: DataFrame) -> DataFrame:
     return sizes.agg(F.count(F.lit(1)).alias("total_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows_flagged"))
 
 
-def sample_rows(groups: DataFrame, row_id: str, n: int = 5) -> DataFrame:
-    """Up to ``n`` rows per group with the group's size."""
+def _ranked(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Adds ``rank`` from 1 inside each group: the row's position less that of the group's first row."""
+    placed = with_position(rows, [*keys, *order], "_at")
+    first = placed.groupBy(*keys, spread(*keys)).agg(F.min("_at").alias("_first")).drop("_spread")
+    return placed.join(first, keys).withColumn("rank", (F.col("_at") - F.col("_first") + 1).cast("int")).drop("_at", "_first")
+
+
+def sample_rows(groups: DataFrame, row_id: str, n: int | None = None) -> DataFrame:
+    """Ranked rows of each group with the group's size; all of them, or up to ``n``."""
+    if n is None:
+        return _ranked(groups, ["detector", "group_first"], [F.col(row_id)])
     order = W.partitionBy("detector", "group_first").orderBy(row_id)
     return groups.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import quoted
 from ..session import stable
 
-# Up to this many rows the built-in exact percentile is used: its buffer holds
-# at most that many values. Beyond it the range-partitioned form takes over.
-PERCENTILE_ROWS = 4_000_000
-
 
 def with_position(df: DataFrame, order_by: list, name: str = "pos", start: int = 0) -> DataFrame:
     """Add contiguous positions in the order of ``order_by``.
@@ -20,8 +17,11 @@ def with_position(df: DataFrame, order_by: list, name: str = "pos", start: int =
     Rows are range-partitioned and sorted, numbered inside their partition, and
     shifted by the number of rows in earlier partitions. The sorted rows are
     checkpointed, so that both the numbering and the shifts see the same split.
+    Rows with equal keys are ordered by a hash, so that they may be split up.
     """
     order = [F.col(quoted(c)) if isinstance(c, str) else c for c in order_by]
+    simple = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType, T.ArrayType, T.StructType))]
+    order.append(F.xxhash64(*[F.col(quoted(c)) for c in simple]) if simple else F.lit(0))
     sorted_rows = stable(
         df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
     )
@@ -77,12 +77,14 @@ def group_quantiles(
     value: str,
     probs: dict[str, float],
     method: str = "linear",
-    small_rows: int = PERCENTILE_ROWS,
+    distinct: str | None = None,
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group, one output column per entry of ``probs``.
 
     ``linear`` interpolates; ``nearest`` takes the value at ``floor(p(n-1) + 1/2)``.
-    Values are reduced to (group, value, count) before anything is sorted.
+    Values are reduced to (group, value, count) before anything is sorted, and
+    ranks come from a range sort of that table, whatever its size. ``distinct``
+    names a column for the number of values per group.
     """
     slim = df.select(*[F.col(quoted(g)) for g in groups], F.col(quoted(value)).cast("double").alias("_v"))
     slim = slim.filter(F.col("_v").isNotNull())
@@ -90,35 +92,31 @@ def group_quantiles(
     if one_group:
         slim = slim.withColumn("_g", F.lit(0))
         groups = ["_g"]
-    if method == "linear" and df.count() <= small_rows:
-        aggs = [F.percentile("_v", p).alias(name) for name, p in probs.items()]
-        out = slim.groupBy(*groups).agg(*aggs)
-    else:
-        freq = slim.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n"))
-        placed = _cumulative(freq, groups, "_v", "_n")
-        total = slim.groupBy(*groups).agg(F.count(F.lit(1)).alias("_total"))
-        on = None
-        for g in groups:
-            same = F.col(f"p.{quoted(g)}").eqNullSafe(F.col(f"t.{quoted(g)}"))
-            on = same if on is None else on & same
-        joined = placed.alias("p").join(total.alias("t"), on).select("p.*", "t._total")
-
-        def at(index: Column) -> Column:
-            hit = (F.col("_start") <= index) & (index < F.col("_start") + F.col("_n"))
-            return F.max(F.when(hit, F.col("_v")))
-
-        aggs = []
+    freq = slim.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = _cumulative(freq, groups, "_v", "_n")
+    total = placed.groupBy(*groups).agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_values"))
+    on = None
+    for g in groups:
+        same = F.col(f"p.{quoted(g)}").eqNullSafe(F.col(f"t.{quoted(g)}"))
+        on = same if on is None else on & same
+    joined = placed.alias("p").join(total.alias("t"), on).select("p.*", "t._total", "t._values")
+
+    def at(index: Column) -> Column:
+        hit = (F.col("_start") <= index) & (index < F.col("_start") + F.col("_n"))
+        return F.max(F.when(hit, F.col("_v")))
+
+    aggs = []
+    for name, p in probs.items():
+        place = F.lit(p) * (F.col("_total") - 1)
+        if method == "nearest":
+            aggs.append(at(F.floor(place + 0.5)).alias(name))
+        else:
+            aggs += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}")]
+    out = joined.groupBy(*groups, "_total", "_values").agg(*aggs)
+    if method != "nearest":
         for name, p in probs.items():
             place = F.lit(p) * (F.col("_total") - 1)
-            if method == "nearest":
-                aggs.append(at(F.floor(place + 0.5)).alias(name))
-            else:
-                aggs += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}")]
-        out = joined.groupBy(*groups, "_total").agg(*aggs)
-        if method != "nearest":
-            for name, p in probs.items():
-                place = F.lit(p) * (F.col("_total") - 1)
-                low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-                out = out.withColumn(name, low + (high - low) * (place - F.floor(place)))
-        out = out.select(*groups, *probs)
+            low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+            out = out.withColumn(name, low + (high - low) * (place - F.floor(place)))
+    out = out.select(*groups, *probs, *([F.col("_values").alias(distinct)] if distinct else []))
     return out.drop("_g") if one_group else out

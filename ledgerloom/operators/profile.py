@@ -30,14 +30,22 @@ def unpivot_text(df: DataFrame, columns: list[str], keep: list[str] = (), name:
 
 
 def _row_hash(df: DataFrame) -> Column:
-    """128-bit row identity. Hashing skips nulls, so a null bitmap goes first."""
-    columns = [text_of(df, c) if not _hashable(df.schema[c].dataType) else F.col(quoted(c)) for c in df.columns]
+    """128-bit row identity. Hashing skips nulls, so a null bitmap goes first.
+
+    Nested values are hashed as JSON that keeps their nulls, at any depth.
+    """
+    def plain(c: str) -> Column:
+        if _nested(df.schema[c].dataType):
+            return F.to_json(F.struct(F.col(quoted(c)).alias("v")), {"ignoreNullFields": "false"})
+        return F.col(quoted(c))
+
+    columns = [plain(c) for c in df.columns]
     nulls = F.concat(*[F.when(F.col(quoted(c)).isNull(), "1").otherwise("0") for c in df.columns])
     return F.struct(F.xxhash64(nulls, *columns).alias("a"), F.xxhash64(F.lit("second"), nulls, *columns).alias("b"))
 
 
-def _hashable(dtype: T.DataType) -> bool:
-    return not isinstance(dtype, (T.MapType, T.VariantType))
+def _nested(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
 
 
 def row_duplicate_kpi(df: DataFrame) -> DataFrame:
@@ -127,27 +135,40 @@ def top_values(df: DataFrame, column: str, n: int = 10, nulls: bool = True, null
     return top
 
 
-def profile_column(df: DataFrame, column: str, sample_rows: int | None = None, seed: int = 42) -> DataFrame:
-    """One-row profile: count, nulls, unique (null is a value) and numeric moments.
+def hash_sample(df: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, float]:
+    """About ``rows`` rows, those whose keys have the least MD5, and their share: the same rows on every run and engine."""
+    total = df.count()
+    if total <= rows:
+        return df, 1.0
+    text = F.concat_ws("|", *[F.col(quoted(k)).cast("string") for k in keys])
+    return df.filter(F.substring(F.md5(text.cast("binary")), 1, 8) < f"{int(rows / total * 2**32):08x}"), rows / total
 
-    With ``sample_rows`` every figure comes from the same random sample, whose
-    share of the rows is reported as ``sampled_fraction``.
+
+def profile_column(
+    df: DataFrame, column: str, sample_rows: int | None = None, seed: int = 42, sample_by: list[str] | None = None, top: int = 10,
+) -> DataFrame:
+    """One-row profile: count, nulls, unique (null is a value), numeric moments, or for text the ``top`` most frequent values.
+
+    With ``sample_rows`` every figure comes from the same sample, whose share of
+    the rows is reported as ``sampled_fraction``: a random one, or by a hash of
+    the columns ``sample_by``. Unique, median and top values come from one
+    table of values and their counts, the moments from one more aggregate.
     """
     fraction = 1.0
-    if sample_rows is not None:
+    if sample_rows is not None and sample_by:
+        df, fraction = hash_sample(df, sample_by, sample_rows)
+    elif sample_rows is not None:
         total = df.count()
         if total > sample_rows:
             fraction = sample_rows / total
             df = df.sample(fraction=fraction, seed=seed)
     c = F.col(quoted(column))
     dtype = df.schema[column].dataType
-    unique = F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("int")), F.lit(0))
     aggs = [
         F.lit(column).alias("column"),
         F.lit(dtype.simpleString()).alias("dtype"),
         F.count(F.lit(1)).alias("count"),
         F.count_if(c.isNull()).alias("nulls"),
-        unique.alias("unique"),
     ]
     if is_numeric(df, column):
         aggs += [
@@ -157,21 +178,30 @@ def profile_column(df: DataFrame, column: str, sample_rows: int | None = None, s
             F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std"),
         ]
     out = df.agg(*aggs)
+    nothing = F.when(F.col("nulls") > 0, 1).otherwise(0)
     if is_numeric(df, column):
-        median = group_quantiles(df, [], column, {"median": 0.5})
-        out = out.withColumn("median", median.select("median").scalar())
+        found = group_quantiles(df, [], column, {"median": 0.5}, distinct="unique")
+        found = found.select(F.struct("median", "unique").alias("f")).scalar()
+        out = out.withColumn("_f", found).withColumn("unique", F.coalesce("_f.unique", F.lit(0)) + nothing).withColumn("median", F.col("_f.median")).drop("_f")
+    else:
+        counts = df.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("value").isNotNull())
+        out = out.withColumn("unique", counts.agg(F.count(F.lit(1))).scalar() + nothing)
+        if isinstance(dtype, T.StringType):
+            first = counts.orderBy(F.desc("n"), F.asc("value")).limit(top)
+            shown = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value"))), lambda x: F.concat(x["value"], F.lit(" ("), (-x["n"]).cast("string"), F.lit(")")))
+            out = out.withColumn("top_values", first.agg(F.array_join(shown, "; ")).scalar())
     if sample_rows is not None:
         out = out.withColumn("sampled_fraction", F.lit(fraction))
     return out
 
 
-def profile_all(df: DataFrame, max_cols: int = 50) -> DataFrame:
-    """(column, metric, value) for the first ``max_cols`` columns.
+def profile_all(df: DataFrame) -> DataFrame:
+    """(column, metric, value) for all columns.
 
     Moments come from one wide aggregate. Distinct counts come from a long
     (column, value) count, which combines on the map side and needs no expand.
     """
-    columns = df.columns[:max_cols]
+    columns = df.columns
     wide = []
     for c in columns:
         col = F.col(quoted(c))

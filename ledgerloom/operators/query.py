@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.text import quoted, text_of
 from .ordering import with_position
 
-# Pages that end before this row are taken from a top-k; deeper ones by position.
-TOP_ROWS = 20_000
-
 
 def search(df: DataFrame, q: str, column: str | None = None) -> DataFrame:
     """Rows where one column, or any column, contains ``q`` ignoring case."""
@@ -27,21 +24,15 @@ def sort(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
 
 
 def page(df: DataFrame, order_by: list[str], number: int = 0, size: int = 5000) -> DataFrame:
-    """Page ``number`` (from 0) of the ordered table.
-
-    Early pages are a top-k. Deep pages use distributed row positions, because a
-    top-k would gather all the rows before the page.
-    """
+    """Page ``number`` (from 0) of the ordered table, by distributed row positions: a top-k would gather all rows before the page."""
     start = number * size
-    if start + size <= TOP_ROWS:
-        return df.orderBy(*[F.col(quoted(c)) for c in order_by]).offset(start).limit(size)
     placed = with_position(df, order_by, "_pos")
     return placed.filter((F.col("_pos") >= start) & (F.col("_pos") < start + size)).drop("_pos")
 
 
 def cross_filter(df: DataFrame, row_id: str, segment: str | None = None, column: str | None = None, value: str | None = None) -> DataFrame:
     """Rows behind a chart element: a quality segment or a ``column`` value."""
-    from .dedupe import detect_exact
+    from .dedupe import detect_smart
     from .validate import validate
 
     if column is not None:
@@ -49,20 +40,25 @@ def cross_filter(df: DataFrame, row_id: str, segment: str | None = None, column:
     if segment in (None, "All", "Unique"):
         return df
     if segment == "Duplicates":
-        groups = detect_exact(df, row_id)
-        return df.join(groups.select(row_id), row_id, "left_semi")
+        groups = detect_smart(df, row_id)
+        return df.join(groups.select(row_id).distinct(), row_id, "left_semi")
     if segment == "Missing":
         return validate(df, row_id)
     raise ValueError(f"unknown segment: {segment}")
 
 
 def register(spark: SparkSession, datasets: dict[str, DataFrame]) -> DataFrame:
-    """Expose tables to SQL as ``t0``, ``t1``, ... and under their own names."""
+    """Expose tables to SQL as ``t0``, ``t1``, ... and under their own names. A new call replaces the views of the last;
+    two tables of one call that would share a view are an error."""
+    views = {name: "".join(ch if ch.isalnum() else "_" for ch in name).lower() for name in datasets}
+    taken = [*views.values(), *(f"t{i}" for i in range(len(datasets)))]
+    clashes = sorted({v for v in taken if taken.count(v) > 1})
+    if clashes:
+        raise ValueError(f"more than one table for the view {', '.join(clashes)}")
     rows = []
     for i, (name, df) in enumerate(datasets.items()):
         df.createOrReplaceTempView(f"t{i}")
-        view = "".join(ch if ch.isalnum() else "_" for ch in name).lower()
-        df.createOrReplaceTempView(view)
+        df.createOrReplaceTempView(views[name])
         rows.append((f"t{i}", name, len(df.columns)))
     return spark.createDataFrame(rows, "alias string, name string, cols int")
 

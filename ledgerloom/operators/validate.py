@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import EMAIL, quoted, text_of
-from .ordering import PERCENTILE_ROWS, group_quantiles
+from .ordering import group_quantiles
 from .profile import is_numeric, null_counts
 
 ISSUE_SCHEMA = T.StructType([
@@ -94,37 +94,27 @@ def null_issues(df: DataFrame) -> DataFrame:
     return counts.select(issue.alias("i")).select("i.*")
 
 
-def quartiles(df: DataFrame, columns: list[str], small_rows: int = PERCENTILE_ROWS) -> dict[str, tuple]:
+def quartiles(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
     """Column -> (non-null count, q1, q3) with the nearest-rank rule.
 
-    Returns one tuple per numeric column to the driver. Small tables use the
-    built-in discrete percentile at the exact rank; larger ones the range sort.
+    Returns one tuple per numeric column to the driver.
     """
     counts = df.agg(*[F.count(quoted(c)).alias(c) for c in columns]).first().asDict()
     usable = [c for c in columns if counts[c] >= 4]
     if not usable:
         return {}
-    if max(counts.values()) <= small_rows:
-        parts = []
-        for c in usable:
-            n = counts[c]
-            for q, p in (("q1", 0.25), ("q3", 0.75)):
-                rank = (int(p * (n - 1) + 0.5) + 0.5) / n
-                parts.append(F.expr(f"percentile_disc({rank!r}D) WITHIN GROUP (ORDER BY {quoted(c)})").cast("double").alias(f"{q}_{c}"))
-        row = df.agg(*parts).first()
-        return {c: (counts[c], row[f"q1_{c}"], row[f"q3_{c}"]) for c in usable}
     values = df.select(*[F.col(quoted(c)).cast("double").alias(c) for c in usable])
     long = values.unpivot([], [quoted(c) for c in usable], "column", "v")
     found = group_quantiles(long, ["column"], "v", {"q1": 0.25, "q3": 0.75}, method="nearest")
     return {r["column"]: (counts[r["column"]], r["q1"], r["q3"]) for r in found.collect()}
 
 
-def outlier_issues(df: DataFrame, row_id: str, small_rows: int = PERCENTILE_ROWS) -> DataFrame:
+def outlier_issues(df: DataFrame, row_id: str) -> DataFrame:
     """Values outside 1.5 IQR of numeric columns with four or more values."""
     numeric = [c for c in df.columns if c != row_id and is_numeric(df, c)]
     row = F.col(quoted(row_id))
     found = []
-    for c, (_, q1, q3) in (quartiles(df, numeric, small_rows) if numeric else {}).items():
+    for c, (_, q1, q3) in (quartiles(df, numeric) if numeric else {}).items():
         spread = q3 - q1
         if spread == 0:
             continue

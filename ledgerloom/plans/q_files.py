@@ -24,7 +24,7 @@ def scratch(spark) -> str:
 
 def _save(df, folder: str, key: str, parts: int = 4, sep: str = ",") -> str:
     """Write CSV files whose content depends only on the data, so that two writes give equal files."""
-    df.repartition(parts, key).sortWithinPartitions(key).write.option("header", True).option("sep", sep).mode("overwrite").csv(folder)
+    df.repartition(parts, key).sortWithinPartitions(key).write.options(**sinks.CSV_OPTIONS).option("sep", sep).mode("overwrite").csv(folder)
     return folder
 
 
@@ -51,6 +51,29 @@ def s2_tab(spark, sf):
     return dl.read_delimited(spark, folder)
 
 
+@query("s2_documents_round_trip", "select doc_id, text, lang, source, n_chars from documents")
+def s2_documents(spark, sf):
+    """Long texts with quotes and line breaks, written and read back with types of their own."""
+    return dl.read_delimited(spark, _save(table(spark, sf, "documents"), f"{scratch(spark)}/documents", "doc_id"))
+
+
+@query("s2_events_round_trip", "select event_id, ts, user_id, event_type, value, props from events")
+def s2_events(spark, sf):
+    return dl.read_delimited(spark, _save(table(spark, sf, "events"), f"{scratch(spark)}/events", "event_id"))
+
+
+@query("s2_lost_cells", """select 'o_orderkey' as "column", 0 as lost union all select 'o_custkey', 0 union all select 'o_orderstatus', count(*) from orders
+  union all select 'o_totalprice', count(*) from orders union all select 'o_orderdate', 0 union all select 'o_orderpriority', 0""")
+def s2_lost(spark, sf):
+    orders = table(spark, sf, "orders")
+    schema = T.StructType([T.StructField(c, T.LongType() if c in ("o_orderkey", "o_custkey", "o_orderstatus") else T.TimestampType() if c == "o_orderdate" else T.StringType())
+                           for c in orders.columns])
+    price = T.StructType([T.StructField(f.name, T.LongType() if f.name == "o_totalprice" else f.dataType) for f in schema])
+    text = orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    path = _save(text, f"{scratch(spark)}/orders", "o_orderkey")
+    return dl.lost_cells(spark, path, price)
+
+
 @query("s4_read_many", "select 'nation' as name, count(*) as rows, 3 as cols from nation union all select 'supplier', count(*), 4 from supplier")
 def s4(spark, sf):
     root = scratch(spark)
@@ -60,12 +83,13 @@ def s4(spark, sf):
     return counts[0].unionByName(counts[1])
 
 
-@query("s4_read_union", """select cast(n_nationkey as varchar) as n_nationkey, n_name, cast(n_regionkey as varchar) as n_regionkey, null as s_suppkey, null as s_name from nation
-  union all select null, null, null, cast(s_suppkey as varchar), s_name from supplier""")
+@query("s4_read_union", """select cast(n_nationkey as varchar) as n_nationkey, n_name, cast(n_regionkey as varchar) as n_regionkey, null as s_suppkey, null as s_name, null as s_nationkey, null as balance from nation
+  union all select null, null, null, cast(s_suppkey as varchar), s_name, cast(s_nationkey as varchar), cast(cast(round(s_acctbal * 100) as bigint) as varchar) from supplier""")
 def s4_union(spark, sf):
     root = scratch(spark)
     a = _save(table(spark, sf, "nation"), f"{root}/nation", "n_nationkey")
-    b = _save(table(spark, sf, "supplier").select("s_suppkey", "s_name"), f"{root}/supplier", "s_suppkey")
+    cents = F.round(F.col("s_acctbal") * 100).cast("long").alias("balance")
+    b = _save(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", cents), f"{root}/supplier", "s_suppkey")
     return dl.read_union(spark, [a, b]).drop("_source_file")
 
 
@@ -100,29 +124,28 @@ def s8(spark, sf):
     return iv.discover_incremental(spark, root, manifest).groupBy("folder", "reanalysed").agg(F.sum("rows").alias("rows"))
 
 
-@query("s9_write_tables", "select 'orders' as name, count(*) as rows, cast(sum(o_orderkey) as bigint) as keys from orders union all select 'customer', count(*), cast(sum(c_custkey) as bigint) from customer")
+@query("s9_write_tables", "select * from orders")
 def s9(spark, sf):
     written = sinks.write_tables({t: table(spark, sf, t) for t in ("orders", "customer")}, scratch(spark))
-    keys = {"orders": "o_orderkey", "customer": "c_custkey"}
-    parts = [spark.read.parquet(p).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows"), F.sum(keys[n]).alias("keys")) for n, p in written.items()]
-    return parts[0].unionByName(parts[1])
+    return spark.read.parquet(written["orders"])
 
 
-@query("s9_write_csv_and_json", "select fmt, count(*) as rows from events, (select unnest(['csv', 'json']) as fmt) group by fmt")
+@query("s9_write_csv_and_json", "select fmt, event_id, user_id, event_type, value, props from events, (select unnest(['csv', 'json']) as fmt)")
 def s9_formats(spark, sf):
     root, parts = scratch(spark), []
     for fmt in ("csv", "json"):
         path = sinks.write_tables({"events": table(spark, sf, "events")}, f"{root}/{fmt}", fmt)["events"]
-        parts.append(spark.read.option("header", True).format(fmt).load(path).agg(F.lit(fmt).alias("fmt"), F.count(F.lit(1)).alias("rows")))
+        back = dl.read_delimited(spark, path) if fmt == "csv" else spark.read.json(path)
+        parts.append(back.select(F.lit(fmt).alias("fmt"), "event_id", "user_id", "event_type", "value", "props"))
     return parts[0].unionByName(parts[1])
 
 
-@query("s10_summary_json", """select count(*) as total_rows, (select count(*) from (select distinct o_custkey, o_orderstatus from orders)) as unique_rows, true as stamped from orders""")
+@query("s10_summary_json", """select count(*) as total_rows, (select count(*) from (select distinct * from orders)) as unique_rows, true as stamped from orders""")
 def s10(spark, sf):
     from ..operators.profile import summarise
 
     path = f"{scratch(spark)}/summary"
-    sinks.write_summary(summarise({"orders": table(spark, sf, "orders").select("o_custkey", "o_orderstatus")}), path)
+    sinks.write_summary(summarise({"orders": table(spark, sf, "orders")}), path)
     return spark.read.json(path).select("total_rows", "unique_rows", F.col("generated_at").isNotNull().alias("stamped"))
 
 
@@ -143,27 +166,30 @@ def e4(spark, sf):
     return sinks.duplicates_or_info(detect_exact(table(spark, sf, "orders").withColumn("row_id", F.col("o_orderkey")), "row_id", ["o_orderkey"]))
 
 
-_ORDER_SCHEMA = T.StructType([T.StructField("o_custkey", T.LongType()), T.StructField("o_orderstatus", T.StringType()), T.StructField("o_orderpriority", T.StringType())])
+_ORDER_SCHEMA = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()), T.StructField("o_orderstatus", T.StringType()),
+                              T.StructField("o_totalprice", T.DoubleType()), T.StructField("o_orderdate", T.TimestampType()), T.StructField("o_orderpriority", T.StringType())])
 
 
-@query("l1_stream_files", "select o_orderstatus, count(*) as n from orders group by 1")
+@query("l1_stream_files", "select * from orders")
 def l1(spark, sf):
     root = scratch(spark)
-    _save(table(spark, sf, "orders").select(*_ORDER_SCHEMA.names), f"{root}/in", "o_custkey")
+    _save(table(spark, sf, "orders"), f"{root}/in", "o_orderkey")
     stream = live.stream_delimited(spark, f"{root}/in", _ORDER_SCHEMA, files_per_trigger=2)
     writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/ck").option("path", f"{root}/out")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{root}/out")
 
 
-@query("l2_stream_kpis", """with o as (select o_custkey, o_orderstatus, case when o_custkey % 3 > 0 then o_orderpriority end as p from orders)
+@query("l2_stream_kpis", """with o as (select o_orderkey // 2 as k, o_custkey, o_orderstatus, o_totalprice, o_orderdate, case when o_custkey % 3 > 0 then o_orderpriority end as p from orders
+    union all select o_orderkey // 2, o_custkey, o_orderstatus, o_totalprice, o_orderdate, case when o_custkey % 3 > 0 then o_orderpriority end from orders where o_orderkey % 4 = 0)
   select count(*) as total_rows, (select count(*) from (select distinct * from o)) as unique_rows, count(*) - (select count(*) from (select distinct * from o)) as duplicate_rows,
-  count(*) - count(p) as missing_values, round(100.0 - 100.0 * (count(*) - count(p)) / (count(*) * 3), 2) as data_quality_score,
+  count(*) - count(p) as missing_values, round(100.0 - 100.0 * (count(*) - count(p)) / (count(*) * 6), 2) as data_quality_score,
   round(100.0 - 100.0 * (count(*) - (select count(*) from (select distinct * from o))) / count(*), 2) as validation_score from o""")
 def l2(spark, sf):
     root = scratch(spark)
-    orders = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    orders = table(spark, sf, "orders").withColumn("o_orderpriority", F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderpriority")))
+    orders = orders.union(orders.filter("o_orderkey % 4 = 0")).withColumn("o_orderkey", F.expr("o_orderkey div 2"))
     orders.repartition(4).write.parquet(f"{root}/in")
     stream = live.stream_delimited(spark, f"{root}/in", _ORDER_SCHEMA, "parquet", 1)
     live.stream_summary(stream, f"{root}/state", f"{root}/ck").awaitTermination()
-    return live.current_summary(spark, f"{root}/state", 3)
+    return live.current_summary(spark, f"{root}/state", 6)

@@ -64,6 +64,16 @@ for _r in _RULE_PARTS:
     _key_query(_r)
 
 
+_CUSTOMER_ID = "case when {rn} % 5 = 0 then '' else ' C' || ({rn} % 40) || ' ' end"
+
+
+@query("k1_match_key_rule_4", f"""with {RECORDS_SQL}, r as (select *, {_CUSTOMER_ID.format(rn="rn")} as cid from rec)
+  select ord, coalesce(nullif({joined_parts({'Customer ID': n_exact('cid')})}, ''), '_raw_row_' || source_file || '_' || sheet_name || '_' || rn) as key from r""")
+def k1_rule_4(spark, sf):
+    records = sm.canonical_records(contact_sheets(spark, sf)).withColumn("Customer ID", F.expr(_CUSTOMER_ID.format(rn="row_number")))
+    return records.select("ord", mdm.match_key(records, "rule_4").alias("key"))
+
+
 @query("k1_match_key_custom", f"with {RECORDS_SQL} select ord, coalesce(nullif({joined_parts({'City': n_exact('city'), 'State': n_exact('state')})}, ''), '_raw_row_' || source_file || '_' || sheet_name || '_' || rn) as key from rec")
 def k1_custom(spark, sf):
     records = sm.canonical_records(contact_sheets(spark, sf))
@@ -214,8 +224,7 @@ def e1_conflicts(spark, sf):
     return reports.DuplicateReport(contact_sheets(spark, sf)).conflicting_records
 
 
-@query("e1_missing_data", f"""select source_file as "File", sheet_name as "Sheet", row_number as "Row", missing_column as "Missing Column", details as "Details" from ({MISSING_SQL})
-  order by source_file, sheet_name, row_number, missing_column limit 2000""")
+@query("e1_missing_data", f"""select source_file as "File", sheet_name as "Sheet", row_number as "Row", missing_column as "Missing Column", details as "Details" from ({MISSING_SQL})""")
 def e1_missing(spark, sf):
     return reports.DuplicateReport(contact_sheets(spark, sf)).missing_data
 
@@ -264,7 +273,7 @@ def e2_conflicts(spark, sf):
 
 
 @query("e2_missing_data", f"""select source_file as "File", sheet_name as "Worksheet", row_number as "Row Number", folder_path as "Folder Path", missing_column as "Missing Column", details as "Details"
-  from ({MISSING_SQL}) order by source_file, sheet_name, row_number, missing_column limit 3000""")
+  from ({MISSING_SQL})""")
 def e2_missing(spark, sf):
     return _master_table(spark, sf, "missing_data")
 

@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..operators import crossfile as xf
 from ..operators import dedupe as dd
 from ..operators import schema_map as sm
+from ..operators import query as qy
 from ..operators import similarity as si
 from .q_quality import MISSING_SQL
 from .registry import query
@@ -178,6 +179,11 @@ def d5(spark, sf):
     return dd.resolve_overlaps(parts, "row_id").groupBy("detector", "group_first").agg(F.count(F.lit(1)).alias("members"))
 
 
+@query("t4_cross_filter_duplicates", _RESOLVED + " select t.* from t where row_id in (select row_id from kept)")
+def t4_duplicates(spark, sf):
+    return qy.cross_filter(_accounts(spark, sf), "row_id", segment="Duplicates")
+
+
 _NUMBERED = _RESOLVED + """, n as (select detector, group_first, row_number() over (order by detector, group_first) - 1 as group_id from (select distinct detector, group_first from kept))"""
 
 
@@ -193,17 +199,16 @@ _LIGHT_ROW = " || '||' || ".join(["lower(trim(coalesce(email, '')))", "lower(tri
 
 
 @query("d7_light_row_duplicates", f"""with {_ACCOUNTS_SQL}, g as ({_group_sql(f"sha1({_LIGHT_ROW})", 0, "hash", "r")})
-  select key, group_first, row_id, group_size, row_number() over (partition by key order by row_id) as rank from g qualify rank <= 5""")
+  select key, group_first, row_id, group_size, row_number() over (partition by key order by row_id) as rank from g """)
 def d7(spark, sf):
     groups = dd.detect_exact(_accounts(spark, sf), "row_id", norm="light")
-    return dd.sample_rows(groups, "row_id", 5).select("key", "group_first", "row_id", "group_size", "rank")
+    return dd.sample_rows(groups, "row_id").select("key", "group_first", "row_id", "group_size", "rank")
 
 
 @query("d8_top_groups", _NUMBERED + """ select group_id, group_size, round(confidence, 2) as confidence, method, reason,
-  row_number() over (partition by group_id order by similarity desc, row_id) as rank, row_id from kept join n using (detector, group_first)
-  where group_id < 80 qualify rank <= 10""")
+  row_number() over (partition by group_id order by similarity desc, row_id) as rank, row_id from kept join n using (detector, group_first)""")
 def d8(spark, sf):
-    return dd.report_top(dd.detect_smart(_accounts(spark, sf), "row_id"), "row_id", 80, 10)
+    return dd.report_top(dd.detect_smart(_accounts(spark, sf), "row_id"), "row_id")
 
 
 @query("d8_group_totals", _RESOLVED + " select count(distinct (detector, group_first)) as total_groups, count(*) as total_rows_flagged from kept")
@@ -311,7 +316,7 @@ def x7(spark, sf):
 
 _CELLS = {0: ["name", "address", "city", "state", "phone", "email"], 1: ["name", "company", "address", "city", "state", "phone", "email", "gst"]}
 _FIRST_CELLS = " ".join(
-    f"when src = {s} then array_to_string(list_filter([{', '.join(f'''nullif(trim({c}), '')''' for c in cols)}], lambda p: p is not null)[1:4], '|')" for s, cols in _CELLS.items())
+    f"when src = {s} then array_to_string(list_filter([{', '.join(f'''nullif(trim({c}), '')''' for c in cols)}], lambda p: p is not null), '|')" for s, cols in _CELLS.items())
 
 
 @query("x8_cross_sheet_match", f"""with {RECORDS_SQL}, k as (select *, lower(trim(case when src = 2 then nullif(email, '') {_FIRST_CELLS} end)) as key,

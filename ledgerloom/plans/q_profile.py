@@ -8,30 +8,32 @@ from ..operators import profile as pr
 from .registry import query
 from .sheets import table
 
-ORDER_COLUMNS = ["o_custkey", "o_orderstatus", "o_orderpriority"]
-
-
 def _kpi_tables(spark, sf):
-    events = table(spark, sf, "events").select("user_id", "event_type", F.when(F.col("value") > 5, F.col("value")).alias("value"))
-    return {"orders": table(spark, sf, "orders").select(*ORDER_COLUMNS), "events": events}
+    events = table(spark, sf, "events").withColumn("value", F.when(F.col("value") > 5, F.col("value")))
+    return {"orders": table(spark, sf, "orders"), "events": events, "embeddings": table(spark, sf, "embeddings")}
 
 
 _KPI_SQL = """
-with e as (select user_id, event_type, case when value > 5 then value end as value from events),
+with e as (select * replace (case when value > 5 then value end as value) from events),
 s as (
-  select 'orders' as name, count(*) as n, 3 as cols, (select count(*) from (select distinct o_custkey, o_orderstatus, o_orderpriority from orders)) as u, 0 as m from orders
+  select 'orders' as name, count(*) as n, 6 as cols, (select count(*) from (select distinct * from orders)) as u, 0 as m from orders
+  union all
+  select 'events', count(*), 6, (select count(*) from (select distinct * from e)), count(*) - count(value) from e
   union all
-  select 'events', count(*), 3, (select count(*) from (select distinct * from e)), count(*) - count(value) from e)
+  select 'embeddings', count(*), 3, (select count(*) from (select distinct * from embeddings)), 0 from embeddings)
 """
 
 
 @query("p1_workspace_kpis", _KPI_SQL + """
-select 2 as total_files, 2 as total_sheets, cast(sum(n) as bigint) as total_rows, cast(sum(u) as bigint) as unique_rows,
+select 3 as total_files, 3 as total_sheets, cast(sum(n) as bigint) as total_rows, cast(sum(u) as bigint) as unique_rows,
   cast(sum(n) - sum(u) as bigint) as duplicate_rows, cast(sum(m) as bigint) as missing_values, cast(sum(cols) as bigint) as columns_profiled,
-  'events' as largest_file, round(100.0 - 100.0 * sum(m) / sum(n * cols), 2) as data_quality_score,
+  'orders' as largest_file, round(100.0 - 100.0 * sum(m) / sum(n * cols), 2) as data_quality_score,
   round(100.0 - 100.0 * (sum(n) - sum(u)) / sum(n), 2) as validation_score from s""")
 def p1(spark, sf):
-    return pr.summarise(_kpi_tables(spark, sf), {"orders": 10, "events": 20})
+    tables = ("orders", "events")
+    files = [table(spark, sf, t).select(F.lit(t).alias("t"), "_metadata.file_path", "_metadata.file_size").distinct() for t in tables]
+    sizes = {r["t"]: r["size"] for f in files for r in f.groupBy("t").agg(F.sum("file_size").alias("size")).collect()}
+    return pr.summarise(_kpi_tables(spark, sf), sizes)
 
 
 @query("p2_rows_per_sheet", "select 'customer' as name, count(*) as rows, 5 as cols from customer union all select 'lineitem', count(*), 11 from lineitem")
@@ -68,7 +70,8 @@ def p3_nulls(spark, sf):
 
 
 @query("p3_profile_text", """select 'o_orderpriority' as "column", 'string' as dtype, count(*) as count,
-  count(*) - count(o_orderpriority) as nulls, count(distinct o_orderpriority) as "unique" from orders""")
+  count(*) - count(o_orderpriority) as nulls, count(distinct o_orderpriority) as "unique", (select string_agg(v || ' (' || n || ')', '; ' order by n desc, v) from (
+  select o_orderpriority as v, count(*) as n from orders group by 1 order by n desc, v limit 10)) as top_values from orders""")
 def p3_text(spark, sf):
     return pr.profile_column(table(spark, sf, "orders"), "o_orderpriority")
 
@@ -85,9 +88,12 @@ def p4_null(spark, sf):
     return pr.top_values(df, "v", 4, null_label="—")
 
 
-@query("p5_sampled_profile")
+@query("p5_sampled_profile", """with c as (select cast(50000 as double) / count(*) as f from lineitem),
+  s as (select l_quantity from lineitem, c where f >= 1 or substr(md5(l_orderkey || '|' || l_linenumber), 1, 8) < lower(printf('%08x', cast(floor(f * 4294967296) as bigint))))
+  select 'l_quantity' as "column", 'double' as dtype, count(*) as count, 0 as nulls, count(distinct l_quantity) as "unique", min(l_quantity) as min, max(l_quantity) as max,
+  round(avg(l_quantity), 4) as mean, median(l_quantity) as median, round(stddev_samp(l_quantity), 4) as std, (select least(f, 1.0) from c) as sampled_fraction from s""")
 def p5(spark, sf):
-    return pr.profile_column(table(spark, sf, "lineitem"), "l_quantity", sample_rows=50_000, seed=42)
+    return _rounded(pr.profile_column(table(spark, sf, "lineitem"), "l_quantity", sample_rows=50_000, sample_by=["l_orderkey", "l_linenumber"]))
 
 
 def _all_sql() -> str:
@@ -114,10 +120,21 @@ def p7(spark, sf):
     return pr.top_values(df, "v", 10, nulls=False)
 
 
-@query("p8_row_duplicates", """select count(*) as total_rows, (select count(*) from (select distinct l_returnflag, l_linestatus, l_quantity, l_suppkey from lineitem)) as unique_rows,
-  count(*) - (select count(*) from (select distinct l_returnflag, l_linestatus, l_quantity, l_suppkey from lineitem)) as duplicate_rows from lineitem""")
+@query("p8_row_duplicates", """with t as (select * from lineitem union all select * from lineitem where l_orderkey % 10 = 0)
+  select count(*) as total_rows, (select count(*) from (select distinct * from t)) as unique_rows, count(*) - (select count(*) from (select distinct * from t)) as duplicate_rows from t""")
 def p8(spark, sf):
-    return pr.row_duplicate_kpi(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_suppkey"))
+    rows = table(spark, sf, "lineitem")
+    return pr.row_duplicate_kpi(rows.union(rows.filter("l_orderkey % 10 = 0")))
+
+
+@query("p8_nested_duplicates", """with t as (select embedding, label from embeddings union all select embedding, null from embeddings union all
+    select case when vec_id % 2 = 0 then list_concat(embedding, [null]) else embedding end, label from embeddings)
+  select count(*) as total_rows, (select count(*) from (select distinct * from t)) as unique_rows, count(*) - (select count(*) from (select distinct * from t)) as duplicate_rows from t""")
+def p8_nested(spark, sf):
+    rows = table(spark, sf, "embeddings").select("embedding", "label", "vec_id")
+    longer = F.when(F.col("vec_id") % 2 == 0, F.concat("embedding", F.array(F.lit(None).cast("float")))).otherwise(F.col("embedding"))
+    none = rows.withColumn("label", F.lit(None).cast("int"))
+    return pr.row_duplicate_kpi(rows.union(none).union(rows.withColumn("embedding", longer)).drop("vec_id"))
 
 
 @query("p9_histogram", """with b as (select min(l_extendedprice) as lo, max(l_extendedprice) as hi from lineitem),

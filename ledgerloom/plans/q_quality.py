@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..operators import crossfile as xf
+from ..operators import query as qy
 from ..operators import relations as rl
 from ..operators import validate as va
 from .registry import query
@@ -71,7 +72,7 @@ _OUTLIER_SQL = " union all ".join(f"({_outlier_sql(c)})" for c in ("column_9", "
 
 @query("q1_missing_header", _HEADER_SQL)
 def q1(spark, sf):
-    return va.header_issues(spark, _checked(spark, sf).columns)
+    return va.validate(_checked(spark, sf), "row_id").filter(F.col("rule") == "missing_header")
 
 
 @query("q2_null_values", f"with {_T} {_NULL_SQL}")
@@ -99,6 +100,11 @@ def q10(spark, sf):
     return va.validate(_checked(spark, sf), "row_id")
 
 
+@query("t4_cross_filter_missing", _ALL_SQL + " select * from i")
+def t4_missing(spark, sf):
+    return qy.cross_filter(_checked(spark, sf), "row_id", segment="Missing")
+
+
 @query("q10_issue_counts", _ALL_SQL + " select severity, count(*) as count from i group by 1")
 def q10_counts(spark, sf):
     return va.issue_counts(va.validate(_checked(spark, sf), "row_id"))

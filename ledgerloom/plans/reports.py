@@ -16,10 +16,6 @@ from ..operators.schema_map import Sheet, canonical_records
 from ..session import stable
 from ..sources import sinks
 
-# Length of the missing-cell tables in the two reports.
-DUPLICATE_REPORT_MISSING = 2000
-MASTER_REPORT_MISSING = 3000
-
 
 def _place(file: str, sheet: str, row: str) -> Column:
     return F.format_string("%s (%s:L%d)", file, sheet, row)
@@ -39,7 +35,6 @@ def metric_rows(summary: DataFrame, labels: dict[str, str]) -> DataFrame:
 class DuplicateReport:
     """Tables of the cross-file report; each is built when it is first asked for.
 
-    The missing table shows the first 2,000 cells; the summary counts all of them.
     """
 
     NAMES = ("exact_duplicates", "similar_records", "conflicting_records", "missing_data", "summary")
@@ -95,8 +90,7 @@ class DuplicateReport:
 
     @cached_property
     def missing_data(self) -> DataFrame:
-        top = self.missing.orderBy("source_file", "sheet_name", "row_number", "missing_column").limit(DUPLICATE_REPORT_MISSING)
-        return top.select(
+        return self.missing.select(
             F.col("source_file").alias("File"), F.col("sheet_name").alias("Sheet"), F.col("row_number").alias("Row"),
             F.col("missing_column").alias("Missing Column"), F.col("details").alias("Details"),
         )
@@ -163,9 +157,7 @@ class MasterReport:
 
     @cached_property
     def missing_data(self) -> DataFrame:
-        """The first 3,000 missing cells; the statistics count all of them."""
-        top = self.missing.orderBy("source_file", "sheet_name", "row_number", "missing_column").limit(MASTER_REPORT_MISSING)
-        return top.select(
+        return self.missing.select(
             F.col("source_file").alias("File"), F.col("sheet_name").alias("Worksheet"), F.col("row_number").alias("Row Number"),
             F.col("folder_path").alias("Folder Path"), F.col("missing_column").alias("Missing Column"), F.col("details").alias("Details"),
         )
@@ -208,8 +200,7 @@ def report_package(datasets: dict[str, DataFrame], row_ids: dict[str, str], out:
     written = sinks.write_tables(
         {
             "duplicates": sinks.duplicates_or_info(groups), "validation": sinks.validation_or_info(problems),
-            "top_groups": shown.orderBy("dataset", "detector", "group_first").limit(50),
-            "top_issues": problems.orderBy("dataset", "row", "column", "rule").limit(100),
+            "top_groups": shown, "top_issues": problems.select("dataset", "row", "column", "severity", "rule", "message"),
         },
         out, "parquet",
     )

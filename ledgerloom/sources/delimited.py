@@ -13,20 +13,22 @@ from ..functions.text import quoted
 from ..operators.clean import normalize_headers
 
 log = logging.getLogger(__name__)
-# Rows looked at to choose column types.
-INFER_ROWS = 1000
 
 
 def separator(path: str) -> str:
     return "\t" if path.lower().endswith(".tsv") else ","
 
 
-def _options(reader, sep: str):
-    return reader.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("multiLine", False)
+# Standard quoting: a quote inside a quoted cell is doubled, and a cell may hold line breaks.
+QUOTING = {"quote": '"', "escape": '"'}
+
+
+def _options(reader, sep: str, multi_line: bool = True):
+    return reader.options(header=True, sep=sep, mode="PERMISSIVE", multiLine=multi_line, **QUOTING)
 
 
 def infer_types(sample: DataFrame) -> T.StructType:
-    """Types of an all-text sample: every filled value must parse, else the column stays text."""
+    """Types of an all-text table: every filled value of all rows must parse, else the column stays text."""
     kinds = (("bigint", T.LongType()), ("double", T.DoubleType()), ("date", T.DateType()), ("timestamp", T.TimestampType()))
     aggs = []
     for i, c in enumerate(sample.columns):
@@ -46,25 +48,47 @@ def infer_types(sample: DataFrame) -> T.StructType:
     return T.StructType(fields)
 
 
-def read_delimited(spark: SparkSession, path: str, max_rows: int | None = None, schema: T.StructType | None = None) -> DataFrame:
+def _text(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    return _options(spark.read, separator(path), multi_line).option("inferSchema", False).csv(path)
+
+
+def read_delimited(
+    spark: SparkSession, path: str, max_rows: int | None = None, schema: T.StructType | None = None, multi_line: bool = True,
+) -> DataFrame:
     """One delimited file, or a folder of files with the same header.
 
-    Types come from the first rows and headers are normalised; cells that do not
-    fit the type become null. If typing fails, every column is text.
+    A column's type is one that every filled cell of all rows has, found by one
+    aggregate; headers are normalised. With a ``schema`` of one's own, cells that
+    do not fit become null; ``lost_cells`` counts them. If typing fails, every
+    column is text. Cells may hold line breaks; where none do, ``multi_line=False``
+    lets large files be split.
     """
-    sep = separator(path)
-    text = _options(spark.read, sep).option("inferSchema", False).csv(path)
+    text = _text(spark, path, multi_line)
     if schema is None:
         try:
-            schema = infer_types(text.limit(INFER_ROWS))
+            schema = infer_types(text)
         except Exception as error:  # noqa: BLE001 - any failure means untyped text
             log.warning("typing of %s failed, reading text: %s", path, error)
             schema = text.schema
-    df = _options(spark.read, sep).schema(schema).csv(path)
-    df = normalize_headers(df)
+    typed = [
+        (F.col(quoted(c)) if isinstance(f.dataType, T.StringType) else F.col(quoted(c)).try_cast(f.dataType)).alias(f.name)
+        for c, f in zip(text.columns, schema.fields, strict=True)
+    ]
+    df = normalize_headers(text.select(*typed))
     return df if max_rows is None else df.limit(max_rows)
 
 
+def lost_cells(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """(column, lost): filled cells per column that do not fit the type of ``schema`` at their place."""
+    text = _text(spark, path, multi_line)
+    counts = []
+    for name, field in zip(text.columns, schema.fields, strict=True):
+        v = F.col(quoted(name))
+        counts.append(F.count_if(v.isNotNull() & v.try_cast(field.dataType).isNull()).alias(field.name))
+    wide = text.agg(*counts)
+    return wide.unpivot([], [quoted(f.name) for f in schema.fields], "column", "lost")
+
+
 def read_many(spark: SparkSession, paths: list[str], max_rows: int | None = None) -> dict[str, DataFrame]:
     """One dataset per file; files that cannot be read are logged and left out."""
     out = {}
@@ -81,7 +105,7 @@ def read_union(spark: SparkSession, paths: list[str]) -> DataFrame:
     groups: dict[tuple, list[str]] = {}
     for path in paths:
         try:
-            header = tuple(_options(spark.read, separator(path)).csv(path).columns)
+            header = tuple(_text(spark, path, True).columns)
         except Exception as error:  # noqa: BLE001
             log.error("skipping %s: %s", path, error)
             continue

@@ -9,6 +9,12 @@ from pyspark.sql import types as T
 from ..functions.text import quoted
 
 
+# Quotes are doubled and white space at the ends of cells is kept, so that any reader gets the cells back.
+CSV_OPTIONS = {
+    "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+}
+
+
 def _writable(df: DataFrame, fmt: str) -> DataFrame:
     """CSV has no nested types: they are written as JSON text."""
     if fmt != "csv":
@@ -25,7 +31,7 @@ def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
     for name, df in tables.items():
         folder = f"{path.rstrip('/')}/{name}"
         writer = _writable(df, fmt).write.mode(mode).format(fmt)
-        (writer.option("header", True) if fmt == "csv" else writer).save(folder)
+        (writer.options(**CSV_OPTIONS) if fmt == "csv" else writer).save(folder)
         out[name] = folder
     return out
 

@@ -4,6 +4,7 @@ usage: python tests/oracle_check.py [sf_dir] [name-part ...]
 """
 
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -58,7 +59,8 @@ def main():
 
     args = sys.argv[1:]
     sf = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
-    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="10g")
+    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="10g",
+                          spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-"))
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:
