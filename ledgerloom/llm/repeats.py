@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Block, blocks, mix, ragged, settle, small_batches, spans_to_strings, to_arrow, whole_groups
+from .common import Block, blocks, mix, ragged, settle, small_batches, spans_to_strings, to_arrow, whole_groups
 
 GRAM = 4
 BUCKET_BYTES = 8 << 20
@@ -62,7 +62,7 @@ def _shared(docs: DataFrame, window: int, buckets: int, bits: int) -> list[tuple
     sent = pa.schema([("bucket", pa.int64()), ("minimisers", pa.binary()), ("ids", pa.binary())])
 
     def send(batches):
-        for table in blocks(batches, most=4 * BLOCK_BYTES):
+        for table in blocks(batches):
             runs = SuperKmers(Block(table["text"]), window)
             ids = table["doc_id"].to_numpy()[runs.doc] if len(runs.doc) else np.zeros(0, np.int64)
             order = np.lexsort((ids, runs.minimiser))
@@ -122,7 +122,7 @@ def _occurrences(docs: DataFrame, window: int, shared, hot, buckets: int, bits:
         return (maps.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
     def run(batches):
-        for table in blocks(batches, most=4 * BLOCK_BYTES):
+        for table in blocks(batches):
             block = Block(table["text"])
             runs = SuperKmers(block, window)
             chosen = on(shared, runs.minimiser)
