@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, mix, ragged, settle, small_batches, spans_to_strings, to_arrow, whole_groups
+from .common import Block, blocks, mix, ragged, small_batches, spans_to_strings, to_arrow, whole_groups
 
 GRAM = 4
 BUCKET_BYTES = 8 << 20
@@ -110,10 +110,9 @@ def _shared(docs: DataFrame, window: int, buckets: int, bits: int) -> list[tuple
     return maps
 
 
-def _occurrences(docs: DataFrame, window: int, shared, hot, buckets: int, bits: int) -> DataFrame:
-    """Every run whose minimiser may be another document's too, as one packed string; of very frequent minimisers each window alone."""
-    schema = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("low", pa.int64()), ("packed", pa.string())])
-
+def _candidates(block: Block, window: int, shared, hot, buckets: int, bits: int):
+    """The runs of a block whose minimiser may be another document's too, each as one packed string; of very
+    frequent minimisers each window alone. Returns where they go, whose they are, and two hashes of each."""
     def on(maps, minimiser):
         if maps.value is None:
             return np.zeros(len(minimiser), bool)
@@ -121,36 +120,62 @@ def _occurrences(docs: DataFrame, window: int, shared, hot, buckets: int, bits:
         place = bucket * bits + at
         return (maps.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
+    runs = SuperKmers(block, window)
+    chosen = on(shared, runs.minimiser)
+    key, doc, at, windows = runs.minimiser[chosen], runs.doc[chosen], runs.at[chosen], runs.windows[chosen]
+    alone = on(hot, key)
+    if alone.any():
+        single, _ = ragged(at[alone], windows[alone])
+        key = np.concatenate([key[~alone], _runs_hash(runs.words, single, window)])
+        doc = np.concatenate([doc[~alone], np.repeat(doc[alone], windows[alone])])
+        at, windows = np.concatenate([at[~alone], single]), np.concatenate([windows[~alone], np.ones(len(single), np.int64)])
+    packed, starts, ends = _packed(block, runs, at, at + windows + window - 2)
+    s1, s2 = (packed.hashes(starts, ends, seed) for seed in (1, 2))
+    return _bit(key, buckets, bits)[0], doc, at - runs.first_word[doc], packed, starts, ends, s1, s2
+
+
+def _strings(docs: DataFrame, window: int, shared, hot, buckets: int, bits: int) -> DataFrame:
+    """The packed strings of each block for each bucket, compressed together, with the least id that has each; equal ones once."""
+    schema = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("bytes", pa.int64()), ("low", pa.binary())])
+
     def run(batches):
+        codec = pa.Codec("zstd")
         for table in blocks(batches):
-            block = Block(table["text"])
-            runs = SuperKmers(block, window)
-            chosen = on(shared, runs.minimiser)
-            key, doc, at, windows = runs.minimiser[chosen], runs.doc[chosen], runs.at[chosen], runs.windows[chosen]
-            alone = on(hot, key)
-            if alone.any():
-                single, _ = ragged(at[alone], windows[alone])
-                key = np.concatenate([key[~alone], _runs_hash(runs.words, single, window)])
-                doc = np.concatenate([doc[~alone], np.repeat(doc[alone], windows[alone])])
-                at, windows = np.concatenate([at[~alone], single]), np.concatenate([windows[~alone], np.ones(len(single), np.int64)])
-            last = at + windows + window - 2
-            packed, starts, ends = _packed(block, runs, at, last)
-            s1, s2 = (Block.hashes(packed, starts, ends, seed).view(np.int64) for seed in (1, 2))
+            bucket, doc, _, packed, starts, ends, s1, s2 = _candidates(Block(table["text"]), window, shared, hot, buckets, bits)
             if not len(doc):
                 continue
             ids = table["doc_id"].to_numpy()[doc]
             order = np.lexsort((ids, s2, s1))
             new = np.append(True, (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1]))
-            sender = order[new]  # equal runs of a block: the one of the least id carries the string
-            carried = np.full(len(doc), -1)
-            carried[sender] = np.arange(len(sender))
-            strings = spans_to_strings(packed.data, starts[sender], ends[sender])
-            yield to_arrow(schema, {
-                "key": key.view(np.int64), "s1": s1, "s2": s2, "doc_id": ids, "text_hash": table["text_hash"].to_numpy()[doc], "start": (at - runs.first_word[doc]).astype(np.int32),
-                "low": pa.array(ids, mask=carried < 0), "packed": strings.take(pa.array(carried, mask=carried < 0)),
-            })
+            sender = order[new]
+            sender = sender[np.argsort(bucket[sender], kind="stable")]
+            edges = np.searchsorted(bucket[sender], np.arange(buckets + 1))
+            out: dict[str, list] = {"bucket": [], "packed": [], "bytes": [], "low": []}
+            for b in np.flatnonzero(np.diff(edges)):
+                own = sender[edges[b] : edges[b + 1]]
+                data, _, _ = joined(packed.data, starts[own], ends[own], 0x0A)
+                out["bucket"].append(b)
+                out["packed"].append(codec.compress(data.tobytes(), asbytes=True))
+                out["bytes"].append(len(data))
+                out["low"].append(ids[own].tobytes())
+            yield to_arrow(schema, out)
+
+    return docs.mapInArrow(run, "bucket long, packed binary, bytes long, low binary")
+
+
+def _occurrences(docs: DataFrame, window: int, shared, hot, buckets: int, bits: int) -> DataFrame:
+    """Where each packed string occurs: its two hashes, document and first word."""
+    schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32())])
+
+    def run(batches):
+        for table in blocks(batches):
+            _, doc, at, _, _, _, s1, s2 = _candidates(Block(table["text"]), window, shared, hot, buckets, bits)
+            if len(doc):
+                yield to_arrow(schema, {
+                    "s1": s1.view(np.int64), "s2": s2.view(np.int64), "doc_id": table["doc_id"].to_numpy()[doc], "text_hash": table["text_hash"].to_numpy()[doc], "start": at.astype(np.int32),
+                })
 
-    return docs.mapInArrow(run, "key long, s1 long, s2 long, doc_id long, text_hash long, start int, low long, packed string")
+    return docs.mapInArrow(run, "s1 long, s2 long, doc_id long, text_hash long, start int")
 
 
 def _packed(block: Block, runs: SuperKmers, first: np.ndarray, last: np.ndarray) -> tuple[Block, np.ndarray, np.ndarray]:
@@ -164,12 +189,12 @@ def _packed(block: Block, runs: SuperKmers, first: np.ndarray, last: np.ndarray)
     return out, starts.astype(np.int64), ends.astype(np.int64)
 
 
-def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans copied one after another, a space after each, with where each begins and ends there."""
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, after: int = 0x20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans copied one after another, a space (or another byte) after each, with where each begins and ends there."""
     length = ends - starts
     flat, off = ragged(starts, length + 1)
     out = data[np.minimum(flat, len(data) - 1)]
-    out[off[1:] - 1] = 0x20
+    out[off[1:] - 1] = after
     return out, off[:-1], off[1:] - 1
 
 
@@ -178,28 +203,35 @@ def _least_ids(strings: DataFrame, window: int) -> DataFrame:
     schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("least", pa.list_(pa.int64()))])
 
     def run(batches):
-        for table in whole_groups(batches, ["key"], 32768):
-            s1, s2 = table["s1"].to_numpy(), table["s2"].to_numpy()
-            order = np.lexsort((s2, s1))
-            first = np.flatnonzero(np.append(True, (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1])))
-            lows = np.minimum.reduceat(table["low"].to_numpy()[order], first)
-            table = table.take(pa.array(order[first]))
-            block = Block(table["packed"])
-            starts, ends, doc = block.words()
-            count = np.bincount(doc, minlength=block.n)
-            first = np.concatenate([[0], np.cumsum(count)])[:-1]
-            at, off = ragged(first, count - window + 1)
-            one, two = (_runs_hash(block.hashes(starts, ends, seed), at, window) for seed in (0, 5))
-            ids = np.repeat(lows, count - window + 1)
-            order = np.lexsort((two, one))
-            one, two = one[order], two[order]
-            new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-            lowest = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-            least = np.empty(len(ids), np.int64)
-            least[order] = lowest
-            yield to_arrow(schema, {"s1": table["s1"].combine_chunks(), "s2": table["s2"].combine_chunks(), "least": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(least))})
-
-    return strings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "s1 long, s2 long, least array<long>")
+        codec = pa.Codec("zstd")
+        for table in whole_groups(batches, ["bucket"], 1):
+            of = table["bucket"].to_numpy()
+            for bucket in np.unique(of):
+                rows = table.filter(pa.array(of == bucket))
+                raw = b"".join(codec.decompress(p, n, asbytes=True) for p, n in zip(rows["packed"].to_pylist(), rows["bytes"].to_pylist(), strict=True))
+                low = np.frombuffer(b"".join(rows["low"].to_pylist()), np.int64)
+                block = Block(pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(raw)], np.int64)), pa.py_buffer(raw)))
+                starts, ends, _ = block.words()
+                line_ends = np.flatnonzero(block.data[: block.size] == 0x0A)
+                count = np.bincount(np.searchsorted(line_ends, starts), minlength=len(low))
+                first = np.concatenate([[0], np.cumsum(count)])[:-1]
+                at, off = ragged(first, count - window + 1)
+                one, two = (_runs_hash(block.hashes(starts, ends, seed), at, window) for seed in (0, 5))
+                ids = np.repeat(low, count - window + 1)
+                order = np.lexsort((two, one))
+                one, two = one[order], two[order]
+                new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+                least = np.empty(len(ids), np.int64)
+                least[order] = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+                s1, s2 = (block.hashes(np.append(0, line_ends[:-1] + 1), line_ends, seed) for seed in (1, 2))
+                order = np.lexsort((s2, s1))
+                chosen = order[np.append(True, (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1]))]
+                flat, own = ragged(off[chosen], np.diff(off)[chosen])
+                yield to_arrow(schema, {
+                    "s1": s1[chosen].view(np.int64), "s2": s2[chosen].view(np.int64), "least": pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(least[flat])),
+                })
+
+    return strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "s1 long, s2 long, least array<long>")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -208,9 +240,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Three passes. (1) Blocks tell buckets which minimisers they have; those of one
     document cannot belong to a repeated window and are left out by bit maps of
     fixed size, in which a chance hit costs some work and no more. (2) Runs of
-    windows with the other minimisers travel as packed strings, equal ones
-    combined first; in their bucket windows are sorted, and each gets the least
-    id that has it. (3) Texts meet the windows that a smaller id has, and lose
+    windows with the other minimisers travel as packed strings, equal ones of a
+    block once; in their bucket windows are sorted, and each gets the least id
+    that has it, which occurrences learn in a join. (3) Texts meet the windows that a smaller id has, and lose
     their words. Windows are judged on the input, not on what is left.
 
     Returns the columns of ``df`` with the text rewritten (kept words joined by
@@ -229,9 +261,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     maps = _shared(docs, window, buckets, bits)
     shared, hot = (np.concatenate([m[i] for m in maps]) for i in (0, 1))
     shared, hot = (spark.sparkContext.broadcast(m if m.any() else None) for m in (shared, hot))
-    found = settle(_occurrences(docs, window, shared, hot, buckets, bits), "runs")
-    least = _least_ids(found.where("packed is not null").select("key", "s1", "s2", "low", "packed"), window)
-    met = found.select("s1", "s2", "doc_id", "text_hash", "start").join(least, ["s1", "s2"])
+    least = _least_ids(_strings(docs, window, shared, hot, buckets, bits), window)
+    met = _occurrences(docs, window, shared, hot, buckets, bits).join(least, ["s1", "s2"])
     places = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     lost = met.select("doc_id", "text_hash", places.alias("places")).where(F.size("places") > 0).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("places")).alias("places"))
 
