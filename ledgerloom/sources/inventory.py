@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import spread, with_position
 
-# Readable extensions, size cap of content analysis, skipped name.
+# Readable extensions, skipped name.
 EXTENSIONS = ("csv", "tsv", "txt")
-MAX_BYTES = 50 * 1024 * 1024
+# A file's content is one value in Spark, which must stay below 2 GB.
+MAX_BYTES = 1 << 30
 REPORT_NAME = "duplicate_report"
 IGNORED = r"(^|/)(~\$|\._|__MACOSX/|\.git/|node_modules/)"
 
@@ -61,35 +62,56 @@ def _analysed(files: DataFrame) -> DataFrame:
     return out.withColumn("is_empty", (F.col("rows") == 0) | (F.col("cols") == 0))
 
 
-def _hashed(spark: SparkSession, root: str, max_bytes: int) -> DataFrame:
-    """Supported files under the size cap with content and SHA-256; the cap is pushed to the scan."""
+def _supported(files: DataFrame, root: str, *more: str) -> DataFrame:
     p = _parts(root)
-    files = _files(spark, root).filter(F.col("length") <= max_bytes)
-    files = files.select("path", *[c.alias(n) for n, c in p.items()], F.col("length").alias("size"), "content")
+    files = files.select("path", *[c.alias(n) for n, c in p.items()], F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *more)
     skip = F.contains(F.lower("file_name"), F.lit(REPORT_NAME)) | F.col("relative_path").rlike(IGNORED)
-    return files.filter(F.col("extension").isin(*EXTENSIONS) & ~skip).withColumn("sha256", F.sha2("content", 256))
+    return files.filter(F.col("extension").isin(*EXTENSIONS) & ~skip)
+
+
+def _content(spark: SparkSession, root: str, max_bytes: int, paths: list[str] | None = None) -> DataFrame:
+    """Facts and SHA-256 of every supported file, or of the given ones.
+
+    Files above ``max_bytes``, of which the content is not loaded as one value, are
+    read as lines: their rows and columns are known, their SHA-256 is null.
+    """
+    source = _files(spark, root) if paths is None else spark.read.format("binaryFile").load(paths)
+    whole = _supported(source.filter(F.col("length") <= max_bytes), root, "content").withColumn("sha256", F.sha2("content", 256))
+    facts = _analysed(whole)
+    large = _supported(source.filter(F.col("length") > max_bytes), root)
+    names = [r["path"] for r in large.select("path").collect()]
+    if not names:
+        return facts
+    lines = spark.read.text(names).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+    counted = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.min_by("value", "at").alias("header"))
+    seen = large.join(counted, "path", "left").withColumn("sha256", F.lit(None).cast("string"))
+    seen = seen.withColumn("rows", F.greatest(F.lit(0), F.coalesce("lines", F.lit(0)) - 1).cast("long"))
+    columns = F.split("header", F.when(F.col("extension") == "tsv", "\t").otherwise(","))
+    seen = seen.withColumn("columns", F.coalesce(columns, F.array().cast("array<string>"))).withColumn("cols", F.size("columns"))
+    seen = seen.withColumn("is_empty", (F.col("rows") == 0) | (F.col("cols") == 0))
+    return facts.unionByName(seen.select(*facts.columns))
 
 
 def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Per-file report with byte-identical copies.
+    """Per-file report of all supported files with byte-identical copies; ``unhashed`` files are never copies.
 
     ``duplicate_of`` is the previous copy in path order and ``first_copy`` the
     first. The previous copy is found by position, so a content shared by many
     files is never gathered in one task.
     """
-    info = _analysed(_hashed(spark, root, max_bytes))
+    info = _content(spark, root, max_bytes)
     placed = with_position(info, ["sha256", "relative_path"], "_pos")
     before = placed.select(
         (F.col("_pos") + 1).alias("_pos"), F.col("sha256").alias("_sha"), F.col("relative_path").alias("_before")
     )
     first = placed.groupBy("sha256", spread("sha256")).agg(F.min("relative_path").alias("_first")).drop("_spread")
-    joined = placed.join(before, "_pos", "left").join(first, "sha256")
+    joined = placed.join(before, "_pos", "left").join(first, "sha256", "left")
     same = F.when(F.col("_sha") == F.col("sha256"), F.col("_before"))
     return joined.select(
         "path", "relative_path", "file_name", "folder", "extension", "size", "sha256", "rows", "cols", "columns", "is_empty",
         same.isNotNull().alias("is_duplicate"), same.alias("duplicate_of"),
         F.when(same.isNotNull(), F.col("_first")).alias("first_copy"),
-        F.when(same.isNotNull(), "duplicate").otherwise("ok").alias("status"),
+        F.when(F.col("sha256").isNull(), "unhashed").when(same.isNotNull(), "duplicate").otherwise("ok").alias("status"),
     )
 
 
@@ -102,28 +124,34 @@ def discovery_totals(report: DataFrame) -> DataFrame:
 
 
 def discover_incremental(spark: SparkSession, root: str, manifest: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Analyse only files whose (path, hash) is not in the manifest, then write the next one.
+    """Analyse only files that the manifest does not have as they are, then write the next one.
 
-    Every run writes its own ``run=N`` folder of the manifest and reads the newest
+    A file of the same path, size and modification time is not read again; one
+    with another time but the same hash is kept as it was. Every run writes its own ``run=N`` folder of the manifest and reads the newest
     complete one, so a failed run leaves the previous manifest in place. The result
     carries ``reanalysed``.
     """
-    current = _hashed(spark, root, max_bytes)
     try:
         old = spark.read.parquet(manifest)
         last = old.agg(F.max("run")).first()[0]
     except AnalysisException:
         old, last = None, None
     if last is None:
-        fresh, run = _analysed(current).withColumn("reanalysed", F.lit(True)), 0
-        result = fresh
+        result, run = _content(spark, root, max_bytes).withColumn("reanalysed", F.lit(True)), 0
     else:
         run = last + 1
         known = old.filter(F.col("run") == last).drop("run", "reanalysed")
-        keys = known.select("path", "sha256")
-        fresh = _analysed(current.join(keys, ["path", "sha256"], "left_anti")).withColumn("reanalysed", F.lit(True))
-        kept = known.join(current.select("path", "sha256"), ["path", "sha256"], "left_semi").withColumn("reanalysed", F.lit(False))
-        result = fresh.unionByName(kept)
+        listed = _supported(_files(spark, root), root)
+        same = ["path", "size", "modified"]
+        kept = known.join(listed.select(*same), same, "left_semi").withColumn("reanalysed", F.lit(False))
+        # Spark's reader takes paths from the driver, so those of the files to read are listed there.
+        changed = [r["path"] for r in listed.join(known.select(*same), same, "left_anti").select("path").collect()]
+        result = kept
+        if changed:
+            fresh = _content(spark, root, max_bytes, changed)
+            before = known.select("path", "sha256", F.lit(False).alias("reanalysed"))
+            fresh = fresh.join(before, ["path", "sha256"], "left").withColumn("reanalysed", F.coalesce("reanalysed", F.lit(True)))
+            result = fresh.select(*kept.columns).unionByName(kept)
     target = f"{manifest.rstrip('/')}/run={run}"
     result.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
