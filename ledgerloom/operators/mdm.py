@@ -248,15 +248,25 @@ def coalesced_records(sheets: list[Sheet], rule: str = "rule_1") -> DataFrame:
     return with_position(union, ["_src"] + [f"_o{k}" for k in range(depth)], "ord").drop(*[f"_o{k}" for k in range(depth)])
 
 
-def consolidate_coalesced(sheets: list[Sheet], rule: str = "rule_1") -> DataFrame:
-    """Masters of ``coalesced_records``: the first record of a key is the golden one."""
-    records = coalesced_records(sheets, rule)
-    attrs = list(HEADER_CANDIDATES)
+def _coalesced_entities(records: DataFrame) -> DataFrame:
     entities = records.groupBy("key").agg(
         F.min("ord").alias("first"), F.count(F.lit(1)).alias("total_occurrences"),
-        F.count_distinct("source_file").alias("source_count"), F.min_by(F.struct(*attrs), F.col("ord")).alias("g"),
+        F.count_distinct("source_file").alias("source_count"), F.min_by(F.struct(*HEADER_CANDIDATES), F.col("ord")).alias("g"),
     )
-    placed = with_position(entities, ["first"], "_no", 1)
+    return with_position(entities, ["first"], "_no", 1)
+
+
+def coalesced_references(sheets: list[Sheet], rule: str = "rule_1") -> DataFrame:
+    """Where each master of ``consolidate_coalesced`` occurs: one row per record."""
+    records = coalesced_records(sheets, rule)
+    masters = _coalesced_entities(records).select("key", F.format_string("M%06d", "_no").alias("master_id"))
+    return records.join(masters, "key").select("master_id", "source_file", "sheet_name", "folder_path", "ord", "key")
+
+
+def consolidate_coalesced(sheets: list[Sheet], rule: str = "rule_1") -> DataFrame:
+    """Masters of ``coalesced_records``: the first record of a key is the golden one."""
+    placed = _coalesced_entities(coalesced_records(sheets, rule))
+    attrs = list(HEADER_CANDIDATES)
     renamed = {"contact": "contact_number", "gst": "gst_number"}
     return placed.select(
         F.format_string("M%06d", "_no").alias("master_id"), *[F.col(f"g.{a}").alias(renamed.get(a, a)) for a in attrs],

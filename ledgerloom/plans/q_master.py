@@ -183,6 +183,26 @@ def k10(spark, sf):
     return mdm.consolidate_coalesced(contact_sheets(spark, sf), "rule_5")
 
 
+@query("k10_coalesced_references", f"""with {_COALESCED} select 'M' || lpad(cast(no as varchar), 6, '0') as master_id, source_file, sheet_name, folder_path, ord, key
+  from kr join (select key, row_number() over (order by first_ord) as no from ent) using (key)""")
+def k10_references(spark, sf):
+    return mdm.coalesced_references(contact_sheets(spark, sf), "rule_5")
+
+
+_COALESCED_KEYS = {"rule_1": "''", "rule_2": f"'email:' || nullif({_LOW['email']}, '')", "rule_3": f"'gst:' || nullif({_LOW['gst']}, '')", "rule_4": "'cid:' || nullif(cid, '')"}
+_PROFILE_KEY = f"'prof:' || {_LOW['name']} || '|' || {_LOW['address']} || '|' || {_LOW['city']} || '|' || {_LOW['state']} || '|' || {_RAW_DIGITS}"
+_SHEET_ID = "case when {k} % 5 = 0 then '' else 'C' || ({k} % 40) end"
+
+
+@query("k10_coalesced_keys", f"with {RECORDS_SQL}, r as (select *, lower({_SHEET_ID.format(k='k')}) as cid from rec) " + " union all ".join(
+    f"select '{rule}' as rule, ord, coalesce(nullif({key}, ''), {_PROFILE_KEY}) as key from r" for rule, key in _COALESCED_KEYS.items()))
+def k10_keys(spark, sf):
+    """The keys by e-mail, tax number, customer id, and whole profile."""
+    sheets = [sm.Sheet(s.df.withColumn("Customer ID", F.expr(_SHEET_ID.format(k=s.order_by[0]))), s.order_by, s.file, s.sheet, s.folder) for s in contact_sheets(spark, sf)]
+    parts = [mdm.coalesced_records(sheets, rule).select(F.lit(rule).alias("rule"), "ord", "key") for rule in _COALESCED_KEYS]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+
+
 @query("k10_coalesced_summary", f"""with {_COALESCED} select cast(sum(total_occurrences) as bigint) as total_records, count(*) as master_records_count, count(*) filter (where duplicate_count > 0) as duplicate_groups_count,
   cast(sum(total_occurrences) as bigint) as duplicate_records_count, count(*) filter (where duplicate_count = 0) as unique_records_count,
   count(*) filter (where contact_number = '' or email = '') as missing_records_count from cm""")
