@@ -62,6 +62,7 @@ def _shared(docs: DataFrame, window: int, buckets: int, bits: int) -> list[tuple
     sent = pa.schema([("bucket", pa.int64()), ("minimisers", pa.binary()), ("ids", pa.binary())])
 
     def send(batches):
+        codec = pa.Codec("zstd")
         for table in blocks(batches):
             runs = SuperKmers(Block(table["text"]), window)
             ids = table["doc_id"].to_numpy()[runs.doc] if len(runs.doc) else np.zeros(0, np.int64)
@@ -79,16 +80,18 @@ def _shared(docs: DataFrame, window: int, buckets: int, bits: int) -> list[tuple
             minimiser, ids = minimiser[order], ids[order]
             filled = np.flatnonzero(np.diff(edges))
             yield to_arrow(sent, {
-                "bucket": filled, "minimisers": [minimiser[edges[b] : edges[b + 1]].tobytes() for b in filled], "ids": [ids[edges[b] : edges[b + 1]].tobytes() for b in filled],
+                "bucket": filled, "minimisers": [minimiser[edges[b] : edges[b + 1]].tobytes() for b in filled], "ids": [codec.compress(ids[edges[b] : edges[b + 1]].tobytes(), asbytes=True) for b in filled],
             })
 
     def decide(batches):
+        codec = pa.Codec("zstd")
         for table in whole_groups(batches, ["bucket"], 1):
             buckets_here = table["bucket"].to_numpy()
             for bucket in np.unique(buckets_here):
                 own = table.filter(pa.array(buckets_here == bucket))
                 minimiser = np.frombuffer(b"".join(own["minimisers"].to_pylist()), np.uint64)
-                ids = np.frombuffer(b"".join(own["ids"].to_pylist()), np.int64)
+                sizes = [len(m) for m in own["minimisers"].to_pylist()]  # as many bytes of ids
+                ids = np.frombuffer(b"".join(codec.decompress(p, n, asbytes=True) for p, n in zip(own["ids"].to_pylist(), sizes, strict=True)), np.int64)
                 order = np.argsort(minimiser)
                 minimiser, ids = minimiser[order], ids[order]
                 first = np.flatnonzero(np.append(True, minimiser[1:] != minimiser[:-1]))
@@ -136,7 +139,7 @@ def _candidates(block: Block, window: int, shared, hot, buckets: int, bits: int)
 
 def _strings(docs: DataFrame, window: int, shared, hot, buckets: int, bits: int) -> DataFrame:
     """The packed strings of each block for each bucket, compressed together, with the least id that has each; equal ones once."""
-    schema = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("bytes", pa.int64()), ("low", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("bytes", pa.int64()), ("low", pa.binary()), ("count", pa.int64())])
 
     def run(batches):
         codec = pa.Codec("zstd")
@@ -150,17 +153,18 @@ def _strings(docs: DataFrame, window: int, shared, hot, buckets: int, bits: int)
             sender = order[new]
             sender = sender[np.argsort(bucket[sender], kind="stable")]
             edges = np.searchsorted(bucket[sender], np.arange(buckets + 1))
-            out: dict[str, list] = {"bucket": [], "packed": [], "bytes": [], "low": []}
+            out: dict[str, list] = {"bucket": [], "packed": [], "bytes": [], "low": [], "count": []}
             for b in np.flatnonzero(np.diff(edges)):
                 own = sender[edges[b] : edges[b + 1]]
                 data, _, _ = joined(packed.data, starts[own], ends[own], 0x0A)
                 out["bucket"].append(b)
                 out["packed"].append(codec.compress(data.tobytes(), asbytes=True))
                 out["bytes"].append(len(data))
-                out["low"].append(ids[own].tobytes())
+                out["low"].append(codec.compress(ids[own].tobytes(), asbytes=True))
+                out["count"].append(len(own))
             yield to_arrow(schema, out)
 
-    return docs.mapInArrow(run, "bucket long, packed binary, bytes long, low binary")
+    return docs.mapInArrow(run, "bucket long, packed binary, bytes long, low binary, count long")
 
 
 def _occurrences(docs: DataFrame, window: int, shared, hot, buckets: int, bits: int) -> DataFrame:
@@ -209,7 +213,7 @@ def _least_ids(strings: DataFrame, window: int) -> DataFrame:
             for bucket in np.unique(of):
                 rows = table.filter(pa.array(of == bucket))
                 raw = b"".join(codec.decompress(p, n, asbytes=True) for p, n in zip(rows["packed"].to_pylist(), rows["bytes"].to_pylist(), strict=True))
-                low = np.frombuffer(b"".join(rows["low"].to_pylist()), np.int64)
+                low = np.frombuffer(b"".join(codec.decompress(p, 8 * n, asbytes=True) for p, n in zip(rows["low"].to_pylist(), rows["count"].to_pylist(), strict=True)), np.int64)
                 block = Block(pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(raw)], np.int64)), pa.py_buffer(raw)))
                 starts, ends, _ = block.words()
                 line_ends = np.flatnonzero(block.data[: block.size] == 0x0A)
