@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +44,16 @@ def _sketches(df: DataFrame, size: int, rows: int) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, sketch binary, bands array<long>")
 
 
-def _plausible(bucket: pa.Table, rows: int, percent: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _plausible(bucket: pa.Table, percent: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of one block of a bucket that may be similar enough, as places in it, judged by sizes and sketches.
 
-    A pair is left to the first band in which it agrees, so no pair is looked at twice.
+    A pair is left to the first band whose key it shares, so no pair is looked at twice.
+    ``before`` has each member's keys of all earlier bands: coordinates of the sketch
+    may agree by chance in a band where the pair never met.
     """
     n, own, band = (bucket[c].to_numpy() for c in ("n", "own", "band"))
     s = np.frombuffer(b"".join(bucket["sketch"].to_pylist()), np.uint8).reshape(len(n), BINS)
-    before = int(band[0]) * rows
+    before = pc.list_flatten(bucket["before"]).to_numpy().reshape(len(n), int(band[0]))
     left, right = [], []
     for i in range(len(n)):
         other = np.flatnonzero((own[i] != own[i + 1 :]) | (bucket["i"][0].as_py() == bucket["j"][0].as_py())) + i + 1
@@ -59,8 +62,7 @@ def _plausible(bucket: pa.Table, rows: int, percent: int, least: int) -> tuple[n
             continue
         same = s[other] == s[i]
         fits = same.sum(axis=1) >= least
-        if before:
-            fits &= ~same[:, :before].reshape(len(other), -1, rows).all(axis=2).any(axis=1)
+        fits &= ~(before[other] == before[i]).any(axis=1)
         left.append(np.full(int(fits.sum()), i))
         right.append(other[fits])
     return (np.concatenate(left), np.concatenate(right), n) if left else (np.zeros(0, int), np.zeros(0, int), n)
@@ -118,9 +120,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = nodes.select("uid", F.posexplode("bands").alias("band", "key"))
     shared = dealt.groupBy("key", "band").agg(F.count("*").alias("m")).where("m > 1")
     parts = F.ceil(F.col("m") / BUCKET_BLOCK).cast("int")
-    members = dealt.join(shared, ["key", "band"]).join(nodes.select("uid", F.col("n_shingles").alias("n"), "sketch"), "uid")
+    members = dealt.join(shared, ["key", "band"]).join(nodes.select("uid", F.col("n_shingles").alias("n"), "sketch", "bands"), "uid")
+    members = members.withColumn("before", F.slice("bands", F.lit(1), F.col("band")))
     members = members.withColumn("own", F.pmod(F.xxhash64("uid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    members = members.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "n", "sketch")
+    members = members.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "n", "sketch", "before")
     task = ["key", "band", "i", "j"]
 
     def compare(batches):
@@ -130,7 +133,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out: dict[str, list] = {"task": [], "nodes": [], "pairs": []}
             for begin, end in zip(edges[:-1], edges[1:], strict=True):
                 bucket = table.slice(begin, end - begin)
-                left, right, _ = _plausible(bucket, rows, percent, least)
+                left, right, _ = _plausible(bucket, percent, least)
                 if len(left):
                     used, places = np.unique(np.concatenate([left, right]), return_inverse=True)
                     out["task"].append(0)

@@ -109,6 +109,40 @@ def test_bands_miss_less_than_one_in_a_million():
     assert near.least_agreement(0.85) == 84
 
 
+def test_pairs_at_the_threshold_are_compared_where_they_first_meet():
+    rng, percent, rows, misses, again = np.random.default_rng(5), 85, near.band_rows(0.85), 0, 0
+    least = near.least_agreement(0.85)
+    for _ in range(10):
+        a = rng.integers(0, 2**63, (20_000, minhash.BINS)).astype(np.uint64)
+        b = np.where(rng.random(a.shape) < percent / 100, a, rng.integers(0, 2**63, a.shape).astype(np.uint64))
+        keys = np.stack([minhash.bands(a, rows), minhash.bands(b, rows)], axis=1)
+        low = np.stack([a, b], axis=1).astype(np.uint8)
+        met = keys[:, 0] == keys[:, 1]
+        first = np.where(met.any(axis=1), met.argmax(axis=1), -1)
+        misses += int((first < 0).sum())
+
+        def found(pairs, band):
+            n = 2 * len(pairs)
+            bucket = pa.table({
+                "n": np.full(n, 100), "own": np.zeros(n, np.int32), "i": np.zeros(n, np.int32), "j": np.zeros(n, np.int32), "band": np.full(n, band, np.int32),
+                "sketch": [x.tobytes() for x in low[pairs].reshape(n, -1)],  # noqa: B023
+                "before": pa.array(list(keys[pairs][:, :, :band].reshape(n, band)), pa.list_(pa.int64())),  # noqa: B023
+            })
+            left, right, _ = near._plausible(bucket, percent, least)
+            assert (left // 2 == right // 2).all()
+            return len(left)
+
+        for band in range(keys.shape[2]):
+            here = np.flatnonzero(first == band)
+            for begin in range(0, len(here), 64):
+                pairs = here[begin : begin + 64]
+                misses += len(pairs) - found(pairs, band)
+            later = np.flatnonzero(met[:, band] & (first < band))[:64]
+            if len(later):
+                again += found(later, band)
+    assert misses <= 3 and again == 0
+
+
 def test_whole_groups_cuts_between_groups():
     keys = [1, 1, 2, 2, 2, 2, 3, 4, 4]
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2])], names=["k"]) for i in range(0, 9, 2)]
