@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.scoring import score_udf
+from ..session import stable
 from .ordering import spread, with_position
 from .profile import unpivot_text
 from .schema_map import PROVENANCE, Sheet
+from .similarity import distinct_values, value_pairs
 
 # Compared fields, comparison window and levels.
 FIELDS = ("Name", "Company", "Email", "Phone Number", "Address", "Customer ID", "GST Number")
@@ -77,14 +79,12 @@ def _survivors(records: DataFrame) -> DataFrame:
     return with_position(slim, ["ord"], "pos")
 
 
-def near_matches(records: DataFrame, window: int = WINDOW, similar_below: float = SIMILAR_BELOW) -> DataFrame:
-    """Pairs of near-equal records: high confidence, similar or possible, in that order.
+def _window_pairs(rows: DataFrame, window: int) -> DataFrame:
+    """Candidate pairs less than ``window`` apart in the global order, with their ratio.
 
-    Each record meets the next ``window - 1`` records of the global order. The pairs
-    come from a join on ``pos div window``, where a record also stands in the
-    bucket before its own, so a bucket holds at most two windows of records.
+    The pairs come from a join on ``pos div window``, where a record also stands in
+    the bucket before its own, so a bucket holds at most two windows of records.
     """
-    rows = _survivors(records).filter(F.col("name") != "")
     bucket = F.floor(F.col("pos") / window)
     letters = F.array_distinct(F.split("lower", ""))
     rows = rows.withColumn("letters", letters)
@@ -107,7 +107,41 @@ def near_matches(records: DataFrame, window: int = WINDOW, similar_below: float
     # Pairs already decided hand nulls to the scorer.
     open_ = ~F.col("_high") & ~F.col("_same")
     ratio = score_udf("ratio")(F.when(open_, F.col("lower_a")), F.when(open_, F.col("lower_b")))
-    pairs = pairs.withColumn("ratio", F.when(F.col("_same"), F.lit(100.0)).otherwise(ratio))
+    return pairs.withColumn("ratio", F.when(F.col("_same"), F.lit(100.0)).otherwise(ratio))
+
+
+def _name_pairs(rows: DataFrame) -> DataFrame:
+    """All candidate pairs at any distance, with their ratio.
+
+    What a pair is follows from its two names. So distinct names are paired, by
+    equal cleaned forms and by an exact similarity join, and then meet the records.
+    """
+    names = stable(rows.select("name", "plain", "lower").distinct())
+    a, b = (names.select(*[F.col(c).alias(f"{c}_{s}") for c in names.columns]) for s in "ab")
+    none = F.lit(None).cast("double")
+    high = a.join(b, F.col("plain_a") == F.col("plain_b")).filter("plain_a <> '' and name_a <> name_b")
+    high = high.select("name_a", "name_b", F.lit(True).alias("_high"), (F.col("lower_a") == F.col("lower_b")).alias("_same"), none.alias("ratio"))
+    decided = (F.col("plain_a") != "") & (F.col("plain_a") == F.col("plain_b")) & (F.col("name_a") != F.col("name_b"))
+    same = a.join(b, F.col("lower_a") == F.col("lower_b")).filter(~decided)
+    same = same.select("name_a", "name_b", F.lit(False).alias("_high"), F.lit(True).alias("_same"), F.lit(100.0).alias("ratio"))
+    found = stable(value_pairs(distinct_values(names, "lower"), None, "ratio", SIMILAR_FROM).select("vl", "vr", "score"))
+    found = found.filter(F.abs(F.length("vl") - F.length("vr")) <= LENGTH_GAP)
+    both = found.unionAll(found.select("vr", "vl", "score")).toDF("lower_a", "lower_b", "ratio")
+    close = both.join(a, "lower_a").join(b, "lower_b").filter(~decided)
+    close = close.select("name_a", "name_b", F.lit(False).alias("_high"), F.lit(False).alias("_same"), "ratio")
+    alike = high.unionAll(same).unionAll(close)
+    left, right = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns]) for s in "ab")
+    return alike.join(left, "name_a").join(right, "name_b").filter("pos_b > pos_a")
+
+
+def near_matches(records: DataFrame, window: int | None = None, similar_below: float = SIMILAR_BELOW) -> DataFrame:
+    """Pairs of near-equal records: high confidence, similar or possible, in that order.
+
+    All pairs of records are considered; with a ``window``, each record meets only
+    the next ``window - 1`` records of the global order.
+    """
+    rows = _survivors(records).filter(F.col("name") != "")
+    pairs = _name_pairs(stable(rows)) if window is None else _window_pairs(rows, window)
     similar = (F.col("ratio") >= SIMILAR_FROM) & (F.col("ratio") < similar_below)
     level = F.when(F.col("_high"), NEAR_LEVEL).when(similar & ~F.col("_same"), SIMILAR_LEVEL).when(F.col("_same"), POSSIBLE_LEVEL)
     score = F.when(F.col("_high"), F.lit(97.0)).when(F.col("_same"), F.lit(75.0)).otherwise(F.round("ratio", 1))

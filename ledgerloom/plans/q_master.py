@@ -8,9 +8,9 @@ from ..operators import crossfile as xf
 from ..operators import mdm
 from ..operators import schema_map as sm
 from . import reports
-from .q_matching import _EXACT_MATCHES, _HIGH, _SAME, _SIMILAR, _SURVIVORS, SUMMARY_SQL
+from .q_matching import _EXACT_MATCHES, _HIGH, _SAME, _SIMILAR, _SURVIVORS, SUMMARY_SQL, unbounded
 from .q_quality import MISSING_SQL
-from .registry import query
+from .registry import ORACLES, query
 from .sheets import RECORDS_SQL, contact_sheets, joined_parts, n_clean, n_exact, n_phone
 
 RUN_DATE = "2024-01-01 00:00:00"
@@ -233,7 +233,7 @@ _PAIR_COLUMNS = "ord, ord_b, nm, nm_b, source_file, sheet_name, rn, file_b, rn_b
   select (select coalesce(max(group_id), 0) from groups) + row_number() over (order by ord, ord_b) as "Group ID", nm as "Name / Primary Entity", printf('%.1f', c) || '%' as "Similarity",
     f as "Matching Fields", {_SPOT} || ' | ' || {_SPOT_B} as "Source Files", d as "Details" from found""")
 def e1_similar(spark, sf):
-    return reports.DuplicateReport(contact_sheets(spark, sf)).similar_records
+    return reports.DuplicateReport(contact_sheets(spark, sf), xf.WINDOW).similar_records
 
 
 @query("e1_conflicting_records", f"""with {_SURVIVORS}, c as (select * from pairs where {_SAME}), d as (select nm, 'Email' as f, email as va, email_b as vb, source_file, sheet_name, rn, file_b, rn_b from c
@@ -241,7 +241,7 @@ def e1_similar(spark, sf):
   select nm as "Entity Name", f as "Field", va as "Old Value", vb as "New Value", source_file || ' (' || sheet_name || ':L' || rn || ')' as "Source A",
   file_b || ' (' || replace(file_b, '.csv', '') || ':L' || rn_b || ')' as "Source B" from d""")
 def e1_conflicts(spark, sf):
-    return reports.DuplicateReport(contact_sheets(spark, sf)).conflicting_records
+    return reports.DuplicateReport(contact_sheets(spark, sf), xf.WINDOW).conflicting_records
 
 
 @query("e1_missing_data", f"""select source_file as "File", sheet_name as "Sheet", row_number as "Row", missing_column as "Missing Column", details as "Details" from ({MISSING_SQL})""")
@@ -258,7 +258,16 @@ _METRICS = {
 
 @query("e1_summary", f"with x as ({SUMMARY_SQL}) " + " union all ".join(f"select '{label}' as metric, cast({c} as varchar) as value from x" for c, label in _METRICS.items()))
 def e1_summary(spark, sf):
-    return reports.DuplicateReport(contact_sheets(spark, sf)).summary
+    return reports.DuplicateReport(contact_sheets(spark, sf), xf.WINDOW).summary
+
+
+def _all_report(part: str) -> None:
+    """A sheet of the report over all pairs of records, at any distance."""
+    query(f"e1_all_{part}", unbounded(ORACLES[f"e1_{part}"]))(lambda spark, sf: getattr(reports.DuplicateReport(contact_sheets(spark, sf)), part))
+
+
+for _part in ("similar_records", "conflicting_records", "summary"):
+    _all_report(_part)
 
 
 def _master_table(spark, sf, name):

@@ -10,8 +10,9 @@ from ..operators import dedupe as dd
 from ..operators import schema_map as sm
 from ..operators import query as qy
 from ..operators import similarity as si
+from ..session import stable
 from .q_quality import MISSING_SQL
-from .registry import query
+from .registry import ORACLES, query
 from .sheets import ACCOUNTS, NAMED, RECORDS_SQL, contact_sheets, frame, joined_parts, n_clean, n_exact, n_hc, select_sql, table
 
 
@@ -260,7 +261,7 @@ def x1(spark, sf):
 @query("x2_high_confidence", f"""with {_SURVIVORS} select ord as ord_a, ord_b, nm as name_a, nm_b as name_b, cast(97 as double) as confidence,
   'Case/formatting difference only (''' || nm || ''' vs ''' || nm_b || ''')' as reason from pairs where {_HIGH}""")
 def x2(spark, sf):
-    pairs = xf.near_matches(_records(spark, sf)).filter(F.col("match_level") == xf.NEAR_LEVEL)
+    pairs = xf.near_matches(_records(spark, sf), xf.WINDOW).filter(F.col("match_level") == xf.NEAR_LEVEL)
     return pairs.select("ord_a", "ord_b", "name_a", "name_b", "confidence", "reason")
 
 
@@ -272,19 +273,19 @@ _SIMILAR = f"""{_SURVIVORS}, near as (select *, lower(nm) as low, lower(nm_b) as
 
 @query("x3_similar_records", f"with {_SIMILAR} select ord as ord_a, ord_b, nm as name_a, nm_b as name_b, round(score, 1) as confidence from alike")
 def x3(spark, sf):
-    pairs = xf.near_matches(_records(spark, sf)).filter(F.col("match_level") == xf.SIMILAR_LEVEL)
+    pairs = xf.near_matches(_records(spark, sf), xf.WINDOW).filter(F.col("match_level") == xf.SIMILAR_LEVEL)
     return pairs.select("ord_a", "ord_b", "name_a", "name_b", "confidence")
 
 
 @query("x3_similar_reasons")
 def x3_reasons(spark, sf):
-    return xf.near_matches(_records(spark, sf)).filter(F.col("match_level") == xf.SIMILAR_LEVEL)
+    return xf.near_matches(_records(spark, sf), xf.WINDOW).filter(F.col("match_level") == xf.SIMILAR_LEVEL)
 
 
 @query("x4_possible_matches", f"""with {_SURVIVORS} select ord as ord_a, ord_b, nm as name_a, cast(75 as double) as confidence,
   'Same Name (''' || nm || '''), but differing details across files' as reason from pairs where {_SAME}""")
 def x4(spark, sf):
-    pairs = xf.near_matches(_records(spark, sf)).filter(F.col("match_level") == xf.POSSIBLE_LEVEL)
+    pairs = xf.near_matches(_records(spark, sf), xf.WINDOW).filter(F.col("match_level") == xf.POSSIBLE_LEVEL)
     return pairs.select("ord_a", "ord_b", "name_a", "confidence", "reason")
 
 
@@ -293,7 +294,7 @@ def x4(spark, sf):
     rn as row_number_a, rn_b as row_number_b from c where em <> '' and em_b <> '' and em <> em_b
   union all select nm, 'Phone Number', phone, phone_b, ord, ord_b, source_file, file_b, rn, rn_b from c where ph <> '' and ph_b <> '' and ph <> ph_b""")
 def x5(spark, sf):
-    return xf.match_conflicts(xf.near_matches(_records(spark, sf))).drop("sheet_name_a", "sheet_name_b")
+    return xf.match_conflicts(xf.near_matches(_records(spark, sf), xf.WINDOW)).drop("sheet_name_a", "sheet_name_b")
 
 
 SUMMARY_SQL = f"""with {_SIMILAR}, possible as (select * from pairs where {_SAME}), high as (select * from pairs where {_HIGH}),
@@ -310,7 +311,38 @@ SUMMARY_SQL = f"""with {_SIMILAR}, possible as (select * from pairs where {_SAME
 def x7(spark, sf):
     sheets = contact_sheets(spark, sf)
     records = sm.canonical_records(sheets)
-    exact, pairs = xf.exact_matches(records), xf.near_matches(records)
+    exact, pairs = xf.exact_matches(records), xf.near_matches(records, xf.WINDOW)
+    return xf.cross_summary(records, exact, pairs, xf.match_conflicts(pairs), xf.missing_cells(sheets), 2, 2)
+
+
+
+# The same over all pairs of records, at any distance: the whole result.
+def unbounded(sql: str) -> str:
+    return sql.replace(" and b.pos < a.pos + 200", "")
+
+
+def _all_level(level: str, *columns: str):
+    def run(spark, sf):
+        return xf.near_matches(_records(spark, sf)).filter(F.col("match_level") == level).select("ord_a", "ord_b", *columns)
+
+    return run
+
+
+query("x2_all_high_confidence", unbounded(ORACLES["x2_high_confidence"]))(_all_level(xf.NEAR_LEVEL, "name_a", "name_b", "confidence", "reason"))
+query("x3_all_similar_records", unbounded(ORACLES["x3_similar_records"]))(_all_level(xf.SIMILAR_LEVEL, "name_a", "name_b", "confidence"))
+query("x4_all_possible_matches", unbounded(ORACLES["x4_possible_matches"]))(_all_level(xf.POSSIBLE_LEVEL, "name_a", "confidence", "reason"))
+
+
+@query("x5_all_match_conflicts", unbounded(ORACLES["x5_match_conflicts"]))
+def x5_all(spark, sf):
+    return xf.match_conflicts(xf.near_matches(_records(spark, sf))).drop("sheet_name_a", "sheet_name_b")
+
+
+@query("x7_all_cross_summary", unbounded(SUMMARY_SQL))
+def x7_all(spark, sf):
+    sheets = contact_sheets(spark, sf)
+    records = sm.canonical_records(sheets)
+    exact, pairs = xf.exact_matches(records), stable(xf.near_matches(records))
     return xf.cross_summary(records, exact, pairs, xf.match_conflicts(pairs), xf.missing_cells(sheets), 2, 2)
 
 

@@ -39,8 +39,8 @@ class DuplicateReport:
 
     NAMES = ("exact_duplicates", "similar_records", "conflicting_records", "missing_data", "summary")
 
-    def __init__(self, sheets: list[Sheet]):
-        self.sheets = sheets
+    def __init__(self, sheets: list[Sheet], window: int | None = None):
+        self.sheets, self.window = sheets, window
 
     @cached_property
     def records(self) -> DataFrame:
@@ -52,7 +52,7 @@ class DuplicateReport:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return stable(xf.near_matches(self.records))
+        return stable(xf.near_matches(self.records, self.window))
 
     @cached_property
     def missing(self) -> DataFrame:
