@@ -10,7 +10,7 @@ from ..operators import crossfile as xf
 from ..operators import query as qy
 from ..operators import relations as rl
 from ..operators import validate as va
-from .registry import query
+from .registry import ORACLES, query
 from .sheets import CHECKED, contact_sheets, frame, select_sql, table, RECORDS_SQL
 
 _T = f"t as ({select_sql('customer', CHECKED)})"
@@ -220,3 +220,61 @@ def r4(spark, sf):
   {_CARD} as cardinality, round(100.0 * (ab + ba) / 2, 2) as confidence from f""")
 def r3(spark, sf):
     return rl.discover_relationships(_linked(spark, sf), 0.5, 3).select("left_dataset", "left_column", "right_dataset", "right_column", "cardinality", "confidence")
+
+
+# All columns of all given tables; which of them may be keys is left to ``fk_candidates``. Kinds: i whole number, f floating, s string, t time, v vector.
+_GIVEN = {
+    "region": "r_regionkey:i r_name:s", "nation": "n_nationkey:i n_name:s n_regionkey:i",
+    "customer": "c_custkey:i c_name:s c_nationkey:i c_acctbal:f c_mktsegment:s", "supplier": "s_suppkey:i s_name:s s_nationkey:i s_acctbal:f",
+    "part": "p_partkey:i p_name:s p_brand:s p_type:s p_size:i p_retailprice:f",
+    "orders": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:f o_orderdate:t o_orderpriority:s",
+    "lineitem": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:f l_extendedprice:f l_discount:f l_tax:f l_returnflag:s l_linestatus:s l_shipdate:t",
+    "events": "event_id:i ts:t user_id:i event_type:s value:f props:s", "documents": "doc_id:i text:s lang:s source:s n_chars:i",
+    "embeddings": "vec_id:i embedding:v label:i", "pages": "page_id:i url:s html:s", "benchmark": "item_id:i text:s",
+    "labels": "doc_id:i quality:i toxic:i", "conversations": "conv_id:i turn:i role:s text:s",
+}
+_PREFIXED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def _bare(table_name: str, column: str) -> str:
+    return column.split("_", 1)[1] if table_name in _PREFIXED else column
+
+
+def _all_linked(spark, sf):
+    frames = {t: table(spark, sf, t) for t in _GIVEN}
+    return {t: df.select(*[F.col(c).alias(_bare(t, c)) for c in df.columns]) for t, df in frames.items()}
+
+
+def _all_relation_sql() -> str:
+    columns = {t: [tuple(c.split(":")) for c in cols.split()] for t, cols in _GIVEN.items()}
+    parts = []
+    for a, b in combinations(columns, 2):
+        for ca, ka in columns[a]:
+            for cb, kb in columns[b]:
+                if "f" in (ka, kb) or not rl.names_compatible(_bare(a, ca), _bare(b, cb)):
+                    continue
+                tests = [f"(select count(distinct {c}) / count(*) <= 0.95 or coalesce(avg(length({c})), 0) <= 40 from {t})" for t, c, k in ((a, ca, ka), (b, cb, kb)) if k == "s"]
+                parts.append(f"""select '{a}' as la, '{_bare(a, ca)}' as lc, '{b}' as ra, '{_bare(b, cb)}' as rc,
+                  (select count(distinct {ca}) from {a}) as na, (select count(distinct {cb}) from {b}) as nb,
+                  (select count(*) from (select distinct cast({ca} as varchar) as v from {a} intersect select distinct cast({cb} as varchar) from {b}) where v is not null) as n
+                  where {" and ".join(tests) or "true"}""")
+    return " union all ".join(parts)
+
+
+def _all_tables(name: str) -> str:
+    return ORACLES[name].replace(_relation_sql(), _all_relation_sql())
+
+
+@query("r2_all_relationships", _all_tables("r2_relationships"))
+def r2_all(spark, sf):
+    return rl.discover_relationships(_all_linked(spark, sf))
+
+
+@query("r3_all_loose_relationships", _all_tables("r3_loose_relationships"))
+def r3_all(spark, sf):
+    return rl.discover_relationships(_all_linked(spark, sf), 0.5, 3).select("left_dataset", "left_column", "right_dataset", "right_column", "cardinality", "confidence")
+
+
+@query("r4_all_relationship_table", _all_tables("r4_relationship_table"))
+def r4_all(spark, sf):
+    return rl.relationship_table(rl.discover_relationships(_all_linked(spark, sf)))

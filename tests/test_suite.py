@@ -28,3 +28,12 @@ def test_every_oracle_has_a_query():
 def test_query(spark, con, name):
     status, _, _, note = compare(spark, SF, name, entry.queries()[name], entry.oracle_sql().get(name), con)
     assert status in ("ok", "rows-only"), note
+
+
+def test_relationships_are_sought_in_all_columns(spark, con, monkeypatch):
+    from ledgerloom.operators import relations
+
+    seen = []
+    monkeypatch.setattr(relations, "discover_relationships", lambda datasets, *_: seen.append({t: len(df.columns) for t, df in datasets.items()}) or spark.range(0))
+    entry.queries()["r2_all_relationships"](spark, SF)
+    assert seen == [{t: len(con.sql(f"select * from {t}").columns) for t in TABLES}]
