@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import ensure_checkpoint_dir
+
 from . import langid, mixing, mtree, onebit, pieces
+from .bitfiles import read_token_ids, write_token_ids
 from .common import crc_mod, read
 from .near import near_duplicates
 from .packing import pack
@@ -90,3 +95,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
     return judge(read(spark, sf_dir, "pages"), rules)
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
+    write_token_ids(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
