@@ -15,6 +15,7 @@ from .bitfiles import read_token_ids, write_token_ids
 from .common import crc_mod, read
 from .near import near_duplicates
 from .packing import pack
+from .repair import damage, repair
 from .repeats import remove_repeats
 from .tokens import count_tokens
 from .urls import judge
@@ -97,6 +98,11 @@ def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages"), rules)
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(read(spark, sf_dir, "conversations")), keep_text=False)
+
+
 @query
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
