@@ -313,10 +313,12 @@ def write_token_ids(df: DataFrame, folder: str, tokenizer_path: str, id_col: str
     its end id; no rows give a table without shards. Other columns are not looked
     at. A value is stored in the least number of bits of the vocabulary.
     """
+    from tokenizers import Tokenizer
+
     spark = df.sparkSession
     small_batches(spark)
     spark.dataSource.register(PackedIds)
-    tokenizer = JoinedCoder.at(tokenizer_path).tokenizer
+    tokenizer = Tokenizer.from_file(tokenizer_path)
     if tokenizer.decode(tokenizer.encode(_SAMPLE, add_special_tokens=False).ids) != _SAMPLE:
         raise ValueError(f"{tokenizer_path} is not a byte-level tokenizer, which this coder needs")
     vocab_size = tokenizer.get_vocab_size()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 
 import numpy as np
 
@@ -11,7 +13,15 @@ from .units import UnitCoder
 
 JOIN_BYTES = 2048
 AT_ONCE = 256
-_CODERS: dict = {}
+
+
+def worker_cache() -> dict:
+    """What is kept as long as the Python worker lives.
+
+    Functions of this package travel by value, so their module's own names begin
+    anew in each task; a module registered under a name of its own does not.
+    """
+    return vars(sys.modules.setdefault("_ledgerloom_worker", types.ModuleType("_ledgerloom_worker"))).setdefault("cache", {})
 
 
 def joinable(block: Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -85,9 +95,10 @@ class JoinedCoder(UnitCoder):
     @classmethod
     def at(cls, path: str) -> JoinedCoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _CODERS:
-            _CODERS[path] = cls(path)
-        return _CODERS[path]
+        cache = worker_cache()
+        if ("joined", path) not in cache:
+            cache["joined", path] = cls(path)
+        return cache["joined", path]
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.session import ensure_checkpoint_dir
 
 from . import langid, mixing, mtree, onebit, pieces
+from .aligned import align
 from .bitfiles import read_token_ids, write_token_ids
 from .common import crc_mod, read
 from .near import near_duplicates
@@ -98,6 +99,12 @@ def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages"), rules)
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align(read(spark, sf_dir, "documents"), *paths, keep_groups=False).withColumnRenamed("groups", "groups_sha256")
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(read(spark, sf_dir, "conversations")), keep_text=False)
