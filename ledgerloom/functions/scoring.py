@@ -1,14 +1,16 @@
-"""String similarity scores for batches of pairs, used inside pandas UDFs.
+"""The two measures of string pairs that Spark has no function for, and the scores built on them.
 
 Scores run from 0 to 100. ``ratio`` is 100 * (1 - d / (m + n)) with d the number
-of insertions and deletions between the strings, which is m + n - 2 * LCS. The
-LCS lengths of a whole batch come from one bit-parallel pass in numpy.
+of insertions and deletions between the strings, which is m + n - 2 * LCS. LCS
+lengths of a batch, and of all windows of the longer strings, come from
+bit-parallel passes in numpy; word forms and the rest are column expressions.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +22,7 @@ PARTIAL_FROM = 1.5
 FAR_FROM = 8.0
 SCORERS = ("ratio", "partial", "token_sort", "token_set", "weighted_ratio", "quick_ratio")
 _CHUNK = 4096
+_CELLS = 1 << 19
 
 
 def _lcs_long(a: str, b: str) -> int:
@@ -79,166 +82,192 @@ def lcs(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def ratio(a: list[str], b: list[str]) -> np.ndarray:
-    total = np.array([len(x) + len(y) for x, y in zip(a, b)], dtype=np.float64)
-    apart = total - 2.0 * lcs(a, b)
-    return np.where(total == 0, 100.0, (1.0 - apart / np.where(total == 0, 1.0, total)) * 100.0)
+def _window_chunk(short: np.ndarray, long: np.ndarray, sizes: np.ndarray, alphabet: int) -> np.ndarray:
+    """Best ratio of each short string against the windows of its long one; short strings are of one length.
 
-
-def quick_ratio(a: list[str], b: list[str]) -> np.ndarray:
-    empty = np.array([not x or not y for x, y in zip(a, b)], dtype=bool)
-    return np.where(empty, 0.0, ratio(a, b))
-
-
-def partial(a: list[str], b: list[str], cutoff: float | np.ndarray = 0.0) -> np.ndarray:
-    """Best ratio of the shorter string against windows of the longer one.
-
-    Pairs that cannot reach ``cutoff`` score 0 without a look at the windows: no
-    window has more in common with the short string than the whole long one.
+    One pass carries the states of all windows: step j feeds character j of every
+    window, so nothing is listed or copied. ``long`` is padded with code 0, which no
+    short string holds and which leaves a state as it is.
+    """
+    rows, m = short.shape
+    words = -(-m // 64)
+    masks = np.zeros((words, rows, alphabet), dtype=np.uint64)
+    every = np.arange(rows)
+    for i in range(m):
+        masks[i // 64, every, short[:, i]] |= np.uint64(1 << (i % 64))
+    masks[:, :, 0] = 0
+    starts = long.shape[1] + m - 1
+    padded = np.zeros((rows, starts + m - 1), dtype=long.dtype)
+    padded[:, m - 1 : m - 1 + long.shape[1]] = long
+    best = np.zeros(rows)
+    step = max(1, _CELLS // (rows * words))
+    for begin in range(0, starts, step):
+        count = min(step, starts - begin)
+        state = np.full((words, rows, count), np.iinfo(np.uint64).max, dtype=np.uint64)
+        for j in range(m):
+            letters = padded[:, begin + j : begin + j + count]
+            carry = None
+            for w in range(words):
+                old = state[w]
+                hit = old & masks[w][every[:, None], letters]
+                total = old + hit
+                over = total < old
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                state[w] = total | (old - hit)
+                carry = over.astype(np.uint64)
+        left = m % 64
+        if left:
+            state[-1] |= ~np.uint64((1 << left) - 1)
+        common = np.bitwise_count(~state).sum(axis=0, dtype=np.int64)
+        first = np.arange(begin, begin + count) - (m - 1)
+        length = np.minimum(first + m, sizes[:, None]) - np.maximum(first, 0)
+        score = np.where(length > 0, (1.0 - (m + length - 2.0 * common) / np.maximum(m + length, 1)) * 100.0, 0.0)
+        best = np.maximum(best, score.max(axis=1))
+    return best
+
+
+def window_ratios(a: list[str], b: list[str], cutoff: float = 0.0) -> np.ndarray:
+    """Best ratio of the shorter string against windows of its length in the longer one, also cut off at both ends.
+
+    Strings of equal length are tried both ways. Two empty strings score 100, one
+    empty string 0. Pairs that cannot reach ``cutoff`` score 0 without a look at the
+    windows: no window has more in common with the short string than the whole long one.
+    Memory is bounded: pairs and windows go by ``_CELLS`` at once.
     """
     out = np.zeros(len(a))
-    owner, pieces, windows = [], [], []
-    common = lcs(a, b)
     sizes = np.array([min(len(x), len(y)) for x, y in zip(a, b)], dtype=np.float64)
-    reach = 200.0 * common / np.maximum(sizes + common, 1.0)
-    hopeful = reach >= np.asarray(cutoff) - 1e-9
-
-    def add(i: int, short: str, long: str) -> None:
-        m = len(short)
-        spans = {long[max(0, k) : k + m] for k in range(1 - m, len(long))}
-        letters = set(short)
-        for w in spans:
-            # A window ends in a shared letter, or a better window exists.
-            if w[-1] in letters or w[0] in letters:
-                owner.append(i)
-                pieces.append(short)
-                windows.append(w)
-
+    common = lcs(a, b)
+    hopeful = (common > 0) & (200.0 * common / np.maximum(sizes + common, 1.0) >= cutoff - 1e-9)
+    turns: dict[int, list[tuple[int, str, str]]] = {}
     for i, (x, y) in enumerate(zip(a, b)):
         short, long = (x, y) if len(x) <= len(y) else (y, x)
         if not short:
             out[i] = 0.0 if long else 100.0
         elif short in long:
             out[i] = 100.0
-        elif hopeful[i] and common[i]:
-            add(i, short, long)
+        elif hopeful[i]:
+            turns.setdefault(len(short), []).append((i, short, long))
             if len(short) == len(long):
-                add(i, long, short)
-    if owner:
-        np.maximum.at(out, np.array(owner), ratio(pieces, windows))
+                turns[len(short)].append((i, long, short))
+    for m, part in turns.items():
+        part.sort(key=lambda t: len(t[2]))
+        at = 0
+        while at < len(part):
+            stop = at + 1
+            while stop < len(part) and stop - at < _CHUNK and (stop - at + 1) * (len(part[stop][2]) + m) <= _CELLS:
+                stop += 1
+            some = part[at:stop]
+            short, long = _codes([s for _, s, _ in some]), _codes([t for _, _, t in some])
+            ends = np.array([len(t) for _, _, t in some])
+            # Numbers of characters from 1; 0 is what lies outside of a string.
+            alphabet = np.unique(np.concatenate([short.ravel(), long.ravel()]))
+            inside = np.arange(long.shape[1]) < ends[:, None]
+            long = np.where(inside, np.searchsorted(alphabet, long) + 1, 0)
+            scores = _window_chunk(np.searchsorted(alphabet, short) + 1, long, ends, len(alphabet) + 1)
+            np.maximum.at(out, np.array([i for i, _, _ in some]), scores)
+            at = stop
     return out
 
 
-def _words(s: str) -> list[str]:
-    return s.split()
+def _known(a: pd.Series, b: pd.Series, measure, kind) -> pd.Series:
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.zeros(len(a), dtype=kind)
+    if known.any():
+        out[known] = measure(a[known].tolist(), b[known].tolist())
+    return pd.Series(out).where(known)
 
 
-def _sorted_words(s: str) -> str:
-    return " ".join(sorted(_words(s)))
+def common_letters(a: Column, b: Column) -> Column:
+    """LCS length of two strings; null where one is null, at no cost."""
 
+    @F.pandas_udf(T.DoubleType())
+    def measure(a: pd.Series, b: pd.Series) -> pd.Series:
+        return _known(a, b, lcs, np.float64)
 
-def token_sort(a: list[str], b: list[str]) -> np.ndarray:
-    return ratio([_sorted_words(x) for x in a], [_sorted_words(y) for y in b])
+    return measure(a, b)
 
 
-def token_set(a: list[str], b: list[str]) -> np.ndarray:
-    """Best of three ratios between the shared words and the two word sets."""
-    n = len(a)
-    out = np.zeros(n)
-    rest, left, right, shared_len = [], [], [], []
-    for i, (x, y) in enumerate(zip(a, b)):
-        wx, wy = set(_words(x)), set(_words(y))
-        if not wx or not wy:
-            continue
-        both = wx & wy
-        if both and (wx <= wy or wy <= wx):
-            out[i] = 100.0
-            continue
-        rest.append(i)
-        left.append(" ".join(sorted(wx - both)))
-        right.append(" ".join(sorted(wy - both)))
-        shared_len.append(len(" ".join(both)))
-    if rest:
-        common = lcs(left, right)
-        for k, i in enumerate(rest):
-            s, lx, ly = shared_len[k], len(left[k]), len(right[k])
-            gap = 1 if s else 0
-            whole_x, whole_y = s + gap + lx, s + gap + ly
-            best = 100.0 - 100.0 * (lx + ly - 2 * int(common[k])) / (whole_x + whole_y)
-            if s:
-                best = max(best, 100.0 - 100.0 * (gap + lx) / (s + whole_x), 100.0 - 100.0 * (gap + ly) / (s + whole_y))
-            out[i] = best
-    return out
+def best_window(a: Column, b: Column, cutoff: float = 0.0) -> Column:
+    """``window_ratios`` of two strings; null where one is null, at no cost."""
 
+    @F.pandas_udf(T.DoubleType())
+    def measure(a: pd.Series, b: pd.Series) -> pd.Series:
+        return _known(a, b, lambda x, y: window_ratios(x, y, cutoff), np.float64)
 
-def _partial_token(a: list[str], b: list[str], cutoff: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(a))
-    rest = []
-    for i, (x, y) in enumerate(zip(a, b)):
-        if set(_words(x)) & set(_words(y)):
-            out[i] = 100.0
-        else:
-            rest.append(i)
-    if rest:
-        plain = partial([_sorted_words(a[i]) for i in rest], [_sorted_words(b[i]) for i in rest], cutoff[rest])
-        unique = partial(
-            [" ".join(sorted(set(_words(a[i])))) for i in rest], [" ".join(sorted(set(_words(b[i])))) for i in rest], cutoff[rest]
-        )
-        out[rest] = np.maximum(plain, unique)
-    return out
+    return measure(a, b)
 
 
-def weighted_ratio(a: list[str], b: list[str], cutoff: float = 0.0) -> np.ndarray:
-    """Combined score: token scores for similar lengths, partial scores otherwise.
+def ratio(a: Column, b: Column) -> Column:
+    total = F.length(a) + F.length(b)
+    apart = (total - 2.0 * common_letters(a, b)) / F.when(total == 0, 1).otherwise(total)
+    return F.when(total == 0, F.when(a.isNotNull() & b.isNotNull(), 100.0)).otherwise((1.0 - apart) * 100.0)
 
-    Scores of at least ``cutoff`` are exact; parts below it may be left out.
-    """
-    out = quick_ratio(a, b)
-    near, far = [], []
-    for i, (x, y) in enumerate(zip(a, b)):
-        if x and y:
-            spread = max(len(x), len(y)) / min(len(x), len(y))
-            (near if spread < PARTIAL_FROM else far).append(i)
-    if near:
-        x, y = [a[i] for i in near], [b[i] for i in near]
-        out[near] = np.maximum(out[near], np.maximum(token_sort(x, y), token_set(x, y)) * TOKEN_SCALE)
-    if far:
-        x, y = [a[i] for i in far], [b[i] for i in far]
-        spread = np.array([max(len(p), len(q)) / min(len(p), len(q)) for p, q in zip(x, y)])
-        scale = np.where(spread <= FAR_FROM, PARTIAL_SCALE, FAR_PARTIAL_SCALE)
-        tokens = _partial_token(x, y, cutoff / (TOKEN_SCALE * scale))
-        best = np.maximum(partial(x, y, cutoff / scale) * scale, tokens * TOKEN_SCALE * scale)
-        out[far] = np.maximum(out[far], best)
-    return out
 
+def quick_ratio(a: Column, b: Column) -> Column:
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(ratio(a, b))
 
-_BY_NAME = {
-    "ratio": ratio,
-    "quick_ratio": quick_ratio,
-    "partial": partial,
-    "token_sort": token_sort,
-    "token_set": token_set,
-    "weighted_ratio": weighted_ratio,
-}
 
+def split_words(v: Column) -> Column:
+    return F.filter(F.split(v, r"(?U)\s+"), lambda w: w != "")
 
-def scores(a: list[str], b: list[str], scorer: str, cutoff: float = 0.0) -> np.ndarray:
-    """Scores of pairs; values below ``cutoff`` need not be exact."""
-    if scorer in ("partial", "weighted_ratio"):
-        return _BY_NAME[scorer](list(a), list(b), cutoff)
-    return _BY_NAME[scorer](list(a), list(b))
 
+#: Word forms of a value, made once per distinct value: sorted words, and different words sorted.
+FORMS = ("sorted", "unique")
 
-def score_udf(scorer: str, cutoff: float = 0.0):
-    """Pandas UDF of one scorer; a null on either side scores 0."""
-    if scorer not in _BY_NAME:
-        raise ValueError(f"unknown scorer {scorer!r}, use one of {SCORERS}")
 
-    @F.pandas_udf(T.DoubleType())
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        known = a.notna() & b.notna()
-        out = np.zeros(len(a))
-        out[known.to_numpy()] = scores(a[known].tolist(), b[known].tolist(), scorer, cutoff)
-        return pd.Series(out)
+def forms(v: Column) -> list[Column]:
+    words = split_words(v)
+    return [F.array_sort(words).alias("sorted"), F.array_sort(F.array_distinct(words)).alias("unique")]
+
+
+def token_set(wl: Column, wr: Column, when: Column | None = None) -> Column:
+    """Best of three ratios between the shared words and the two word sets, given as sorted arrays."""
+    both = F.array_intersect(wl, wr)
+    shared, some = F.size(both), (F.size(wl) > 0) & (F.size(wr) > 0)
+    inside = (shared > 0) & ((shared == F.size(wl)) | (shared == F.size(wr)))
+    open_ = some & ~inside if when is None else when & some & ~inside
+    dl, dr = (F.when(open_, F.array_join(F.array_except(w, both), " ")) for w in (wl, wr))
+    s = F.when(shared > 0, F.length(F.array_join(both, " "))).otherwise(0)
+    gap = F.when(shared > 0, 1).otherwise(0)
+    lx, ly = F.length(dl), F.length(dr)
+    x, y = s + gap + lx, s + gap + ly
+    apart = 100.0 - 100.0 * (lx + ly - 2 * common_letters(dl, dr)) / (x + y)
+    parts = F.when(shared > 0, F.greatest(100.0 - 100.0 * (gap + lx) / (s + x), 100.0 - 100.0 * (gap + ly) / (s + y))).otherwise(0.0)
+    return F.when(~some, 0.0).when(inside, 100.0).otherwise(F.greatest(apart, parts))
+
 
-    return score
+def score(scorer: str, cutoff: float, vl: Column, vr: Column, sl: Column, sr: Column, ul: Column, ur: Column) -> Column:
+    """Score of two values with their word forms (see ``forms``); scores below ``cutoff`` need not be exact.
+
+    Word forms are columns and every part is a column expression over LCS lengths.
+    The combined score takes token scores for similar lengths, window scores otherwise.
+    """
+    joined = lambda w: F.array_join(w, " ")
+    if scorer == "ratio":
+        return ratio(vl, vr)
+    if scorer == "quick_ratio":
+        return quick_ratio(vl, vr)
+    if scorer == "token_sort":
+        return ratio(joined(sl), joined(sr))
+    if scorer == "token_set":
+        return token_set(ul, ur)
+    if scorer == "partial":
+        return best_window(vl, vr, cutoff)
+    if scorer != "weighted_ratio":
+        raise ValueError(f"unknown scorer {scorer!r}, use one of {SCORERS}")
+    m, n = F.length(vl), F.length(vr)
+    filled = (m > 0) & (n > 0)
+    spread = F.greatest(m, n) / F.greatest(F.least(m, n), F.lit(1))
+    near, far = filled & (spread < PARTIAL_FROM), filled & (spread >= PARTIAL_FROM)
+    scale = F.when(spread <= FAR_FROM, PARTIAL_SCALE).otherwise(FAR_PARTIAL_SCALE)
+    only = lambda test, c: F.when(test, c)
+    whole = ratio(only(filled, vl), only(filled, vr))
+    turned = ratio(only(near, joined(sl)), only(near, joined(sr)))
+    tokens = F.greatest(turned, token_set(ul, ur, near)) * TOKEN_SCALE
+    window = best_window(only(far, vl), only(far, vr), cutoff / PARTIAL_SCALE) * scale
+    apart = far & (F.size(F.array_intersect(ul, ur)) == 0)
+    least = cutoff / (TOKEN_SCALE * PARTIAL_SCALE)
+    words = F.when(apart, F.greatest(best_window(only(apart, joined(sl)), only(apart, joined(sr)), least), best_window(only(apart, joined(ul)), only(apart, joined(ur)), least))).otherwise(100.0)
+    return F.when(vl.isNull() | vr.isNull(), F.lit(None).cast("double")).when(~filled, 0.0).when(near, F.greatest(whole, tokens)).otherwise(F.greatest(whole, window, words * TOKEN_SCALE * scale))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.scoring import score_udf
+from ..functions.scoring import ratio as ratio_of
 from ..session import stable
 from .ordering import spread, with_position
 from .profile import unpivot_text
@@ -106,7 +106,7 @@ def _window_pairs(rows: DataFrame, window: int) -> DataFrame:
     pairs = pairs.filter(high | same | close).withColumn("_high", high).withColumn("_same", same)
     # Pairs already decided hand nulls to the scorer.
     open_ = ~F.col("_high") & ~F.col("_same")
-    ratio = score_udf("ratio")(F.when(open_, F.col("lower_a")), F.when(open_, F.col("lower_b")))
+    ratio = ratio_of(F.when(open_, F.col("lower_a")), F.when(open_, F.col("lower_b")))
     return pairs.withColumn("ratio", F.when(F.col("_same"), F.lit(100.0)).otherwise(ratio))
 
 

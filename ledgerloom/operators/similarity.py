@@ -49,7 +49,7 @@ def _bits(grams: Column, seed: str) -> Column:
 
 def _signature(values: DataFrame) -> DataFrame:
     """Words, within-word letter pairs, letters, lengths and bit maps of each value."""
-    words = F.filter(F.split(F.col("v"), r"(?U)\s+"), lambda w: w != "")
+    words = scoring.split_words(F.col("v"))
     pairs = F.flatten(F.transform(
         F.col("words"),
         lambda w: F.when(
@@ -99,7 +99,7 @@ def _ranked(sig: DataFrame, grams: str, frequency: DataFrame, keep: list[str]) -
     """
     rows = sig.select("k", *keep, F.explode(grams).alias("g"))
     order = W.partitionBy("k").orderBy("f", "g")
-    return rows.join(frequency, "g").withColumn("r", F.row_number().over(order)).drop("f")
+    return rows.join(frequency, "g").withColumn("r", F.row_number().over(order))
 
 
 def _frequency(left: DataFrame, right: DataFrame, grams: str) -> DataFrame:
@@ -127,9 +127,22 @@ def _full_fit(tau: float, column: str) -> Column:
 
 
 def _meet(left: DataFrame, right: DataFrame, fits: Column) -> DataFrame:
-    """Pairs that share a gram and fit."""
-    joined = left.alias("l").join(right.alias("r"), (F.col("l.g") == F.col("r.g")) & fits)
-    return joined.select(F.col("l.k").alias("kl"), F.col("r.k").alias("kr"))
+    """Pairs that share a gram and fit.
+
+    A frequent gram is dealt over several tasks: each left row is in one part of it, each right row in all.
+    """
+    on = F.col("l.g") == F.col("r.g")
+    if "f" in left.columns and "f" in right.columns:
+        parts = F.least(F.floor(F.col("f") / PART_ROWS) + 1, F.lit(MOST_PARTS)).cast("int")
+        left = left.withColumn("c", F.pmod(F.xxhash64("k"), parts).cast("int"))
+        right = right.withColumn("c", F.explode(F.sequence(F.lit(0), parts - 1)))
+        on = on & (F.col("l.c") == F.col("r.c"))
+        # By number: the rows are few bytes, but their pairs are the work, so partitions must not be merged by size.
+        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left, right = left.repartition(n, "g", "c"), right.repartition(n, "g", "c")
+    joined = left.alias("l").join(right.alias("r"), on & fits)
+    texts = [F.col("l.t").alias("tl"), F.col("r.t").alias("tr")] if "t" in left.columns else []
+    return joined.select(F.col("l.k").alias("kl"), F.col("r.k").alias("kr"), *texts)
 
 
 def _new() -> Column:
@@ -141,10 +154,19 @@ def _new() -> Column:
 
 
 def _swap(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("kr").alias("kl"), F.col("kl").alias("kr"))
+    other = {"kl": "kr", "kr": "kl", "tl": "tr", "tr": "tl"}
+    return pairs.select(*[F.col(other[c]).alias(c) for c in pairs.columns])
 
 
 FACTS = ["m", "ms", "mt", "lb", "pa", "pb"]
+#: Rows of a gram that one part of it is meant for, and most parts of a gram.
+PART_ROWS, MOST_PARTS = 512, 64
+#: Scorers that are a ratio of one form of the values; the form travels with the grams and is compared where they meet.
+EARLY = ("ratio", "quick_ratio", "token_sort")
+
+
+def _facts(sig: DataFrame) -> list[str]:
+    return FACTS + [c for c in ("t",) if c in sig.columns]
 
 
 def _rules(scorer: str, threshold: float) -> dict:
@@ -197,11 +219,11 @@ class _Grams:
 
     def every(self, sig: DataFrame) -> DataFrame:
         own = F.aggregate(self.kind, F.lit(0).cast("long"), lambda acc, g: acc.bitwiseOR(self.bit(g)))
-        return sig.select("k", *FACTS, own.alias("own"), F.explode(self.kind).alias("g"))
+        return sig.select("k", *_facts(sig), own.alias("own"), F.explode(self.kind).alias("g")).join(self.frequency, "g")
 
     def prefix(self, sig: DataFrame, enough: Column) -> DataFrame:
         """Leading grams of each value, rarest first, with the bits of those before."""
-        ranked = _ranked(sig.withColumn("size", F.size(self.kind)), self.kind, self.frequency, FACTS + ["dp", "dl", "size"])
+        ranked = _ranked(sig.withColumn("size", F.size(self.kind)), self.kind, self.frequency, _facts(sig) + ["dp", "dl", "size"])
         w = W.partitionBy("k").orderBy("r")
         earlier = F.bit_or(self.bit(F.col("g"))).over(w.rowsBetween(W.unboundedPreceding, -1))
         rows = ranked.filter(enough).withColumn("earlier", F.coalesce(earlier, F.lit(0).cast("long")))
@@ -233,7 +255,7 @@ def _candidates(left: DataFrame, right: DataFrame, scorer: str, threshold: float
         return pairs.prefix(sig.filter("strong"), enough_pairs)
 
     def full(a: DataFrame, b: DataFrame, column: str, tau: float) -> None:
-        fits = _full_fit(tau, column) & _new()
+        fits = _new() & _full_fit(tau, column)
         l, r = _limits(a, {column: tau}), _limits(b, {column: tau})
         out.append(_meet(strong(l), strong(r), fits))
         out.append(_meet(weak(l), letters.every(r), fits))
@@ -261,7 +283,7 @@ def _candidates(left: DataFrame, right: DataFrame, scorer: str, threshold: float
                 shorter = shorter & (F.greatest("l.m", "r.m") >= F.least("l.m", "r.m") * scoring.PARTIAL_FROM)
             lost = (_lost("lb")[0] <= F.col("l.dl")) & (F.greatest(_lost("pa")[0], _lost("pb")[0]) <= F.col("l.dp"))
             s = _limits(a, needs)
-            fits = shorter & lost & _new()
+            fits = _new() & shorter & lost
             found = _meet(strong(s), pairs.every(b), fits).unionAll(_meet(weak(s), letters.every(b), fits))
             out.append(_swap(found) if turn else found)
     if "contain" in rules or "word" in rules:
@@ -286,7 +308,8 @@ def _candidates(left: DataFrame, right: DataFrame, scorer: str, threshold: float
     if scorer in ("ratio", "token_sort", "partial"):
         # Empty forms match each other and nothing else.
         size = {"ratio": "m", "token_sort": "ms", "partial": "m"}[scorer]
-        blank = [s.filter(F.col(size) == 0).select("k", F.lit("").alias("g")) for s in (left, right)]
+        texts = [F.lit("").alias("t")] if scorer in EARLY else []
+        blank = [s.filter(F.col(size) == 0).select("k", F.lit("").alias("g"), *texts) for s in (left, right)]
         out.append(_meet(blank[0], blank[1], F.lit(True)))
     return reduce(DataFrame.unionAll, out)
 
@@ -304,17 +327,36 @@ def value_pairs(left: DataFrame, right: DataFrame | None, scorer: str, threshold
     """
     _check(threshold)
     own = right is None
-    # The signed values are read several times, so they are written once.
-    left = stable(_signature(left))
-    right = left if own else stable(_signature(right))
+    early = scorer in EARLY
+    text = F.array_join(F.array_sort(scoring.split_words(F.col("v"))), " ") if scorer == "token_sort" else F.col("v")
+
+    def signed(values: DataFrame) -> DataFrame:
+        # The signed values are read several times, so they are written once.
+        return stable(_signature(values).withColumn("t", text) if early else _signature(values))
+
+    left = signed(left)
+    right = left if own else signed(right)
     pairs = _candidates(left, right, scorer, threshold, own)
     if own:
-        pairs = pairs.select(F.least("kl", "kr").alias("kl"), F.greatest("kl", "kr").alias("kr")).filter("kl != kr")
-    pairs = pairs.distinct()
-    l = left.select(F.col("k").alias("kl"), F.col("v").alias("vl"), F.col("n").alias("nl"))
-    r = right.select(F.col("k").alias("kr"), F.col("v").alias("vr"), F.col("n").alias("nr"))
-    scored = pairs.join(l, "kl").join(r, "kr").withColumn("score", scoring.score_udf(scorer, threshold)("vl", "vr"))
-    return scored.filter(F.col("score") >= threshold)
+        pairs = pairs.filter("kl != kr")
+        pairs = pairs.select(F.least("kl", "kr").alias("kl"), F.greatest("kl", "kr").alias("kr"), "tl", "tr") if early else pairs.select(F.least("kl", "kr").alias("kl"), F.greatest("kl", "kr").alias("kr"))
+    if early:
+        # Pairs are scored where they meet; only those that reach the threshold go on.
+        score = (scoring.quick_ratio if scorer == "quick_ratio" else scoring.ratio)(F.col("tl"), F.col("tr"))
+        pairs = pairs.withColumn("score", score).filter(F.col("score") >= threshold).select("kl", "kr", "score")
+        pairs = pairs.dropDuplicates(["kl", "kr"])
+    else:
+        pairs = pairs.distinct()
+    forms = [] if early else scoring.forms(F.col("v"))
+    sides = [
+        sig.select(F.col("k").alias(f"k{s}"), F.col("v").alias(f"v{s}"), F.col("n").alias(f"n{s}"), *[c.alias(f"{name}_{s}") for name, c in zip(scoring.FORMS, forms)])
+        for sig, s in ((left, "l"), (right, "r"))
+    ]
+    both = pairs.join(sides[0], "kl").join(sides[1], "kr")
+    if not early:
+        score = scoring.score(scorer, threshold, *[F.col(c) for c in ("vl", "vr", "sorted_l", "sorted_r", "unique_l", "unique_r")])
+        both = both.withColumn("score", score).filter(F.col("score") >= threshold)
+    return both.select("kl", "kr", "vl", "nl", "vr", "nr", "score")
 
 
 def similarity_join(

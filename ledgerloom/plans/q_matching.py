@@ -411,6 +411,48 @@ def f8_names(spark, sf):
     return si.top_matches(*_labelled(spark, sf, _SPELLED), "p_name", "other", 3, "ratio", 60.0).withColumn("score", F.round("score", 6))
 
 
+# Longer and turned forms of the same names, so that every branch of the scores is met.
+_LONGER = "case when p_partkey % 3 = 0 then p_type || ' ' || replace(p_name, 'in', 'n') else split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) || 's' end"
+
+
+def _scores_sql(other: str) -> str:
+    """All scores of p_name and ``other`` in SQL: LCS by list folds, windows of the longer string listed once each."""
+    words = lambda x: f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+    form = lambda ws: f"array_to_string({ws}, ' ')"
+    raw = _pairs_sql(other, False).replace(f", {_ratio_sql('l.u', 'r.u')} as score", "")
+    return f"""{raw},
+  worded as (select *, list_sort({words('left_value')}) as sl, list_sort({words('right_value')}) as sr from pairs),
+  formed as (select *, {form('sl')} as jl, {form('sr')} as jr, list_sort(list_distinct(sl)) as ul, list_sort(list_distinct(sr)) as ur from worded),
+  joined as (select *, {form('ul')} as kl, {form('ur')} as kr, list_sort(list_intersect(ul, ur)) as shared from formed),
+  parts as materialized (select *, {form('shared')} as b, {form('list_filter(ul, lambda w: not list_contains(shared, w))')} as dl, {form('list_filter(ur, lambda w: not list_contains(shared, w))')} as dr,
+    greatest(length(left_value), length(right_value)) / least(length(left_value), length(right_value)) as spread from joined),
+  asked as (select left_value as x, right_value as y from parts union select jl, jr from parts union select kl, kr from parts),
+  sided as (select x, y, case when length(x) <= length(y) then x else y end as s, case when length(x) <= length(y) then y else x end as t from asked),
+  turned as (select * from sided union all select x, y, t, s from sided where length(s) = length(t)),
+  spans as materialized (select x, y, s, substr(t, greatest(k, 0) + 1, k + length(s) - greatest(k, 0)) as w from turned, lateral (select unnest(range(1 - length(s), length(t)))) as u(k)),
+  shown as materialized (select s, w, {_ratio_sql('s', 'w')} as score from (select distinct s, w from spans)),
+  windows as materialized (select x, y, max(score) as score from spans join shown using (s, w) group by all),
+  measured as (select p.*, {_ratio_sql('left_value', 'right_value')} as ratio, {_ratio_sql('jl', 'jr')} as turned, wv.score as partial, greatest(wj.score, wk.score) as wordy,
+    case when len(shared) > 0 and (len(shared) = len(ul) or len(shared) = len(ur)) then 100 else greatest(
+      100.0 - 100.0 * (length(dl) + length(dr) - 2 * {_lcs_sql('dl', 'dr')}) / (2 * length(b) + 2 * sign(length(b)) + length(dl) + length(dr)),
+      case when b <> '' then greatest(100.0 - 100.0 * (1 + length(dl)) / (2 * length(b) + 1 + length(dl)), 100.0 - 100.0 * (1 + length(dr)) / (2 * length(b) + 1 + length(dr))) else 0 end) end as token_set
+    from parts p join windows wv on wv.x = left_value and wv.y = right_value join windows wj on wj.x = jl and wj.y = jr join windows wk on wk.x = kl and wk.y = kr),
+  scored as (select *, case when spread < 1.5 then greatest(ratio, 0.95 * greatest(turned, token_set)) else
+    greatest(ratio, partial * case when spread <= 8 then 0.9 else 0.6 end, case when len(shared) > 0 then 100 else wordy end * 0.95 * case when spread <= 8 then 0.9 else 0.6 end) end as weighted from measured)"""
+
+
+def _combined(name: str, scorer: str, column: str, threshold: float):
+    sql = f"with {_scores_sql(_LONGER)} select left_value, right_value, left_rows, right_rows, round({column}, 6) as score from scored where {column} >= {threshold}"
+
+    @query(name, sql)
+    def run(spark, sf):
+        return si.similarity_join(*_labelled(spark, sf, _LONGER), "p_name", "other", scorer, threshold).withColumn("score", F.round("score", 6))
+
+
+_combined("f2_partial_product_names", "partial", "partial", 78.3)
+_combined("f4_token_set_product_names", "token_set", "token_set", 72.3)
+_combined("f5_weighted_product_names", "weighted_ratio", "weighted", 74.3)
+
 _GREEDY = f"""with keys as (select p_name as v, min(p_partkey) as first, count(*) as n from part group by 1), ranked as (select *, row_number() over (order by first) as i from keys),
   near as (select b.i, a.i as j, {_ratio_sql('a.v', 'b.v')} as score from ranked a, ranked b where a.i < b.i), hits as (select * from near where score >= 70),
   links as (select ranked.i, list(j) filter (where j is not null) as js from ranked left join hits using (i) group by 1),

@@ -1,61 +1,52 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.functions import scoring
 from ledgerloom.operators import similarity as sim
+from tests import slow_scores as slow
 
 
-def slow_lcs(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        new = [0]
-        for j, y in enumerate(b):
-            new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
-        row = new
-    return row[-1]
+def columns(spark, scorer, pairs):
+    """Scores of pairs by the column expressions."""
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "i int, vl string, vr string").coalesce(2)
+    for side in "lr":
+        df = df.select("*", *[c.alias(f"{name}_{side}") for name, c in zip(scoring.FORMS, scoring.forms(F.col(f"v{side}")))])
+    score = scoring.score(scorer, 0.0, *[F.col(c) for c in ("vl", "vr", "sorted_l", "sorted_r", "unique_l", "unique_r")])
+    return [r.s for r in df.select("i", score.alias("s")).orderBy("i").collect()]
 
 
-def slow_ratio(a, b):
-    return 100.0 if not a and not b else 200.0 * slow_lcs(a, b) / (len(a) + len(b))
-
-
-def slow_partial(a, b):
-    short, long = sorted((a, b), key=len)
-    if not short:
-        return 0.0 if long else 100.0
-    best = 0.0
-    for s, l in {(short, long), (long, short)} if len(a) == len(b) else {(short, long)}:
-        m = len(s)
-        for k in range(1 - m, len(l)):
-            best = max(best, slow_ratio(s, l[max(0, k) : k + m]))
-    return best
-
-
-def test_hand_scores():
-    one = lambda name, a, b: float(scoring.scores([a], [b], name)[0])
-    assert one("ratio", "abcd", "abcd") == 100.0
+def test_hand_scores(spark):
+    one = lambda name, a, b: columns(spark, name, [(a, b)])[0]
     assert one("ratio", "abc", "abd") == pytest.approx(200 * 2 / 6)
-    assert one("ratio", "", "") == 100.0 and one("quick_ratio", "", "") == 0.0
     assert one("token_sort", "new york mets", "mets york new") == 100.0
     assert one("token_set", "new york mets", "the new york mets of queens") == 100.0
     assert one("partial", "york", "new york mets") == 100.0
     assert one("weighted_ratio", "york", "new york mets") == pytest.approx(90.0)
     assert one("weighted_ratio", "new york mets", "mets new york") == pytest.approx(95.0)
-    assert one("weighted_ratio", "", "a") == 0.0
-    # Fourteen letters of 16 + 15 are common.
-    assert one("ratio", "fuzzy wuzzy was", "wuzzy fuzzy was") == pytest.approx(200 * slow_lcs("fuzzy wuzzy was", "wuzzy fuzzy was") / 30)
+    assert one("ratio", "fuzzy wuzzy was", "wuzzy fuzzy was") == pytest.approx(200 * slow.lcs("fuzzy wuzzy was", "wuzzy fuzzy was") / 30)
+
+
+@pytest.mark.parametrize("scorer", scoring.SCORERS)
+def test_columns_match_slow_forms(spark, scorer):
+    rng = random.Random(11)
+    make = lambda: "".join(rng.choice("abc dé𝒳") for _ in range(rng.choice([0, 1, 3, 9, 30, 64, 65, 90])))
+    pairs = [(make(), make()) for _ in range(150)] + list(zip(corpus(8, 150), corpus(9, 150))) + [("", ""), ("", "a"), (" ", ""), (" a ", "a"), ("a a b", "b a"), ("x", "x" * 20)]
+    assert columns(spark, scorer, pairs) == pytest.approx([slow.SCORERS[scorer](x, y) for x, y in pairs])
+    assert columns(spark, scorer, [(None, "a"), ("a", None)]) in ([None, None], [0.0, 0.0])
 
 
-def test_batch_matches_slow_forms():
+def test_batches_match_slow_forms(monkeypatch):
     rng = random.Random(7)
-    make = lambda: "".join(rng.choice("abc dé𝒳") for _ in range(rng.choice([0, 1, 3, 9, 40, 64, 65, 90])))
-    a, b = [make() for _ in range(400)], [make() for _ in range(400)]
-    assert list(scoring.lcs(a, b)) == [slow_lcs(x, y) for x, y in zip(a, b)]
-    assert scoring.scores(a, b, "ratio") == pytest.approx([slow_ratio(x, y) for x, y in zip(a, b)])
-    short = [(x[:12], y[:30]) for x, y in zip(a, b)]
-    got = scoring.scores([x for x, _ in short], [y for _, y in short], "partial")
-    assert got == pytest.approx([slow_partial(x, y) for x, y in short])
+    make = lambda: "".join(rng.choice("abc dé𝒳\0") for _ in range(rng.choice([0, 1, 3, 9, 40, 64, 65, 130])))
+    a, b = [make() for _ in range(300)], [make() for _ in range(300)]
+    assert list(scoring.lcs(a, b)) == [slow.lcs(x, y) for x, y in zip(a, b)]
+    for cells in (1 << 19, 64):
+        monkeypatch.setattr(scoring, "_CELLS", cells)
+        assert list(scoring.window_ratios(a[:90], b[:90])) == pytest.approx([slow.partial(x, y) for x, y in zip(a[:90], b[:90])])
+    got = scoring.window_ratios(a[:90], b[:90], 70.0)
+    assert all(g == pytest.approx(s) for g, s in zip(got, map(slow.partial, a[:90], b[:90])) if s >= 70)
 
 
 def corpus(seed, n):
@@ -81,7 +72,7 @@ def test_no_pair_is_lost(spark, scorer, threshold):
     r = spark.createDataFrame([(v,) for v in right], "v string")
     got = {(x.left_value, x.right_value) for x in sim.similarity_join(l, r, "v", "v", scorer, threshold).collect()}
     pairs = [(x, y) for x in sorted(set(left)) for y in sorted(set(right))]
-    want = scoring.scores([x for x, _ in pairs], [y for _, y in pairs], scorer)
+    want = [slow.SCORERS[scorer](x, y) for x, y in pairs]
     assert got == {p for p, s in zip(pairs, want) if s >= threshold}
 
 
@@ -91,7 +82,7 @@ def test_self_pairs(spark):
     got = [frozenset((x.vl, x.vr)) for x in sim.value_pairs(df, None, "weighted_ratio", 80.0).collect()]
     distinct = sorted(set(values))
     pairs = [(x, y) for i, x in enumerate(distinct) for y in distinct[i + 1 :]]
-    want = scoring.scores([x for x, _ in pairs], [y for _, y in pairs], "weighted_ratio")
+    want = [slow.weighted_ratio(x, y) for x, y in pairs]
     assert len(got) == len(set(got))
     assert set(got) == {frozenset(p) for p, s in zip(pairs, want) if s >= 80.0}
 
