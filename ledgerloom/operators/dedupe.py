@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..session import stable
+from .graph import components
 from .ordering import spread, with_position
 from .similarity import _key, value_pairs
 
@@ -90,24 +92,61 @@ def detect_by_column(df: DataFrame, row_id: str, column: str, detector: int = 0)
     return _groups(keyed, row_id, "column_exact", f"Same '{column}' value", detector)
 
 
+#: Rounds in which all nodes are decided at once, before components are looked for; most edges of a component decided in one task.
+QUICK_ROUNDS, GROUP_EDGES = 4, 1 << 20
+
+
+def _round(active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Followers of the nodes without an earlier neighbour, and the edges between nodes that stay undecided."""
+    heads = active.select("lo").distinct().join(active.select(F.col("hi").alias("lo")).distinct(), "lo", "left_anti")
+    covered = stable(active.join(heads, "lo", "left_semi").select("hi").distinct())
+    gone = covered.withColumnRenamed("hi", "lo")
+    return covered, stable(active.join(covered, "hi", "left_anti").join(gone, "lo", "left_anti").select("lo", "hi"))
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    """Followers of one component: its nodes in order, each one not yet taken takes its later neighbours."""
+    table = table.sort_by([("lo", "ascending")])
+    covered: set = set()
+    for lo, hi in zip(table["lo"].to_pylist(), table["hi"].to_pylist(), strict=True):
+        if lo not in covered:
+            covered.add(hi)
+    return pa.table({"hi": pa.array(sorted(covered), type=table.schema.field("hi").type)})
+
+
 def elect_leaders(edges: DataFrame) -> DataFrame:
     """Greedy leaders over similar pairs: (follower, leader, score).
 
     ``edges`` is (lo, hi, score) with lo before hi. Taking nodes in order, each node
-    not yet taken leads and takes its later neighbours. That is decided for many
+    not yet taken leads and takes its later neighbours. A few rounds decide many
     nodes at once: a node without an undecided or leading earlier neighbour leads,
-    its neighbours follow, and edges of decided nodes leave the table. Each round
-    is checkpointed, so lineage stays short.
+    its neighbours follow, and edges of decided nodes leave the table. What is left
+    are long chains of dependence. Their components are found in a logarithmic
+    number of rounds, and each component of up to ``GROUP_EDGES`` edges is decided in
+    order by one task. Rounds go on for components that are larger. Rounds are
+    checkpointed, so lineage stays short.
     """
     edges = stable(edges)
-    active = edges.select("lo", "hi")
-    followers = None
-    while not active.isEmpty():
-        heads = active.select("lo").distinct().join(active.select(F.col("hi").alias("lo")).distinct(), "lo", "left_anti")
-        covered = stable(active.join(heads, "lo", "left_semi").select("hi").distinct())
+    active, followers, rounds = edges.select("lo", "hi"), None, 0
+
+    def add(covered: DataFrame) -> None:
+        nonlocal followers
         followers = covered if followers is None else followers.unionAll(covered)
-        gone = covered.withColumnRenamed("hi", "lo")
-        active = stable(active.join(covered, "hi", "left_anti").join(gone, "lo", "left_anti").select("lo", "hi"))
+
+    while not active.isEmpty():
+        if rounds == QUICK_ROUNDS:
+            roots = components(active)
+            placed = stable(active.join(roots.withColumnRenamed("node", "lo"), "lo").select("lo", "hi", "root"))
+            sizes = placed.groupBy("root", spread("root")).agg(F.count(F.lit(1)).alias("n")).drop("_spread")
+            small = sizes.where(F.col("n") <= GROUP_EDGES)
+            kind = active.schema["hi"].dataType.simpleString()
+            add(stable(placed.join(small, "root", "left_semi").groupBy("root").applyInArrow(_in_order, f"hi {kind}")))
+            active = stable(placed.join(small, "root", "left_anti").select("lo", "hi"))
+            if active.isEmpty():
+                break
+        covered, active = _round(active)
+        add(covered)
+        rounds += 1
     if followers is None:
         return edges.select(F.col("hi").alias("follower"), F.col("lo").alias("leader"), "score").limit(0)
     led = edges.join(followers, "hi", "left_semi")

@@ -157,9 +157,9 @@ _DETECTORS = [
     _group_sql(n_exact("mobile"), 1, "column_exact", "Same ''mobile'' value", skip_blank=True),
     _EXACT.replace("0 as detector", "2 as detector"),
 ]
-_RESOLVED = f"""with {_ACCOUNTS_SQL}, g as ({' union all '.join(f'({d})' for d in _DETECTORS)}),
-  m as (select *, (detector, group_first) = min((detector, group_first)) over (partition by row_id) as own from g),
-  k as (select detector, group_first from m group by all having bool_and(own)), kept as (select g.* from g join k using (detector, group_first))"""
+_RESOLVED = f"""with {_ACCOUNTS_SQL}, g as materialized ({' union all '.join(f'({d})' for d in _DETECTORS)}),
+  m as materialized (select *, (detector, group_first) = min((detector, group_first)) over (partition by row_id) as own from g),
+  k as materialized (select detector, group_first from m group by all having bool_and(own)), kept as materialized (select g.* from g join k using (detector, group_first))"""
 
 
 @query("d4_smart_detection", _RESOLVED + " select key, detector, group_first, row_id, similarity, confidence, method, reason, group_size from kept")
