@@ -13,6 +13,8 @@ from .vectors import FOUND, block_counts, deal, matrix, nearest, usable
 
 LEAF, FAN_OUT = 128, 32
 PAGE = "tree int, page int, leaf boolean, members binary, vectors binary, radii binary, to_parent binary, extra double"
+MOST_COMPONENT = 1e100
+_LONG = 2**63
 _PAGE_ARROW = pa.schema([("tree", pa.int32()), ("page", pa.int32()), ("leaf", pa.bool_()), ("members", pa.binary()), ("vectors", pa.binary()), ("radii", pa.binary()), ("to_parent", pa.binary()), ("extra", pa.float64())])
 
 
@@ -94,7 +96,7 @@ class Tree:
                     scores = (vectors[chosen, :-1] @ q).tolist()
                 else:
                     scores = [sum(int(a) * b for a, b in zip(v, ints, strict=True)) for v in vectors[chosen, :-1]]
-                kept = heapq.nsmallest(k, [*kept, *((-int(s), int(m)) for s, m in zip(scores, members[chosen].tolist(), strict=True))])
+                kept = heapq.nsmallest(k, [*kept, *((-max(-_LONG, min(_LONG - 1, int(s))), int(m)) for s, m in zip(scores, members[chosen].tolist(), strict=True))])
                 if len(kept) == k:
                     reach = np.sqrt(max(length + self.top + 2.0 * kept[-1][0], 0.0))
                 continue
@@ -117,13 +119,19 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id
 
     Rows with an unusable vector take no part (see ``vectors.usable``; zero
     vectors do); a query is never its own neighbour; fewer candidates than ``k``
-    are all returned; ties go to the smaller id; no rows give no rows.
+    are all returned; ties go to the smaller id; no rows give no rows. Large
+    components are multiplied as whole numbers of any size, so ranks stay exact; a
+    score outside of 64 bits is returned as the nearest number inside. Vectors with a
+    scaled component above ``MOST_COMPONENT``, whose squares would leave the range
+    of a double, take no part.
 
     Returns query_id, rank (from 1), vec_id, score (long).
     """
-    scaled = F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("double"))
-    rows = usable(df, id_col, vector_col).withColumn("v", scaled)
-    asked = usable(queries, id_col, vector_col).withColumn("v", scaled)
+    # From 2^53 on every double is whole, and floor() would leave the range of a long.
+    scaled = F.transform(F.transform("v", lambda x: x * F.lit(scale)), lambda y: F.when(F.abs(y) < 2.0**53, F.floor(F.when(F.abs(y) < 2.0**53, y)).cast("double")).otherwise(y))
+    small = F.forall("v", lambda y: F.abs(y) <= MOST_COMPONENT)
+    rows = usable(df, id_col, vector_col).withColumn("v", scaled).where(small)
+    asked = usable(queries, id_col, vector_col).withColumn("v", scaled).where(small)
     trees, query_blocks = block_counts(df.count(), queries.count())
 
     def load(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

@@ -119,3 +119,13 @@ def test_large_components_stay_exact(spark):
     df = spark.createDataFrame([(i, v) for i, v in x], "vec_id long, embedding array<double>")
     got = results(mtree.search(df, df.where("vec_id = 0"), k=3, scale=1.0))
     assert got[0] == sorted([(i, int(v[0]) * 3 * 10**9 + int(v[1])) for i, v in x[1:]], key=lambda p: (-p[1], p[0]))
+
+
+def test_huge_components_are_clipped(spark):
+    big = [[1e8, -1e8], [1e8, 1e8], [-1e8, 1e8], [1e60, 0.0], [1e150, 1.0], [3.0, 4.0]]
+    df = spark.createDataFrame(list(enumerate(big)), "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in mtree.search(df, df, k=9).collect()}
+    used = [i for i in range(6) if i != 4]
+    whole = [[int(x * 1024) for x in v] for v in big]
+    want = {(a, b): max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(whole[a], whole[b])))) for a in used for b in used if a != b}
+    assert got == want
