@@ -201,7 +201,10 @@ def _contains(columns, q: str) -> Column:
 
 def search_masters(masters: DataFrame, q: str = "", city: str = "", state: str = "", min_dup: int = 0,
                    page: int | None = None, size: int = 50) -> DataFrame:
-    """Case-insensitive search over eight fields with city, state and duplicate filters; pages count from 1."""
+    """Case-insensitive search over eight fields with city, state and duplicate filters; pages count from 1.
+
+    Pages follow the numbers of the ids, also where they have more than six digits.
+    """
     from .query import page as take_page
 
     if q.strip():
@@ -212,7 +215,7 @@ def search_masters(masters: DataFrame, q: str = "", city: str = "", state: str =
         masters = masters.filter(_contains(["state"], state))
     if min_dup > 0:
         masters = masters.filter(F.col("duplicate_count") >= min_dup)
-    return masters if page is None else take_page(masters, ["master_id"], page - 1, size)
+    return masters if page is None else take_page(masters, [F.length("master_id"), "master_id"], page - 1, size)
 
 
 def search_references(references: DataFrame, q: str = "") -> DataFrame:

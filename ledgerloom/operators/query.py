@@ -23,7 +23,7 @@ def sort(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
     return df.orderBy(c.asc() if ascending else c.desc())
 
 
-def page(df: DataFrame, order_by: list[str], number: int = 0, size: int = 5000) -> DataFrame:
+def page(df: DataFrame, order_by: list, number: int = 0, size: int = 5000) -> DataFrame:
     """Page ``number`` (from 0) of the ordered table, by distributed row positions: a top-k would gather all rows before the page."""
     start = number * size
     placed = with_position(df, order_by, "_pos")

@@ -48,15 +48,24 @@ def file_inventory(spark: SparkSession, root: str, recursive: bool = True) -> Da
     return files.filter(F.col("extension").isin(*EXTENSIONS) & ~F.col("relative_path").rlike(IGNORED)).orderBy("path")
 
 
+def _cells(header: Column) -> Column:
+    """Cells of a header line: a quoted cell may hold the separator, and two quotes in it stand for one."""
+
+    def cut(mark: str) -> Column:
+        found = F.regexp_extract_all(F.concat(F.lit(mark), header), F.lit(f'{mark}("(?:[^"]|"")*"|[^{mark}]*)'), F.lit(1))
+        quoted = lambda c: (F.length(c) > 1) & c.startswith('"') & c.endswith('"')
+        return F.transform(found, lambda c: F.when(quoted(c), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+    return F.when(F.col("extension") == "tsv", cut("\t")).otherwise(cut(","))
+
+
 def _analysed(files: DataFrame) -> DataFrame:
     """Row and column facts from file content; lines minus the header count as rows."""
     text = F.decode("content", "UTF-8")
     breaks = F.length("content") - F.length(F.encode(F.replace(text, F.lit("\n"), F.lit("")), "UTF-8"))
     lines = F.when(F.length("content") == 0, 0).otherwise(breaks + F.when(text.endswith("\n"), 0).otherwise(1))
     header = F.regexp_replace(F.substring_index(text, "\n", 1), "\r$", "")
-    columns = F.when(header == "", F.array().cast("array<string>")).otherwise(
-        F.when(F.col("extension") == "tsv", F.split(header, "\t")).otherwise(F.split(header, ","))
-    )
+    columns = F.when(header == "", F.array().cast("array<string>")).otherwise(_cells(header))
     out = files.withColumn("rows", F.greatest(F.lit(0), lines - 1).cast("long")).withColumn("columns", columns).drop("content")
     out = out.withColumn("cols", F.size("columns"))
     return out.withColumn("is_empty", (F.col("rows") == 0) | (F.col("cols") == 0))
@@ -82,12 +91,11 @@ def _content(spark: SparkSession, root: str, max_bytes: int, paths: list[str] |
     names = [r["path"] for r in large.select("path").collect()]
     if not names:
         return facts
-    lines = spark.read.text(names).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+    lines = spark.read.text(names).select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"), "value")
     counted = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.min_by("value", "at").alias("header"))
     seen = large.join(counted, "path", "left").withColumn("sha256", F.lit(None).cast("string"))
     seen = seen.withColumn("rows", F.greatest(F.lit(0), F.coalesce("lines", F.lit(0)) - 1).cast("long"))
-    columns = F.split("header", F.when(F.col("extension") == "tsv", "\t").otherwise(","))
-    seen = seen.withColumn("columns", F.coalesce(columns, F.array().cast("array<string>"))).withColumn("cols", F.size("columns"))
+    seen = seen.withColumn("columns", F.coalesce(_cells(F.col("header")), F.array().cast("array<string>"))).withColumn("cols", F.size("columns"))
     seen = seen.withColumn("is_empty", (F.col("rows") == 0) | (F.col("cols") == 0))
     return facts.unionByName(seen.select(*facts.columns))
 
