@@ -232,6 +232,7 @@ def _ratio_sql(a: str, b: str) -> str:
 
 # ---------------------------------------------------------------- cross-file
 
+# Field names, levels and reasons below must match as they stand.
 _FIELDS = {"Name": "name", "Company": "company", "Email": "email", "Phone Number": "phone", "Address": "address", "GST Number": "gst"}
 _KEY = joined_parts({label: n_exact(c) for label, c in _FIELDS.items()})
 _LABELS = ", ".join(f"case when {n_exact(c)} <> '' then '{label}' end" for label, c in sorted(_FIELDS.items()))

@@ -30,6 +30,7 @@ def _bad_phone(c: str) -> str:
 
 
 _BAD_DATE = "coalesce(" + ", ".join(f"try_strptime(created_date, '{f}')" for f in _DATES) + ") is null"
+# Rule names, messages and patterns that the checks must give.
 _RULES = {
     "invalid_email": _issue_sql("contact_email", f"not regexp_matches(contact_email, '{_EMAIL}')", "error", "invalid_email", "Not a valid email"),
     "invalid_phone": " union all ".join([
