@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.session import ensure_checkpoint_dir
@@ -29,6 +29,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def exact(name: str) -> Column:
+    """The column of exactly this name, which may hold dots, spaces or backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet below ``spark.checkpoint.dir`` and read it from there.
 

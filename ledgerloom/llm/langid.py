@@ -6,12 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import Block, blocks, ragged, small_batches, to_arrow
+from .common import Block, blocks, exact, ragged, small_batches, to_arrow
 
 WINDOW = 128
 WIDTHS, FILTERS, EMBEDDED = (2, 3, 4), 16, 8
 PER_LABEL, MOST_ROWS, CUTS = 400, 4000, 4
+THIN = 8
 UNDETERMINED = "und"
 _AT_ONCE = 64
 
@@ -117,14 +119,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(df: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Network | None:
-    """A network trained on a bounded sample of labelled rows: of each label the ``PER_LABEL`` rows whose id has the
-    least hash, ``MOST_ROWS`` rows at most, and from each of them ``CUTS`` cuts anywhere in the text. None without any."""
+    """A network trained on a bounded sample of labelled rows: of each label ``PER_LABEL`` rows of least hash (of id and text)
+    among every n-th hash, ``MOST_ROWS`` rows at most, and from each of them ``CUTS`` cuts anywhere in the text. None without any."""
     chars = 2 * WINDOW
-    order = F.xxhash64(F.col("id").cast("string"))
-    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    order = F.xxhash64(F.col("id").cast("string"), "text")
+    rows = df.select(exact(id_col).alias("id"), exact(label_col).alias("label"), exact(text_col).alias("text")).where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
     at = lambda j: F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(j)), F.greatest(F.length("text") - chars, F.lit(1))) + 1
     cuts = [F.substring("text", at(j).cast("int"), F.lit(chars)) for j in range(CUTS)]
     rows = rows.select("label", order.alias("order"), F.array(*cuts).alias("cuts"))  # before the ranking, so that no whole text is shuffled
+    # A hash keeps about THIN times the sample of each label, so that what is ranked doesn't grow with the input; the least one always stays.
+    size = rows.groupBy("label").agg(F.count("*").alias("size"), F.min("order").alias("least"))
+    rows = rows.join(size, "label").where((F.pmod("order", F.greatest(F.floor(F.col("size") / (THIN * PER_LABEL)), F.lit(1))) == 0) | (F.col("order") == F.col("least")))
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("order", "cuts"))).where(F.col("r") <= PER_LABEL)
     cuts = rows.orderBy("r", "label").limit(MOST_ROWS).select("label", "r", F.posexplode("cuts").alias("j", "cut"))
     taken = sorted((r.label, r.r, r.j, r.cut) for r in cuts.collect())
@@ -148,9 +153,9 @@ def identify(df: DataFrame, network: Network | None, id_col: str = "doc_id", tex
     small_batches(df.sparkSession)
     labels = network.labels if network else []
     added = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
-    columns = [F.col(c).alias(f"kept{i}") for i, c in enumerate([id_col, *(keep or [])])]
+    columns = [exact(c).alias(f"kept{i}") for i, c in enumerate([id_col, *(keep or [])])]
     names = [f"kept{i}" for i in range(len(columns))]
-    rows = df.select(*columns, F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    rows = df.select(*columns, exact(text_col).alias("text"), F.coalesce(exact(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
 
     def run(batches):
         for table in blocks(batches):
@@ -168,6 +173,5 @@ def identify(df: DataFrame, network: Network | None, id_col: str = "doc_id", tex
             new = to_arrow(added, {"lang_pred": predicted.tolist(), "score": score})
             yield pa.RecordBatch.from_arrays([*kept, *new.columns], names=[*names, "lang_pred", "score"])
 
-    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in names]
-    out = rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    out = rows.mapInArrow(run, StructType([*(rows.schema[c] for c in names), StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
     return out.select(F.col("kept0").alias("doc_id"), *[F.col(f"kept{i + 1}").alias(c) for i, c in enumerate(keep or [])], "lang_pred", "score")

@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Block, blocks, mix, ragged, small_batches, spans_to_strings, to_arrow, whole_groups
+from .common import Block, blocks, exact, mix, ragged, small_batches, spans_to_strings, to_arrow, whole_groups
 
 GRAM = 4
 BUCKET_BYTES = 8 << 20
@@ -251,13 +252,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns the columns of ``df`` with the text rewritten (kept words joined by
     single spaces; null and empty texts: empty), and n_words and n_removed, which
-    replace columns of these names. One row per input row; rows of the same id do
+    replace columns of these names in any case; other columns may have any name
+    and type. One row per input row; rows of the same id do
     not remove from each other; a null id neither loses words nor costs another
     document any; texts shorter than a window lose nothing; no rows give no rows.
     """
     spark = df.sparkSession
     small_batches(spark)
-    docs = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = df.where(exact(id_col).isNotNull() & exact(text_col).isNotNull()).select(exact(id_col).cast("long").alias("doc_id"), exact(text_col).alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
@@ -270,17 +272,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     lost = met.select("doc_id", "text_hash", places.alias("places")).where(F.size("places") > 0).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("places")).alias("places"))
 
-    columns = [c for c in df.columns if c not in ("n_words", "n_removed")]
-    rows = df.select(*columns).withColumn("_id", F.col(id_col).cast("long")).withColumn("_hash", F.xxhash64(text_col)).alias("r")
-    rows = rows.join(lost.alias("l").hint("shuffle_hash"), (F.col("r._id") == F.col("l.doc_id")) & (F.col("r._hash") == F.col("l.text_hash")), "left").select("r.*", F.col("l.places").alias("_places")).drop("_id", "_hash")
+    columns = [c for c in df.columns if c.lower() not in ("n_words", "n_removed")]
+    others = F.struct(*[exact(c) for c in columns if c != text_col])  # one column, so that no name of it can meet one of ours
+    rows = df.select(exact(id_col).cast("long").alias("id"), F.xxhash64(exact(text_col)).alias("hash"), exact(text_col).alias("text"), others.alias("others")).alias("r")
+    rows = rows.join(lost.alias("l").hint("shuffle_hash"), (F.col("r.id") == F.col("l.doc_id")) & (F.col("r.hash") == F.col("l.text_hash")), "left").select("r.text", "r.others", "l.places")
 
     def rewrite(batches):
-        for table in blocks(batches, text_col):
-            block = Block(table[text_col])
+        for table in blocks(batches):
+            block = Block(table["text"])
             starts, ends, doc = block.words()
             count = np.bincount(doc, minlength=block.n)
             first = np.concatenate([[0], np.cumsum(count)])
-            lists = table["_places"].combine_chunks()
+            lists = table["places"].combine_chunks()
             sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
             at = np.asarray(lists.flatten()).astype(np.int64) + np.repeat(first[:-1], sizes)
             depth = np.bincount(at, minlength=len(starts) + 1) - np.bincount(at + window, minlength=len(starts) + 1)[: len(starts) + 1]
@@ -291,8 +294,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             text_ends = np.where(kept > 0, word_ends[np.maximum(after - 1, 0)], 0) if len(word_ends) else np.zeros(block.n, np.int64)
             text_starts = np.where(after - kept > 0, word_ends[np.maximum(after - kept - 1, 0)] + 1, 0) if len(word_ends) else np.zeros(block.n, np.int64)
             texts = spans_to_strings(data, np.where(kept > 0, text_starts, 0), np.where(kept > 0, text_ends, 0))
-            new = [texts.cast(pa.string()) if c == text_col else table[c].combine_chunks() for c in columns]
-            yield pa.RecordBatch.from_arrays([*new, pa.array(count.astype(np.int64)), pa.array((count - kept).astype(np.int64))], names=[*columns, "n_words", "n_removed"])
+            new = [texts.cast(pa.string()), table["others"].combine_chunks(), pa.array(count.astype(np.int64)), pa.array((count - kept).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(new, names=["text", "others", "n_words", "n_removed"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in columns]
-    return rows.mapInArrow(rewrite, ", ".join([*kinds, "n_words long, n_removed long"]))
+    schema = StructType([StructField("text", StringType()), rows.schema["others"], StructField("n_words", LongType()), StructField("n_removed", LongType())])
+    out = rows.mapInArrow(rewrite, schema)
+    return out.select(*[(F.col("text") if c == text_col else F.col("others").getField(c)).alias(c) for c in columns], "n_words", "n_removed")

@@ -1,10 +1,10 @@
 import re
 
 import pytest
+from pyspark.sql.types import StructType
 
 import corpus_pipeline
 from ledgerloom.llm import langid
-from ledgerloom.llm.common import WORD
 from tests.llm.test_near import brute as brute_near
 from tests.llm.test_near import corpus as near_corpus
 from tests.llm.test_repeats import brute as brute_repeats
@@ -57,5 +57,22 @@ def test_odd_rows_and_no_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_all_stages_call_a_dealt_operator():
-    assert len(corpus_pipeline.STAGES) == 4 and langid.UNDETERMINED == "und" and WORD
+@pytest.mark.parametrize("name", ["_id", "_pred", "lang_pred", "score", "row", "N_words", "n_removed", "a.b", "a b"])
+def test_columns_of_any_name(spark, tmp_path, name):
+    kind = StructType().add("doc_id", "long").add("text", "string").add("lang", "string").add(name, "integer").add("s", StructType().add("x y", "integer"))
+    words = [[f"{a}{i}" for i in range(20)] for a in ("house", "fluss")]
+    docs = spark.createDataFrame([(i, " ".join(w), "en" if i else "de", i + 5, (9,)) for i, w in enumerate(words)], kind)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", name, "s"]
+        assert sorted((r[0], r[1], r[3], r[4][0]) for r in docs.collect()) == [(i, " ".join(w), i + 5, 9) for i, w in enumerate(words)]
+
+
+def test_stages_are_the_dealt_operators_in_order(spark, monkeypatch, tmp_path):
+    called = []
+    for name in ("langid.identify", "near_duplicates", "remove_repeats", "pack"):
+        owner, attribute = (langid, "identify") if "." in name else (corpus_pipeline, name)
+        monkeypatch.setattr(owner, attribute, lambda *a, _name=name, _whole=getattr(owner, attribute), **k: (called.append(_name), _whole(*a, **k))[1])
+    spark.createDataFrame([(1, "some text", "en", "s", 9, "k", 1)], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1
+    assert called == ["langid.identify", "near_duplicates", "remove_repeats", "pack"]

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.types import LongType, MapType, StringType, StructType
 
 from ledgerloom.llm import repeats
 from ledgerloom.llm.common import WORD, Block
@@ -74,3 +75,12 @@ def test_runs_hold_every_window_once():
     counts = np.bincount(runs.doc, weights=runs.windows, minlength=block.n)
     assert counts.tolist() == [max(len(re.findall(WORD, t or "")) - 12, 0) for t in texts]
     assert runs.windows.mean() > 3
+
+
+@pytest.mark.parametrize("name", ["_id", "_hash", "_places", "places", "others", "id", "hash", "N_words", "a.b", "a b", "back`tick"])
+def test_columns_of_any_name(spark, name):
+    rows = corpus(6)[:30]
+    frame = spark.createDataFrame([(d, t, {"x": 1}, (7,)) for d, t in rows], StructType().add("doc_id", "long").add("text", "string").add(name, MapType(StringType(), LongType())).add("s", StructType().add("a b.c", "integer")))
+    out = repeats.remove_repeats(frame.repartition(2), window=5)
+    assert out.columns == [*["doc_id", "text"], *([name] if name != "N_words" else []), "s", "n_words", "n_removed"]
+    assert results(out) == brute(rows, 5) and {tuple(r.s) for r in out.collect()} == {(7,)}
