@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid
-from ledgerloom.llm.common import read, small_batches
+from ledgerloom.llm.common import exact, read, small_batches
 from ledgerloom.llm.near import near_duplicates
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.repeats import remove_repeats
@@ -23,24 +23,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language the network can tell; it learns from the labelled ones among them.
     Documents without a letter go; without any labelled document the others stay."""
     network = langid.fit(docs)
-    found = langid.identify(docs, network, keep=docs.columns).toDF("_id", *docs.columns, "_pred", "_score")
-    sure = (F.col("_pred") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE) if network else F.col("text").rlike(r"\p{L}")
-    return found.where(sure).select(*docs.columns)
+    found = langid.identify(docs.select("doc_id", "text", F.struct("*").alias("row")), network, keep=["row"])
+    sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE) if network else F.col("row.text").rlike(r"\p{L}")
+    return found.where(sure).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each group of near copies (five-word shingles, similarity 0.8), and one
     row of it. Rows without an id can't be told apart and stay."""
     kept = near_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*map(exact, docs.columns)).union(docs.where("doc_id is null"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated passages out; documents of which nothing is left go. n_chars follows the new text."""
-    out = remove_repeats(docs).where("n_words > n_removed")
+    row = F.struct(*[exact(c) for c in docs.columns if c != "text"]).alias("row")
+    out = remove_repeats(docs.select("doc_id", "text", row)).where("n_words > n_removed")
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
