@@ -78,6 +78,7 @@ def group_quantiles(
     probs: dict[str, float],
     method: str = "linear",
     distinct: str | None = None,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group, one output column per entry of ``probs``.
 
@@ -85,9 +86,19 @@ def group_quantiles(
     Values are reduced to (group, value, count) before anything is sorted, and
     ranks come from a range sort of that table, whatever its size. ``distinct``
     names a column for the number of values per group.
+
+    With ``accuracy`` one aggregate of mergeable sketches takes the place of the
+    sort: each result is a value of the group whose rank is at most ``n / accuracy``
+    from ``p * n``, whatever ``method`` is, and ``distinct`` is an estimate too.
     """
     slim = df.select(*[F.col(quoted(g)) for g in groups], F.col(quoted(value)).cast("double").alias("_v"))
     slim = slim.filter(F.col("_v").isNotNull())
+    if accuracy:
+        found = F.percentile_approx("_v", [float(p) for p in probs.values()], accuracy)
+        sketched = slim.groupBy(*[quoted(g) for g in groups]).agg(found.alias("_q"), *([F.approx_count_distinct("_v").alias(distinct)] if distinct else []))
+        sketched = sketched.filter(F.col("_q").isNotNull())  # without groups there is a row even for no values
+        picked = [F.col("_q")[i].alias(name) for i, name in enumerate(probs)]
+        return sketched.select(*[quoted(g) for g in groups], *picked, *([distinct] if distinct else []))
     one_group = not groups
     if one_group:
         slim = slim.withColumn("_g", F.lit(0))

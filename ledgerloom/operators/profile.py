@@ -146,13 +146,15 @@ def hash_sample(df: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, f
 
 def profile_column(
     df: DataFrame, column: str, sample_rows: int | None = None, seed: int = 42, sample_by: list[str] | None = None, top: int = 10,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """One-row profile: count, nulls, unique (null is a value), numeric moments, or for text the ``top`` most frequent values.
 
     With ``sample_rows`` every figure comes from the same sample, whose share of
     the rows is reported as ``sampled_fraction``: a random one, or by a hash of
     the columns ``sample_by``. Unique, median and top values come from one
-    table of values and their counts, the moments from one more aggregate.
+    table of values and their counts, the moments from one more aggregate. With
+    ``accuracy`` median and unique of numbers come from sketches (see ``group_quantiles``).
     """
     fraction = 1.0
     if sample_rows is not None and sample_by:
@@ -180,7 +182,7 @@ def profile_column(
     out = df.agg(*aggs)
     nothing = F.when(F.col("nulls") > 0, 1).otherwise(0)
     if is_numeric(df, column):
-        found = group_quantiles(df, [], column, {"median": 0.5}, distinct="unique")
+        found = group_quantiles(df, [], column, {"median": 0.5}, distinct="unique", accuracy=accuracy)
         found = found.select(F.struct("median", "unique").alias("f")).scalar()
         out = out.withColumn("_f", found).withColumn("unique", F.coalesce("_f.unique", F.lit(0)) + nothing).withColumn("median", F.col("_f.median")).drop("_f")
     else:
@@ -195,11 +197,12 @@ def profile_column(
     return out
 
 
-def profile_all(df: DataFrame) -> DataFrame:
+def profile_all(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(column, metric, value) for all columns.
 
     Moments come from one wide aggregate. Distinct counts come from a long
     (column, value) count, which combines on the map side and needs no expand.
+    With ``accuracy`` medians come from sketches (see ``group_quantiles``).
     """
     columns = df.columns
     wide = []
@@ -221,7 +224,7 @@ def profile_all(df: DataFrame) -> DataFrame:
     if numeric:
         values = df.select(*[F.col(quoted(c)).cast("double").alias(c) for c in numeric])
         medians = group_quantiles(
-            values.unpivot([], [quoted(c) for c in numeric], "column", "v"), ["column"], "v", {"value": 0.5}
+            values.unpivot([], [quoted(c) for c in numeric], "column", "v"), ["column"], "v", {"value": 0.5}, accuracy=accuracy
         )
         out = out.unionByName(medians.select("column", F.lit("median").alias("metric"), "value"))
     return out

@@ -94,8 +94,8 @@ def null_issues(df: DataFrame) -> DataFrame:
     return counts.select(issue.alias("i")).select("i.*")
 
 
-def quartiles(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
-    """Column -> (non-null count, q1, q3) with the nearest-rank rule.
+def quartiles(df: DataFrame, columns: list[str], accuracy: int | None = None) -> dict[str, tuple]:
+    """Column -> (non-null count, q1, q3) with the nearest-rank rule, or by sketches (see ``group_quantiles``).
 
     Returns one tuple per numeric column to the driver.
     """
@@ -105,16 +105,17 @@ def quartiles(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
         return {}
     values = df.select(*[F.col(quoted(c)).cast("double").alias(c) for c in usable])
     long = values.unpivot([], [quoted(c) for c in usable], "column", "v")
-    found = group_quantiles(long, ["column"], "v", {"q1": 0.25, "q3": 0.75}, method="nearest")
+    found = group_quantiles(long, ["column"], "v", {"q1": 0.25, "q3": 0.75}, method="nearest", accuracy=accuracy)
     return {r["column"]: (counts[r["column"]], r["q1"], r["q3"]) for r in found.collect()}
 
 
-def outlier_issues(df: DataFrame, row_id: str) -> DataFrame:
-    """Values outside 1.5 IQR of numeric columns with four or more values."""
+def outlier_issues(df: DataFrame, row_id: str, accuracy: int | None = None) -> DataFrame:
+    """Values outside 1.5 IQR of numeric columns with four or more values; with ``accuracy`` the quartiles
+    may be off by ``n / accuracy`` ranks, and take one pass in place of a sort."""
     numeric = [c for c in df.columns if c != row_id and is_numeric(df, c)]
     row = F.col(quoted(row_id))
     found = []
-    for c, (_, q1, q3) in (quartiles(df, numeric) if numeric else {}).items():
+    for c, (_, q1, q3) in (quartiles(df, numeric, accuracy) if numeric else {}).items():
         spread = q3 - q1
         if spread == 0:
             continue

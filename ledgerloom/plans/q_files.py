@@ -193,3 +193,26 @@ def l2(spark, sf):
     stream = live.stream_delimited(spark, f"{root}/in", _ORDER_SCHEMA, "parquet", 1)
     live.stream_summary(stream, f"{root}/state", f"{root}/ck").awaitTermination()
     return live.current_summary(spark, f"{root}/state", 6)
+
+
+_EVENT_MISSING = " + ".join(f"count(*) - count({c})" for c in ("event_id", "ts", "user_id", "event_type", '"value"', "props"))
+
+
+@query("l2_bounded_kpis", f"""with e as (select * from events union all select * from events where user_id % 3 = 0),
+    u as (select count(*) as n from (select distinct * from e)), t as (select count(*) as n, {_EVENT_MISSING} as missing from e)
+  select t.n as total_rows, u.n as unique_rows, t.n - u.n as duplicate_rows, missing as missing_values, round(100.0 - 100.0 * missing / (t.n * 6), 2) as data_quality_score,
+  round(100.0 - 100.0 * (t.n - u.n) / t.n, 2) as validation_score from t, u""")
+def l2_bounded(spark, sf):
+    """Events arrive in four parts by time, copies of a third of the users half a day after their first sight; state is kept for a day."""
+    root = scratch(spark)
+    events = table(spark, sf, "events")
+    copies = events.filter("user_id % 3 = 0")
+    arriving = events.withColumn("arrival", F.col("ts")).union(copies.withColumn("arrival", F.col("ts") + F.expr("interval 12 hours")))
+    low, high = arriving.agg(F.min("arrival"), F.max("arrival")).first()
+    for part in range(4):
+        start, end = (low + (high - low) * p / 4 for p in (part, part + 1))
+        inside = (F.col("arrival") >= F.lit(start)) & (F.lit(part == 3) | (F.col("arrival") < F.lit(end)))
+        arriving.filter(inside).drop("arrival").repartition(2).write.mode("append").parquet(f"{root}/in")
+    stream = live.stream_delimited(spark, f"{root}/in", events.schema, "parquet", 2)
+    live.bounded_summary(stream, "ts", "1 day", f"{root}/state", f"{root}/ck").awaitTermination()
+    return live.current_summary(spark, f"{root}/state", 6)

@@ -51,6 +51,32 @@ def stream_summary(stream: DataFrame, state: str, checkpoint: str, available_now
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def bounded_summary(stream: DataFrame, time: str, delay: str, state: str, checkpoint: str, available_now: bool = True):
+    """As ``stream_summary``, with a state that doesn't grow with the history.
+
+    Row identities are kept in Spark's state store, keyed by identity, from their first
+    sight until the watermark (the latest ``time`` less ``delay``) has passed it by
+    ``delay``. A batch thus costs what its rows cost, however long the stream has
+    run. Counts are exact if copies of a row are at most ``delay`` apart in ``time``
+    and no row is later than that. A copy that comes after its row has expired counts
+    as a new row; a row behind the watermark counts as a copy. ``time`` takes part in
+    the identity like any other column; rows without a time are never copies.
+    """
+    columns = stream.columns
+    missing = sum((F.col(quoted(c)).isNull().cast("long") for c in columns), F.lit(0).cast("long"))
+    rows = stream.select(_row_hash(stream).alias("h"), F.col(quoted(time)).cast("timestamp").alias("at"), missing.alias("missing"))
+    every = rows.select(F.lit(1).alias("rows"), F.col("at").isNull().cast("int").alias("fresh"), "missing")
+    timed = rows.filter(F.col("at").isNotNull()).select("h", "at").withWatermark("at", delay)
+    first = timed.dropDuplicatesWithinWatermark(["h"]).select(F.lit(0).alias("rows"), F.lit(1).alias("fresh"), F.lit(0).cast("long").alias("missing"))
+
+    def refresh(batch: DataFrame, number: int) -> None:
+        totals = batch.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("rows", "rows"), ("missing", "missing"), ("fresh", "new_unique"))])
+        totals.write.mode("overwrite").parquet(f"{state}/kpis/batch={number}")
+
+    writer = every.unionByName(first).writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def current_summary(spark: SparkSession, state: str, cols: int) -> DataFrame:
     """KPIs over all batches so far, as one row."""
     rows, unique, missing = F.sum("rows"), F.sum("new_unique"), F.sum("missing")
