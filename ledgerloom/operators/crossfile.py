@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -110,38 +111,120 @@ def _window_pairs(rows: DataFrame, window: int) -> DataFrame:
     return pairs.withColumn("ratio", F.when(F.col("_same"), F.lit(100.0)).otherwise(ratio))
 
 
-def _name_pairs(rows: DataFrame) -> DataFrame:
-    """All candidate pairs at any distance, with their ratio.
+@dataclass(frozen=True)
+class NearClasses:
+    """Near matches as classes of records and links between classes, without their pairs.
 
-    What a pair is follows from its two names. So distinct names are paired, by
-    equal cleaned forms and by an exact similarity join, and then meet the records.
+    What a pair is follows from its two names alone, so it is decided once for all
+    records of a class. ``members`` has one row per record with its three class
+    keys: ``plain`` (cleaned name), ``lower`` (name in lower case) and ``same``
+    (records that are possible matches of each other). ``names`` counts records per
+    name. ``links`` has one row (match_level, key_a, key_b, ratio, pairs) per
+
+    - ``plain`` with more than one name: high confidence, any two records of different names;
+    - ``same`` with more than one record: possible matches, any two records;
+    - two values of ``lower`` of similar spelling: similar matches, each record with each.
+
+    Size and work grow with the records and with the links of different texts: a
+    name on m records is one link of m(m-1)/2 pairs. ``expand`` writes the pairs out.
     """
-    names = stable(rows.select("name", "plain", "lower").distinct())
-    a, b = (names.select(*[F.col(c).alias(f"{c}_{s}") for c in names.columns]) for s in "ab")
+
+    members: DataFrame
+    names: DataFrame
+    links: DataFrame
+
+    def partners(self) -> DataFrame:
+        """Per name: records, and how many other records one of them matches at each level."""
+        def sums(*groups: str) -> DataFrame:
+            return self.names.groupBy(*groups, spread(*groups)).agg(F.sum("n").alias(f"_{groups[0]}")).drop("_spread")
+
+        similar = self.links.filter(F.col("match_level") == SIMILAR_LEVEL)
+        both = similar.select("key_a", "key_b").unionAll(similar.select("key_b", "key_a")).toDF("lower", "other")
+        texts = self.names.groupBy(F.col("lower").alias("other")).agg(F.sum("n").alias("n"))
+        near = both.join(texts, "other").groupBy("lower").agg(F.sum("n").alias("_near"))
+        out = self.names.join(sums("plain"), "plain").join(sums("same"), "same").join(near, "lower", "left")
+        return out.select(
+            "name", "n", F.when(F.col("plain") != "", F.col("_plain") - F.col("n")).otherwise(0).alias("high_partners"),
+            (F.col("_same") - 1).alias("possible_partners"),
+            F.coalesce("_near", F.lit(0)).alias("similar_partners"),
+        )
+
+    def per_record(self) -> DataFrame:
+        """The number of partners at each level of every record that has a name."""
+        return self.members.select("ord", "name").join(self.partners().drop("n"), "name").drop("name")
+
+    def conflicts(self) -> DataFrame:
+        """Differing e-mails and phones inside a class of possible matches, one row per class and field:
+        its different values, the records that have one, and the pairs of records that differ."""
+        fields = F.explode(F.array(
+            F.struct(F.lit("Email").alias("field_name"), F.col("email").alias("value")),
+            F.struct(F.lit("Phone Number").alias("field_name"), F.col("phone").alias("value")),
+        ))
+        values = self.members.select("same", fields.alias("x")).filter("x.value <> ''").groupBy("same", "x.field_name", "x.value").agg(F.count(F.lit(1)).alias("n"))
+        return values.groupBy("same", "field_name").agg(
+            F.count(F.lit(1)).alias("values"), F.sum("n").alias("records"), _unequal_pairs().alias("pairs")
+        ).filter(F.col("values") > 1).withColumnRenamed("same", "entity_key")
+
+    def expand(self) -> DataFrame:
+        """All pairs of records, the earlier one first."""
+        a, b = (self.members.select(*[F.col(c).alias(f"{c}_{s}") for c in self.members.columns]) for s in "ab")
+        links = self.links.select("match_level", "key_a", "key_b", "ratio")
+        flipped = links.select("match_level", F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"), "ratio")
+        parts = []
+        for level, key in ((NEAR_LEVEL, "plain"), (POSSIBLE_LEVEL, "same"), (SIMILAR_LEVEL, "lower")):
+            found = (links.unionAll(flipped) if level == SIMILAR_LEVEL else links).filter(F.col("match_level") == level)
+            pairs = found.join(a, F.col("key_a") == F.col(f"{key}_a")).join(b, F.col("key_b") == F.col(f"{key}_b")).filter("pos_b > pos_a")
+            parts.append(pairs.filter("name_a <> name_b") if level == NEAR_LEVEL else pairs)
+        return reduce(DataFrame.unionByName, parts).drop("match_level", "key_a", "key_b").withColumn(
+            "_high", (F.col("plain_a") != "") & (F.col("plain_a") == F.col("plain_b")) & (F.col("name_a") != F.col("name_b"))
+        ).withColumn("_same", F.col("lower_a") == F.col("lower_b"))
+
+
+def _unequal_pairs() -> Column:
+    """Pairs of rows in different subgroups of ``n`` rows each, beyond the range of a long too."""
+    n = F.col("n").cast("decimal(18,0)")
+    return ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).cast("decimal(38,0)")
+
+
+def near_classes(records: DataFrame, similar_below: float = SIMILAR_BELOW) -> NearClasses:
+    """Near matches of records at any distance, left as classes and links. Records without a name have none."""
+    same = F.when(F.col("plain") != "", F.col("name")).otherwise(F.col("lower"))
+    members = stable(_survivors(records).filter(F.col("name") != "").withColumn("same", same))
+    names = stable(members.groupBy("name", "lower", "plain", "same").agg(F.count(F.lit(1)).alias("n")))
     none = F.lit(None).cast("double")
-    high = a.join(b, F.col("plain_a") == F.col("plain_b")).filter("plain_a <> '' and name_a <> name_b")
-    high = high.select("name_a", "name_b", F.lit(True).alias("_high"), (F.col("lower_a") == F.col("lower_b")).alias("_same"), none.alias("ratio"))
-    decided = (F.col("plain_a") != "") & (F.col("plain_a") == F.col("plain_b")) & (F.col("name_a") != F.col("name_b"))
-    same = a.join(b, F.col("lower_a") == F.col("lower_b")).filter(~decided)
-    same = same.select("name_a", "name_b", F.lit(False).alias("_high"), F.lit(True).alias("_same"), F.lit(100.0).alias("ratio"))
-    found = stable(value_pairs(distinct_values(names, "lower"), None, "ratio", SIMILAR_FROM).select("vl", "vr", "score"))
-    found = found.filter(F.abs(F.length("vl") - F.length("vr")) <= LENGTH_GAP)
-    both = found.unionAll(found.select("vr", "vl", "score")).toDF("lower_a", "lower_b", "ratio")
-    close = both.join(a, "lower_a").join(b, "lower_b").filter(~decided)
-    close = close.select("name_a", "name_b", F.lit(False).alias("_high"), F.lit(False).alias("_same"), "ratio")
-    alike = high.unionAll(same).unionAll(close)
-    left, right = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns]) for s in "ab")
-    return alike.join(left, "name_a").join(right, "name_b").filter("pos_b > pos_a")
-
-
-def near_matches(records: DataFrame, window: int | None = None, similar_below: float = SIMILAR_BELOW) -> DataFrame:
+
+    def own(level: str, key: str, pairs: Column, keep: Column) -> DataFrame:
+        groups = names.groupBy(F.col(key).alias("key_a")).agg(pairs.alias("pairs"), keep.alias("_keep")).filter("_keep")
+        return groups.select(F.lit(level).alias("match_level"), "key_a", F.col("key_a").alias("key_b"), none.alias("ratio"), "pairs")
+
+    total = F.sum("n").cast("decimal(18,0)")
+    high = own(NEAR_LEVEL, "plain", _unequal_pairs(), F.count(F.lit(1)) > 1).filter("key_a <> ''")
+    possible = own(POSSIBLE_LEVEL, "same", (total * (total - 1) / 2).cast("decimal(38,0)"), F.sum("n") > 1)
+    texts = names.groupBy("lower", "plain").agg(F.sum("n").alias("n"))
+    a, b = (texts.select(F.col("lower").alias(f"key_{s}"), F.col("plain").alias(f"plain_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    found = value_pairs(distinct_values(names, "lower"), None, "ratio", SIMILAR_FROM)
+    found = found.filter((F.abs(F.length("vl") - F.length("vr")) <= LENGTH_GAP) & (F.col("score") < similar_below))
+    found = found.select(F.least("vl", "vr").alias("key_a"), F.greatest("vl", "vr").alias("key_b"), F.col("score").alias("ratio"))
+    similar = found.join(a, "key_a").join(b, "key_b").filter((F.col("plain_a") != F.col("plain_b")) | (F.col("plain_a") == "")).select(
+        F.lit(SIMILAR_LEVEL).alias("match_level"), "key_a", "key_b", "ratio",
+        (F.col("n_a").cast("decimal(18,0)") * F.col("n_b").cast("decimal(18,0)")).cast("decimal(38,0)").alias("pairs"),
+    )
+    return NearClasses(members, names, stable(high.unionByName(possible).unionByName(similar)))
+
+
+def near_matches(
+    records: DataFrame, window: int | None = None, similar_below: float = SIMILAR_BELOW, classes: NearClasses | None = None
+) -> DataFrame:
     """Pairs of near-equal records: high confidence, similar or possible, in that order.
 
-    All pairs of records are considered; with a ``window``, each record meets only
-    the next ``window - 1`` records of the global order.
+    All pairs of records are considered, by writing out ``classes`` (see
+    ``near_classes``, which has the same result without a row per pair); with a
+    ``window``, each record meets only the next ``window - 1`` records of the global order.
     """
-    rows = _survivors(records).filter(F.col("name") != "")
-    pairs = _name_pairs(stable(rows)) if window is None else _window_pairs(rows, window)
+    if window is None:
+        pairs = (classes or near_classes(records, similar_below)).expand()
+    else:
+        pairs = _window_pairs(_survivors(records).filter(F.col("name") != ""), window)
     similar = (F.col("ratio") >= SIMILAR_FROM) & (F.col("ratio") < similar_below)
     level = F.when(F.col("_high"), NEAR_LEVEL).when(similar & ~F.col("_same"), SIMILAR_LEVEL).when(F.col("_same"), POSSIBLE_LEVEL)
     score = F.when(F.col("_high"), F.lit(97.0)).when(F.col("_same"), F.lit(75.0)).otherwise(F.round("ratio", 1))
@@ -219,6 +302,29 @@ def cross_summary(records: DataFrame, exact: DataFrame, pairs: DataFrame, confli
     )
 
 
+def class_summary(records: DataFrame, exact: DataFrame, near: NearClasses, missing: DataFrame, files: int, worksheets: int) -> DataFrame:
+    """The row of ``cross_summary`` counted from classes and links; no pair of records is built."""
+    count = F.count(F.lit(1))
+    level = F.col("match_level")
+    zero = F.lit(0).cast("long")
+    pairs = near.links.agg(
+        F.coalesce(F.sum(F.when(level != POSSIBLE_LEVEL, F.col("pairs"))).cast("long"), zero).alias("unlike"),
+        F.coalesce(F.sum(F.when(level == POSSIBLE_LEVEL, F.col("pairs"))).cast("long"), zero).alias("possible"),
+    ).select(F.struct("unlike", "possible")).scalar()
+    # Records of exact groups are no members, so the two counts of flagged records share none.
+    matched = near.partners().filter("high_partners + possible_partners + similar_partners > 0").agg(F.coalesce(F.sum("n"), zero)).scalar()
+    conflicts = near.conflicts().agg(F.coalesce(F.sum("pairs").cast("long"), zero)).scalar()
+    row = records.agg(
+        F.lit(files).alias("total_files"), F.lit(worksheets).alias("total_worksheets"), count.alias("total_records")
+    ).withColumn("_pairs", pairs).withColumn("exact_duplicates", exact.agg(count).scalar())
+    return row.select(
+        "total_files", "total_worksheets", "total_records", "exact_duplicates",
+        (2 * F.col("_pairs.unlike")).alias("similar_records"), F.col("_pairs.possible").alias("possible_matches"),
+        (F.col("total_records") - F.col("exact_duplicates") - matched).alias("unique_records"),
+        conflicts.alias("conflicting_records"), missing.agg(count).scalar().alias("missing_records"),
+    )
+
+
 # Headers that identify a row, in order of preference.
 MATCH_HEADERS = ("Booking number", "Email address", "Email", "customer_id", "Customer ID")
 

@@ -199,6 +199,10 @@ def _contains(columns, q: str) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lit(q)), F.lit(False)) for c in columns])
 
 
+def _by_number() -> list:
+    return [F.length("master_id"), "master_id"]
+
+
 def search_masters(masters: DataFrame, q: str = "", city: str = "", state: str = "", min_dup: int = 0,
                    page: int | None = None, size: int = 50) -> DataFrame:
     """Case-insensitive search over eight fields with city, state and duplicate filters; pages count from 1.
@@ -215,7 +219,14 @@ def search_masters(masters: DataFrame, q: str = "", city: str = "", state: str =
         masters = masters.filter(_contains(["state"], state))
     if min_dup > 0:
         masters = masters.filter(F.col("duplicate_count") >= min_dup)
-    return masters if page is None else take_page(masters, [F.length("master_id"), "master_id"], page - 1, size)
+    return masters if page is None else take_page(masters, _by_number(), page - 1, size)
+
+
+def store_masters(masters: DataFrame, path: str | None = None):
+    """Masters as a ``PagedTable`` by the numbers of their ids; its pages count from 0."""
+    from .query import PagedTable
+
+    return PagedTable.store(masters, _by_number(), path)
 
 
 def search_references(references: DataFrame, q: str = "") -> DataFrame:

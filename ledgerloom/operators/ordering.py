@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,13 @@ from ..functions.text import quoted
 from ..session import stable
 
 
+def in_order(df: DataFrame, order_by: list) -> list[Column]:
+    """Sort keys of ``order_by`` and a hash of the row, so that rows with equal keys may be split up."""
+    order = [F.col(quoted(c)) if isinstance(c, str) else c for c in order_by]
+    simple = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType, T.ArrayType, T.StructType))]
+    return [*order, F.xxhash64(*[F.col(quoted(c)) for c in simple]) if simple else F.lit(0)]
+
+
 def with_position(df: DataFrame, order_by: list, name: str = "pos", start: int = 0) -> DataFrame:
     """Add contiguous positions in the order of ``order_by``.
 
@@ -19,9 +28,7 @@ def with_position(df: DataFrame, order_by: list, name: str = "pos", start: int =
     checkpointed, so that both the numbering and the shifts see the same split.
     Rows with equal keys are ordered by a hash, so that they may be split up.
     """
-    order = [F.col(quoted(c)) if isinstance(c, str) else c for c in order_by]
-    simple = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType, T.ArrayType, T.StructType))]
-    order.append(F.xxhash64(*[F.col(quoted(c)) for c in simple]) if simple else F.lit(0))
+    order = in_order(df, order_by)
     sorted_rows = stable(
         df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
     )
@@ -55,22 +62,6 @@ def first_by(value: Column, order: Column, keep: Column) -> Column:
     return F.min_by(F.when(keep, value), F.when(keep, order))
 
 
-def _cumulative(freq: DataFrame, groups: list[str], value: str, n: str) -> DataFrame:
-    """Add ``_start``, the number of smaller values of the same group, to a frequency table."""
-    keys = [F.col(quoted(g)) for g in groups] + [F.col(quoted(value))]
-    ranged = stable(freq.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
-    inside = W.partitionBy("_part", *groups).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    local = ranged.withColumn("_local", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-    # One row per (partition, group) pair: range partitioning keeps a group in adjacent partitions.
-    sizes = ranged.groupBy("_part", *groups).agg(F.sum(n).alias("_size"))
-    before = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    base = sizes.withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    on = F.col("l._part") == F.col("r._part")
-    for g in groups:
-        on = on & F.col(f"l.{quoted(g)}").eqNullSafe(F.col(f"r.{quoted(g)}"))
-    return local.alias("l").join(base.alias("r"), on).select("l.*", (F.col("_local") + F.col("_base")).alias("_start"))
-
-
 def group_quantiles(
     df: DataFrame,
     groups: list[str],
@@ -84,8 +75,8 @@ def group_quantiles(
 
     ``linear`` interpolates; ``nearest`` takes the value at ``floor(p(n-1) + 1/2)``.
     Values are reduced to (group, value, count) before anything is sorted, and
-    ranks come from a range sort of that table, whatever its size. ``distinct``
-    names a column for the number of values per group.
+    ranks come from a range sort of that table, whatever its size; only the
+    partitions that hold a wanted place are ranked row by row. ``distinct`` names a column for the number of values per group.
 
     With ``accuracy`` one aggregate of mergeable sketches takes the place of the
     sort: each result is a value of the group whose rank is at most ``n / accuracy``
@@ -104,13 +95,28 @@ def group_quantiles(
         slim = slim.withColumn("_g", F.lit(0))
         groups = ["_g"]
     freq = slim.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    placed = _cumulative(freq, groups, "_v", "_n")
-    total = placed.groupBy(*groups).agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_values"))
-    on = None
+    keys = [F.col(quoted(g)) for g in groups]
+    ranged = stable(freq.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    # One row per partition and group; a group lies in adjacent partitions.
+    sizes = ranged.groupBy("_part", *groups).agg(F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_rows"))
+    whole = W.partitionBy(*groups)
+    before = whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(
+        "_part", *groups, "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"),
+        F.sum("_size").over(whole).alias("_total"), F.sum("_rows").over(whole).alias("_values"),
+    )
+    # Only the partitions in which a wanted place lies are ranked.
+    places = [F.lit(p) * (F.col("_total") - 1) for p in probs.values()]
+    wanted = [F.floor(x + 0.5) for x in places] if method == "nearest" else [f(x) for x in places for f in (F.floor, F.ceil)]
+    holds = reduce(lambda a, b: a | b, [(F.col("_base") <= i) & (i < F.col("_base") + F.col("_size")) for i in wanted])
+    near = sizes.filter(holds).drop("_size")
+    on = F.col("p._part") == F.col("t._part")
     for g in groups:
-        same = F.col(f"p.{quoted(g)}").eqNullSafe(F.col(f"t.{quoted(g)}"))
-        on = same if on is None else on & same
-    joined = placed.alias("p").join(total.alias("t"), on).select("p.*", "t._total", "t._values")
+        on = on & F.col(f"p.{quoted(g)}").eqNullSafe(F.col(f"t.{quoted(g)}"))
+    inside = W.partitionBy("_part", *groups).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    joined = ranged.alias("p").join(near.alias("t"), on).select("p.*", "t._base", "t._total", "t._values").withColumn(
+        "_start", F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    )
 
     def at(index: Column) -> Column:
         hit = (F.col("_start") <= index) & (index < F.col("_start") + F.col("_n"))

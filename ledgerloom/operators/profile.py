@@ -69,25 +69,18 @@ def summarise(datasets: dict[str, DataFrame], sizes: dict[str, int] | None = Non
     """Workspace KPIs as one row.
 
     ``sizes`` holds file sizes by dataset; without it the largest file is empty.
-    Each dataset is read twice: one aggregate of nulls, one of row identities.
+    Each dataset is read once: rows of one identity have the same number of nulls,
+    so one aggregate by identity carries both.
     """
     parts = []
-    for name, df in datasets.items():
-        missing = reduce(lambda a, b: a + b, [F.count_if(F.col(quoted(c)).isNull()) for c in df.columns])
-        nulls = df.agg(missing.alias("missing"))
-        parts.append(
-            row_duplicate_kpi(df)
-            .select("total_rows", "unique_rows", F.lit(0).cast("long").alias("missing"), F.lit(len(df.columns)).alias("cols"))
-            .unionByName(
-                nulls.select(
-                    F.lit(0).cast("long").alias("total_rows"),
-                    F.lit(0).cast("long").alias("unique_rows"),
-                    "missing",
-                    F.lit(0).alias("cols"),
-                )
-            )
-            .agg(*[F.sum(c).alias(c) for c in ("total_rows", "unique_rows", "missing", "cols")])
-        )
+    zero = F.lit(0).cast("long")
+    for df in datasets.values():
+        missing = reduce(lambda a, b: a + b, [F.col(quoted(c)).isNull().cast("int") for c in df.columns])
+        counts = df.select(_row_hash(df).alias("h"), missing.alias("m")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m"))
+        parts.append(counts.agg(
+            F.coalesce(F.sum("n"), zero).alias("total_rows"), F.count(F.lit(1)).alias("unique_rows"),
+            F.coalesce(F.sum(F.col("n") * F.col("m")), zero).alias("missing"),
+        ).withColumn("cols", F.lit(len(df.columns))))
     rows = reduce(DataFrame.unionByName, parts)
     sizes = sizes or {}
     largest = max(sizes, key=lambda k: sizes[k]) if sizes else ""

@@ -161,6 +161,11 @@ def k9_page(spark, sf):
     return mdm.search_masters(_run(spark, sf).masters, state="BUILD", page=2, size=20).drop("created_date", "sources")
 
 
+@query("k9_stored_page", f"with {_entity_sql('rule_5')}, m as (select {_MASTER_COLUMNS} from e) select * from m order by master_id limit 20 offset 60")
+def k9_stored(spark, sf):
+    return mdm.store_masters(_run(spark, sf).masters).page(3, 20).drop("created_date", "sources")
+
+
 @query("k9_search_references", f"""with {_entity_sql('rule_5')} select master_id, source_file, sheet_name, rn as row_number, folder_path, '{RUN_DATE}' as import_date from kr join e using (key)
   where contains(lower(source_file), 'vendors') or contains(lower(folder_path), 'vendors') or contains(lower(sheet_name), 'vendors')""")
 def k9_references(spark, sf):

@@ -343,8 +343,40 @@ def x5_all(spark, sf):
 def x7_all(spark, sf):
     sheets = contact_sheets(spark, sf)
     records = sm.canonical_records(sheets)
-    exact, pairs = xf.exact_matches(records), stable(xf.near_matches(records))
-    return xf.cross_summary(records, exact, pairs, xf.match_conflicts(pairs), xf.missing_cells(sheets), 2, 2)
+    return xf.class_summary(records, xf.exact_matches(records), xf.near_classes(records), xf.missing_cells(sheets), 2, 2)
+
+
+# The same results as classes of records and links between them, without a row per pair.
+_SAME_KEY = "case when pl <> '' then nm else lower(nm) end"
+
+
+@query("x2_match_classes", unbounded(f"""with {_SIMILAR} select '{xf.NEAR_LEVEL}' as match_level, pl as key_a, pl as key_b, count(*) as pairs from pairs where {_HIGH} group by pl
+  union all select '{xf.POSSIBLE_LEVEL}', {_SAME_KEY}, {_SAME_KEY}, count(*) from pairs where {_SAME} group by {_SAME_KEY}
+  union all select '{xf.SIMILAR_LEVEL}', least(low, low_b), greatest(low, low_b), count(*) from alike group by least(low, low_b), greatest(low, low_b)"""))
+def x2_classes(spark, sf):
+    return xf.near_classes(_records(spark, sf)).links.select("match_level", "key_a", "key_b", F.col("pairs").cast("long").alias("pairs"))
+
+
+_LEVELS = {"high_partners": f"pairs where {_HIGH}", "possible_partners": f"pairs where {_SAME}", "similar_partners": "alike"}
+_PARTNERS = " union all ".join(
+    f"select unnest([ord, ord_b]) as ord, {', '.join(f'{int(level == kind)} as {kind}' for kind in _LEVELS)} from {source}" for level, source in _LEVELS.items())
+
+
+@query("x4_match_counts", unbounded(f"""with {_SIMILAR}, found as ({_PARTNERS})
+  select ord, {', '.join(f'cast(coalesce(sum({kind}), 0) as bigint) as {kind}' for kind in _LEVELS)} from (select ord from s where nm <> '') left join found using (ord) group by ord"""))
+def x4_counts(spark, sf):
+    return xf.near_classes(_records(spark, sf)).per_record()
+
+
+_DIFFER = {"Email": "em", "Phone Number": "ph"}
+
+
+@query("x5_conflict_classes", unbounded(f"with {_SURVIVORS}, c as (select * from pairs where {_SAME}), " + ", ".join(
+    f"{c}_values as (select {_SAME_KEY} as entity_key, count(distinct {c}) as n, count(*) as m from s where nm <> '' and {c} <> '' group by 1), "
+    f"{c}_pairs as (select {_SAME_KEY} as entity_key, count(*) as k from c where {c} <> '' and {c}_b <> '' and {c} <> {c}_b group by 1)" for c in _DIFFER.values()) + " " + " union all ".join(
+    f"select entity_key, '{name}' as field_name, n as values, m as records, k as pairs from {c}_values join {c}_pairs using (entity_key)" for name, c in _DIFFER.items())))
+def x5_classes(spark, sf):
+    return xf.near_classes(_records(spark, sf)).conflicts().withColumn("pairs", F.col("pairs").cast("long"))
 
 
 _CELLS = {0: ["name", "address", "city", "state", "phone", "email"], 1: ["name", "company", "address", "city", "state", "phone", "email", "gst"]}

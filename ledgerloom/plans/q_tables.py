@@ -224,6 +224,11 @@ def t3_deep(spark, sf):
     return qy.page(table(spark, sf, "lineitem"), ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], 100, 500)
 
 
+@query("t3_stored_page", "select * from orders order by o_totalprice, o_orderkey limit 50 offset 350")
+def t3_stored(spark, sf):
+    return qy.PagedTable.store(table(spark, sf, "orders"), ["o_totalprice", "o_orderkey"]).page(7, 50)
+
+
 @query("t4_cross_filter_value", "select * from events where contains(lower(event_type), 'click')")
 def t4(spark, sf):
     return qy.cross_filter(table(spark, sf, "events"), "event_id", column="event_type", value="click")

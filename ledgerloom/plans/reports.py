@@ -52,7 +52,11 @@ class DuplicateReport:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return stable(xf.near_matches(self.records, self.window))
+        return stable(xf.near_matches(self.records, self.window, classes=self.classes if self.window is None else None))
+
+    @cached_property
+    def classes(self) -> xf.NearClasses:
+        return xf.near_classes(self.records)
 
     @cached_property
     def missing(self) -> DataFrame:
@@ -104,8 +108,11 @@ class DuplicateReport:
             "unique_records": "Unique Records", "conflicting_records": "Conflicting Records Flagged",
             "missing_records": "Missing Data Instances",
         }
-        counts = xf.cross_summary(self.records, self.exact, self.pairs, xf.match_conflicts(self.pairs), self.missing,
-                                  len({s.file for s in self.sheets}), len(self.sheets))
+        size = len({s.file for s in self.sheets}), len(self.sheets)
+        if self.window is None:
+            counts = xf.class_summary(self.records, self.exact, self.classes, self.missing, *size)
+        else:
+            counts = xf.cross_summary(self.records, self.exact, self.pairs, xf.match_conflicts(self.pairs), self.missing, *size)
         return metric_rows(counts, labels)
 
     def tables(self) -> dict[str, DataFrame]:
