@@ -27,23 +27,37 @@ def _options(reader, sep: str, multi_line: bool = True):
     return reader.options(header=True, sep=sep, mode="PERMISSIVE", multiLine=multi_line, **QUOTING)
 
 
-def infer_types(sample: DataFrame) -> T.StructType:
-    """Types of an all-text table: every filled value of all rows must parse, else the column stays text."""
-    kinds = (("bigint", T.LongType()), ("double", T.DoubleType()), ("date", T.DateType()), ("timestamp", T.TimestampType()))
+# Rows that are looked at first: one value that does not parse rules a type out.
+LOOK = 256
+# The types that are tried, and what a value must begin with before it is parsed, as a failed parse is slow.
+KINDS = (
+    ("bigint", T.LongType(), r"^[\x00-\x20\x7F-\x9F]*[-+.0-9]"), ("double", T.DoubleType(), r"^[\x00-\x20\x7F-\x9F]*[-+.0-9iInN]"),
+    ("date", T.DateType(), r"^\d{4}-\d{2}-\d{2}$"), ("timestamp", T.TimestampType(), r"^\d{4}-\d{2}-\d{2}"),
+)
+
+
+def _failing(rows: DataFrame, tried: list[list[tuple]]) -> list[tuple]:
+    """For each column the number of filled cells, and of those that each type tried does not fit."""
     aggs = []
-    for i, c in enumerate(sample.columns):
+    for i, (c, kinds) in enumerate(zip(rows.columns, tried, strict=True)):
         v = F.col(quoted(c))
-        filled = v.isNotNull()
-        aggs.append(F.count(v).alias(f"{i}_n"))
-        for kind, _ in kinds:
-            ok = v.try_cast(kind).isNotNull()
-            if kind in ("date", "timestamp"):
-                ok = ok & v.rlike(r"^\d{4}-\d{2}-\d{2}" + ("$" if kind == "date" else ""))
-            aggs.append(F.count_if(filled & ~ok).alias(f"{i}_{kind}"))
-    row = sample.agg(*aggs).first()
+        aggs += [F.count(v).alias(f"{i}_n")] if kinds else []
+        aggs += [F.count_if(v.isNotNull() & F.when(v.rlike(start), v.try_cast(kind)).isNull()).alias(f"{i}_{kind}") for kind, _, start in kinds]
+    row = rows.agg(*aggs).first() if aggs else None
+    return [(row[f"{i}_n"], [row[f"{i}_{k[0]}"] for k in kinds]) if kinds else (0, []) for i, kinds in enumerate(tried)]
+
+
+def infer_types(sample: DataFrame) -> T.StructType:
+    """Types of an all-text table: every filled value of all rows must parse, else the column stays text.
+
+    A few rows rule types out; those that are left are tried on all rows.
+    """
+    columns = sample.columns
+    first = _failing(sample.limit(LOOK), [list(KINDS)] * len(columns))
+    left = [[k for k, bad in zip(KINDS, failed, strict=True) if not bad] for _, failed in first]
     fields = []
-    for i, c in enumerate(sample.columns):
-        dtype = next((t for kind, t in kinds if row[f"{i}_n"] and row[f"{i}_{kind}"] == 0), T.StringType())
+    for c, kinds, (filled, failed) in zip(columns, left, _failing(sample, left), strict=True):
+        dtype = next((k[1] for k, bad in zip(kinds, failed, strict=True) if filled and not bad), T.StringType())
         fields.append(T.StructField(c, dtype))
     return T.StructType(fields)
 
