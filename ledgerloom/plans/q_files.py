@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,14 +18,25 @@ from .registry import query
 from .sheets import ACCOUNTS, frame, table
 
 
+# What a written file is meant to hold.
+FILE_BYTES = 1 << 25
+
+
 def scratch(spark) -> str:
     """A new folder next to the session's checkpoints, which every executor can reach."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
 def _save(df, folder: str, key: str, parts: int = 4, sep: str = ",") -> str:
-    """Write CSV files whose content depends only on the data, so that two writes give equal files."""
-    df.repartition(parts, key).sortWithinPartitions(key).write.options(**sinks.CSV_OPTIONS).option("sep", sep).mode("overwrite").csv(folder)
+    """Write CSV files whose content depends only on the data, so that two writes give equal files.
+
+    Tables of more than ``parts`` times ``FILE_BYTES`` are written to more files, so that no task grows with the table.
+    """
+    texts = [F.col(f.name) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    rest = F.lit(12 * (len(df.columns) - len(texts)))
+    width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts], rest)
+    size = df.agg(F.sum(width)).first()[0] or 0
+    df.repartition(max(parts, -(-size // FILE_BYTES)), key).sortWithinPartitions(key).write.options(**sinks.CSV_OPTIONS).option("sep", sep).mode("overwrite").csv(folder)
     return folder
 
 
