@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.text import ngrams, quoted, soundex_code, tokens
-from ..session import stable
+from ..session import stable, written
 from .ordering import spread
 
 # How far the parts of the combined score are scaled down.
@@ -436,6 +438,39 @@ def _wide_bits(grams: str) -> list[Column]:
     return [spots.alias("spots"), *[word(i).alias(b) for i, b in enumerate(_MAPS)]]
 
 
+#: Most grams of which every task knows the frequency.
+KNOWN = 1 << 17
+
+
+def _prefix(sig: DataFrame, known, share: float) -> DataFrame:
+    """The grams of a set by which a match is found, one row each: its rarest, with place ``r`` and frequency ``f``.
+
+    Any order of grams will do, if it is the same for all sets: those that are not
+    among the ``KNOWN`` most frequent ones stand first, so no set is shuffled.
+    """
+    kept = ["size", *_MAPS]
+
+    def run(batches):
+        grams, counts = known.value
+        least = int(counts.min()) if len(counts) else 1
+        for batch in batches:
+            sets = batch.column("s")
+            lengths, g = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), sets.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            at = np.minimum(np.searchsorted(grams, g), max(len(grams) - 1, 0))
+            f = np.where(grams[at] == g, counts[at], least) if len(grams) else np.ones(len(g), np.int64)
+            order = np.lexsort((g, f, grams[at] == g, row)) if len(grams) else np.zeros(0, np.int64)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+            use = place <= (lengths - np.ceil(lengths * share - 1e-9) + 1)[row]
+            of, chosen = pa.array(row[use]), order[use]
+            columns = [batch.column(c).take(of) for c in ("a", "b", *kept)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(g[chosen]), pa.array(place[use]), pa.array(f[chosen])], names=["a", "b", *kept, "g", "r", "f"])
+
+    flat = sig.select("k.a", "k.b", *kept, "s")
+    kinds = "a long, b long, size int, " + ", ".join(f"{m} long" for m in _MAPS) + ", g long, r long, f long"
+    return flat.mapInArrow(run, kinds).select(F.struct("a", "b").alias("k"), *kept, "g", "r", "f")
+
+
 def _set_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, to_set, threshold: float) -> DataFrame:
     """Pairs of values whose gram sets have Jaccard similarity of at least ``threshold`` percent.
 
@@ -447,35 +482,42 @@ def _set_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str,
     """
     _check(threshold)
     share = threshold / 100.0
+    own = left is right and left_col == right_col
+
     def signed(df: DataFrame, column: str) -> DataFrame:
         spots, *maps = _wide_bits("s")
-        values = distinct_values(df, column).withColumn("s", to_set(F.col("v")))
-        return stable(values.select("*", F.size("s").alias("size"), spots).select("k", "v", "n", "s", "size", *maps))
+        hashed = F.array_distinct(F.transform(to_set(F.col("v")), lambda g: F.xxhash64(g)))
+        values = distinct_values(df, column).withColumn("s", hashed)
+        return written(values.select("*", F.size("s").alias("size"), spots).select("k", "v", "n", "s", "size", *maps))
 
     # Each side is read several times, so it is written once; equal sides are one table.
     sides = [signed(left, left_col)]
-    sides.append(sides[0] if left is right and left_col == right_col else signed(right, right_col))
-    sets = [s.select("k", F.col("s").alias("grams"), "size", *_MAPS) for s in sides]
-    frequency = _frequency(sets[0], sets[1], "grams")
-    prefix = [
-        _ranked(s, "grams", frequency, ["size", *_MAPS]).filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1)
-        for s in sets
-    ]
+    sides.append(sides[0] if own else signed(right, right_col))
+    frequency = _frequency(sides[0], sides[1], "s").orderBy(F.desc("f"), "g").limit(KNOWN).toPandas().sort_values("g")
+    known = left.sparkSession.sparkContext.broadcast((frequency["g"].to_numpy("int64"), frequency["f"].to_numpy("int64")))
+    prefix = [_prefix(s, known, share) for s in sides]
     a, b = F.col("l.size"), F.col("r.size")
     need = F.ceil((a + b) * (share / (1 + share)) - 1e-9)
     left_over = F.least(a - F.col("l.r") + 1, b - F.col("r.r") + 1)
     lost_l, lost_r = (reduce(lambda x, y: x + y, side) for side in zip(*[_lost(m) for m in _MAPS]))
-    fits = (F.least(a, b) >= F.greatest(a, b) * share - 1e-9) & (left_over >= need) & (lost_l <= a - need) & (lost_r <= b - need)
+    once = F.col("l.k") < F.col("r.k") if own else F.lit(True)
+    fits = once & (F.least(a, b) >= F.greatest(a, b) * share - 1e-9) & (left_over >= need) & (lost_l <= a - need) & (lost_r <= b - need)
     pairs = _meet(prefix[0], prefix[1], fits).distinct()
-    empty = [s.filter("size = 0").select("k", F.lit("").alias("g")) for s in sets]
-    pairs = pairs.unionAll(_meet(empty[0], empty[1], F.lit(True)))
-    l = sides[0].select(F.col("k").alias("kl"), F.col("v").alias("vl"), F.col("n").alias("nl"), F.col("s").alias("sl"))
-    r = sides[1].select(F.col("k").alias("kr"), F.col("v").alias("vr"), F.col("n").alias("nr"), F.col("s").alias("sr"))
+    empty = [s.filter("size = 0").select("k", F.lit("").alias("g")) for s in sides]
+    pairs = pairs.unionAll(_meet(empty[0], empty[1], once))
+    # Sets, and then texts, travel with pairs of different values only, once for both orders.
+    l, r = (s.select(F.col("k").alias(f"k{x}"), F.col("s").alias(f"s{x}")) for s, x in zip(sides, "lr"))
     both = F.size(F.array_intersect("sl", "sr"))
     either = F.size("sl") + F.size("sr") - both
     score = F.when(either == 0, F.lit(100.0)).otherwise(100.0 * both / F.greatest(either, F.lit(1)))
-    scored = pairs.join(l, "kl").join(r, "kr").withColumn("score", score)
-    return _named(scored.filter(F.col("score") >= threshold))
+    scored = pairs.join(l, "kl").join(r, "kr").select("kl", "kr", score.alias("score")).filter(F.col("score") >= threshold)
+    l, r = (s.select(F.col("k").alias(f"k{x}"), F.col("v").alias(f"v{x}"), F.col("n").alias(f"n{x}")) for s, x in zip(sides, "lr"))
+    found = scored.join(l, "kl").join(r, "kr").select("vl", "vr", "nl", "nr", "score")
+    if own:
+        turned = F.explode(F.array(F.struct("vl", "vr", "nl", "nr"), F.struct(F.col("vr").alias("vl"), F.col("vl").alias("vr"), F.col("nr").alias("nl"), F.col("nl").alias("nr"))))
+        found = found.select(turned.alias("p"), "score").select("p.*", "score")
+        found = found.unionByName(sides[0].select(F.col("v").alias("vl"), F.col("v").alias("vr"), F.col("n").alias("nl"), F.col("n").alias("nr"), F.lit(100.0).alias("score")))
+    return _named(found)
 
 
 def jaccard_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, threshold: float = 50.0) -> DataFrame:
