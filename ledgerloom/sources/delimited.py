@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,10 +23,17 @@ def separator(path: str) -> str:
 
 # Standard quoting: a quote inside a quoted cell is doubled, and a cell may hold line breaks.
 QUOTING = {"quote": '"', "escape": '"'}
+# What stands for a cell with nothing in it, not even quotes: no cell holds this, so an empty text in quotes stays one.
+NOTHING = {"nullValue": uuid.uuid4().hex, "emptyValue": ""}
 
 
 def _options(reader, sep: str, multi_line: bool = True):
-    return reader.options(header=True, sep=sep, mode="PERMISSIVE", multiLine=multi_line, **QUOTING)
+    return reader.options(header=True, sep=sep, mode="PERMISSIVE", multiLine=multi_line, **QUOTING, **NOTHING)
+
+
+def _filled(name: str) -> Column:
+    """A cell's text, or null where it is empty, in quotes or not: such a cell has no type."""
+    return F.nullif(F.col(quoted(name)), F.lit(""))
 
 
 # Rows that are looked at first: one value that does not parse rules a type out.
@@ -40,7 +49,7 @@ def _failing(rows: DataFrame, tried: list[list[tuple]]) -> list[tuple]:
     """For each column the number of filled cells, and of those that each type tried does not fit."""
     aggs = []
     for i, (c, kinds) in enumerate(zip(rows.columns, tried, strict=True)):
-        v = F.col(quoted(c))
+        v = _filled(c)
         aggs += [F.count(v).alias(f"{i}_n")] if kinds else []
         aggs += [F.count_if(v.isNotNull() & F.when(v.rlike(start), v.try_cast(kind)).isNull()).alias(f"{i}_{kind}") for kind, _, start in kinds]
     row = rows.agg(*aggs).first() if aggs else None
@@ -73,15 +82,17 @@ def read_delimited(
 
     A column's type is one that every filled cell of all rows has, found by one
     aggregate; headers are normalised. With a ``schema`` of one's own, cells that
-    do not fit become null; ``lost_cells`` counts them. If typing fails, every
-    column is text. Cells may hold line breaks; where none do, ``multi_line=False``
-    lets large files be split.
+    do not fit become null; ``lost_cells`` counts them. If columns can't be told
+    apart, every column is text; a job that fails does not pass for that. A cell
+    without quotes and text is null, ``""`` is an empty text (null in a typed
+    column). Cells may hold line breaks; where none do, ``multi_line=False`` lets
+    large files be split.
     """
     text = _text(spark, path, multi_line)
     if schema is None:
         try:
             schema = infer_types(text)
-        except Exception as error:  # noqa: BLE001 - any failure means untyped text
+        except AnalysisException as error:
             log.warning("typing of %s failed, reading text: %s", path, error)
             schema = text.schema
     typed = [
@@ -97,7 +108,7 @@ def lost_cells(spark: SparkSession, path: str, schema: T.StructType, multi_line:
     text = _text(spark, path, multi_line)
     counts = []
     for name, field in zip(text.columns, schema.fields, strict=True):
-        v = F.col(quoted(name))
+        v = _filled(name)
         counts.append(F.count_if(v.isNotNull() & v.try_cast(field.dataType).isNull()).alias(field.name))
     wide = text.agg(*counts)
     return wide.unpivot([], [quoted(f.name) for f in schema.fields], "column", "lost")
