@@ -423,52 +423,214 @@ def phonetic_join(left: DataFrame, right: DataFrame, left_col: str, right_col: s
 # ---------------------------------------------------------------- set overlap
 
 
-_MAPS = ["b0", "b1", "b2", "b3"]
+#: Most grams of which every task knows the frequency.
+KNOWN = 1 << 17
+#: Leading grams that one cell of the set join is meant for.
+CELL_GRAMS = 1 << 21
 
 
-def _wide_bits(grams: str) -> list[Column]:
-    """256-bit map of a gram set in four numbers."""
-    spots = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(256)).cast("int"))
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+class _Overlap:
+    """What two sets need in common: ``share`` of their union, as bounds on sizes, places and differences."""
 
-    def word(i: int) -> Column:
-        bit = lambda p: F.when(F.floor(p / 64) == i, F.call_function("shiftleft", one, F.pmod(p, F.lit(64)))).otherwise(none)
-        return F.aggregate("spots", none, lambda acc, p: acc.bitwiseOR(bit(p)))
+    def __init__(self, threshold: float):
+        self.share = threshold / 100.0
+        self.width = -np.log(self.share) + 1e-6
 
-    return [spots.alias("spots"), *[word(i).alias(b) for i, b in enumerate(_MAPS)]]
+    def size_class(self, size: np.ndarray) -> np.ndarray:
+        """Sets that match are in one class of sizes or in neighbouring ones."""
+        return np.floor(np.log(np.maximum(size, 1)) / self.width).astype(np.int64)
 
+    def need(self, sizes: np.ndarray) -> np.ndarray:
+        """Least number of common grams, by the sum of both sizes."""
+        return np.ceil(sizes * (self.share / (1 + self.share)) - 1e-9)
 
-#: Most grams of which every task knows the frequency.
-KNOWN = 1 << 17
+    def leading(self, size: np.ndarray) -> np.ndarray:
+        """So many of its rarest grams hold one that a set shares with any match that is not larger."""
+        return (size - np.ceil(size * self.share - 1e-9) + 1).astype(np.int64)
 
+    def first(self, size: np.ndarray) -> np.ndarray:
+        """As ``leading``, with any match that is not smaller."""
+        return (size - self.need(2 * size) + 1).astype(np.int64)
 
-def _prefix(sig: DataFrame, known, share: float) -> DataFrame:
-    """The grams of a set by which a match is found, one row each: its rarest, with place ``r`` and frequency ``f``.
+    def words(self, size_class: np.ndarray) -> np.ndarray:
+        """64-bit words of a sketch: about two to four bits for each gram of the largest sets of a class."""
+        upper = np.exp(np.minimum((size_class + 1) * self.width, 15.0))
+        return (2 ** np.clip(np.ceil(np.log2(upper * 2 / 64)), 2, 10)).astype(np.int64)
+
+
+def _sketch(row: np.ndarray, grams: np.ndarray, words: np.ndarray) -> pa.Array:
+    """For each set a bit map of ``words`` words in which every gram turns one bit.
+
+    Bits in which two maps differ are grams that only one set has, so there are at most as many of them.
+    """
+    start = np.concatenate([[0], np.cumsum(words)])
+    out = np.zeros(start[-1], np.uint64)
+    spot = (grams.view(np.uint64) % (64 * words[row]).astype(np.uint64)).astype(np.int64)
+    np.bitwise_xor.at(out, start[row] + spot // 64, np.uint64(1) << (spot % 64).astype(np.uint64))
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((8 * start).astype(np.int32)), pa.py_buffer(out)])
+
+
+_PACKED = "k struct<a:bigint,b:bigint>, side int, size int, own binary, under binary, g array<int>"
+
+
+def _packed(sets: DataFrame, known, over: _Overlap, side: int) -> DataFrame:
+    """A set's size, its sketches, and the leading grams by which matches are found; copies in a batch are one row.
 
     Any order of grams will do, if it is the same for all sets: those that are not
-    among the ``KNOWN`` most frequent ones stand first, so no set is shuffled.
+    among the ``KNOWN`` most frequent ones stand first, so no set is shuffled. Grams
+    that meet by 32 bits only are told apart when the pair is scored.
     """
-    kept = ["size", *_MAPS]
 
     def run(batches):
         grams, counts = known.value
-        least = int(counts.min()) if len(counts) else 1
         for batch in batches:
+            a, b = (c.to_numpy() for c in batch.column("k").flatten())
+            order = np.lexsort((b, a))
+            batch = batch.take(pa.array(order[np.r_[True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)]])) if len(a) else batch
             sets = batch.column("s")
             lengths, g = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), sets.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(lengths)), lengths)
             at = np.minimum(np.searchsorted(grams, g), max(len(grams) - 1, 0))
-            f = np.where(grams[at] == g, counts[at], least) if len(grams) else np.ones(len(g), np.int64)
-            order = np.lexsort((g, f, grams[at] == g, row)) if len(grams) else np.zeros(0, np.int64)
+            common = grams[at] == g if len(grams) else np.zeros(len(g), bool)
+            order = np.lexsort((g, np.where(common, counts[at], 0) if len(grams) else g, row))
+            place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+            use = np.where(lengths > 0, over.leading(lengths), 0)
+            off = np.concatenate([[0], np.cumsum(use)]).astype(np.int32)
+            classes = over.size_class(lengths)
+            columns = [
+                pa.array(np.full(len(lengths), side, np.int32)), pa.array(lengths.astype(np.int32)), _sketch(row, g, over.words(classes)), _sketch(row, g, over.words(classes - 1)),
+                pa.ListArray.from_arrays(pa.array(off), pa.array(g[order][place <= use[row]].astype(np.int32))),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), *columns], names=["k", "side", "size", "own", "under", "g"])
+
+    return sets.select("k", "s").mapInArrow(run, _PACKED)
+
+
+def _counted(sets: DataFrame) -> DataFrame:
+    """(g, f): in how many rows a gram is; each task counts its batches first."""
+
+    def run(batches):
+        for batch in batches:
+            g, f = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(f, pa.int64())], names=["g", "f"])
+
+    return sets.select("s").mapInArrow(run, "g long, f long").groupBy("g").agg(F.sum("f").alias("f"))
+
+
+_CELLS = "class long, part long, a long, b long, side int, size int, sketch binary, g array<int>, place array<int>"
+
+
+def _cells(packed: DataFrame, over: _Overlap, parts: dict[int, int]) -> DataFrame:
+    """Each set under its own size class, and under the next smaller one to look for matches there; grams are dealt over parts."""
+
+    def run(batches):
+        for batch in batches:
+            size = batch.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
+            lists, keys = batch.column("g"), batch.column("k").flatten()
+            lengths, g = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), lengths)
             place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
-            use = place <= (lengths - np.ceil(lengths * share - 1e-9) + 1)[row]
-            of, chosen = pa.array(row[use]), order[use]
-            columns = [batch.column(c).take(of) for c in ("a", "b", *kept)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(g[chosen]), pa.array(place[use]), pa.array(f[chosen])], names=["a", "b", *kept, "g", "r", "f"])
+            for lower, sketch in ((0, "own"), (1, "under")):
+                cls = over.size_class(size) - lower
+                deal = np.array([parts.get(c, 0) for c in cls.tolist()], np.int64)[row]
+                on = np.flatnonzero(deal)
+                part = (g[on].view(np.uint32).astype(np.int64) * 0x9E3779B1 >> 20) % deal[on]
+                order = np.lexsort((place[on], part, row[on]))
+                on, part = on[order], part[order]
+                begin = np.flatnonzero(np.r_[True, (np.diff(row[on]) != 0) | (np.diff(part) != 0)]) if len(on) else on
+                off, of = pa.array(np.r_[begin, len(on)].astype(np.int32)), row[on[begin]]
+                columns = [
+                    pa.array(cls[of]), pa.array(part[begin]), keys[0].take(pa.array(of)), keys[1].take(pa.array(of)), batch.column("side").take(pa.array(of)), batch.column("size").take(pa.array(of)),
+                    batch.column(sketch).take(pa.array(of)), pa.ListArray.from_arrays(off, pa.array(g[on])), pa.ListArray.from_arrays(off, pa.array(place[on].astype(np.int32))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["class", "part", "a", "b", "side", "size", "sketch", "g", "place"])
+
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # By number: the rows are few bytes, but their pairs are the work, so partitions must not be merged by size.
+    return packed.mapInArrow(run, _CELLS).repartition(n, "class", "part").sortWithinPartitions("class", "part")
+
+
+def _same(batches, keys: list[str]):
+    """Rows that stand together by ``keys``, as one table."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        cols = [table[k].to_numpy() for k in keys]
+        cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols], axis=0)) + 1
+        if held and len(table) and any(held[-1][k][0].as_py() != c[0] for k, c in zip(keys, cols)):
+            yield pa.concat_tables(held)
+            held = []
+        for start, end in zip(np.r_[0, cuts], np.r_[cuts, len(table)]):
+            if start:
+                yield pa.concat_tables(held)
+                held = []
+            if end > start:
+                held.append(table.slice(start, end - start))
+    if held:
+        yield pa.concat_tables(held)
+
+
+_AT_ONCE = 1 << 19
+
+
+def _cell_pairs(cell: pa.Table, over: _Overlap, own: bool) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Sets of a cell, and pairs of them that share a leading gram and that no bound refuses."""
+    b, a, side, size = order = [cell[c].to_numpy() for c in ("b", "a", "side", "size")]
+    order = np.lexsort(order)
+    copy = np.all([np.diff(c[order]) == 0 for c in (a, b, side)], axis=0)
+    cell = cell.take(pa.array(order[np.r_[True, ~copy]]))
+    size, side, sketch, lists = cell["size"].to_numpy().astype(np.int64), cell["side"].to_numpy(), cell["sketch"].combine_chunks(), cell["g"].combine_chunks()
+    n = len(size)
+    doc = np.repeat(np.arange(n, dtype=np.int32), lists.value_lengths().to_numpy())
+    _, gram = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    place = cell["place"].combine_chunks().flatten().to_numpy()
+    at = np.frombuffer(sketch.buffers()[1], np.int32)[sketch.offset : sketch.offset + n + 1]
+    bits = np.ascontiguousarray(np.frombuffer(sketch.buffers()[2], np.uint64, (at[-1] - at[0]) // 8, at[0]).reshape(n, -1).T)
+    # The smaller set, or the one that stands first, is found by the larger one through its first grams.
+    first = np.flatnonzero((over.size_class(size) == cell["class"][0].as_py())[doc] & (place <= over.first(size)[doc]))
+    code = gram[first] * n + doc[first]
+    order = np.argsort(code)
+    first, code = first[order], code[order]
+    least = np.searchsorted(size, np.ceil(size * over.share - 1e-9))
+    low, high = np.searchsorted(code, gram * n + least[doc]), np.searchsorted(code, gram * n + doc)
+    many = np.maximum(high - low, 0)
+    ends, found, start = np.cumsum(many), [], 0
+    while start < len(many):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + _AT_ONCE, "right")))
+        each = many[start:stop]
+        larger = np.repeat(np.arange(start, stop), each)
+        smaller = first[np.repeat(low[start:stop] - (ends[start:stop] - each - done), each) + np.arange(len(larger))]
+        x, y = doc[smaller], doc[larger]
+        need = over.need(size[x] + size[y])
+        keep = np.minimum(size[x] - place[smaller], size[y] - place[larger]) + 1 >= need
+        if not own:
+            keep &= side[x] != side[y]
+        x, y, most = x[keep], y[keep], (size[x] + size[y] - 2 * need)[keep]
+        differ = np.zeros(len(x), np.int64)
+        for word in bits:
+            differ += np.bitwise_count(word[x] ^ word[y])
+            keep = differ <= most
+            x, y, most, differ = x[keep], y[keep], most[keep], differ[keep]
+        found.append(np.unique(x.astype(np.int64) * n + y))
+        start = stop
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return cell, pairs // n, pairs % n
+
+
+def _set_pairs(cells: DataFrame, over: _Overlap, own: bool) -> DataFrame:
+    """(kl, kr): pairs of keys among which all matching sets are, each once, the smaller key on the left when ``own``."""
+
+    def run(batches):
+        for cell in _same(batches, ["class", "part"]):
+            cell, x, y = _cell_pairs(cell, over, own)
+            a, b, side = (cell[c].to_numpy() for c in ("a", "b", "side"))
+            turn = (a[x] > a[y]) | ((a[x] == a[y]) & (b[x] > b[y])) if own else side[x] > side[y]
+            x, y = np.where(turn, y, x), np.where(turn, x, y)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a[x], b[x], a[y], b[y])], names=["al", "bl", "ar", "br"])
 
-    flat = sig.select("k.a", "k.b", *kept, "s")
-    kinds = "a long, b long, size int, " + ", ".join(f"{m} long" for m in _MAPS) + ", g long, r long, f long"
-    return flat.mapInArrow(run, kinds).select(F.struct("a", "b").alias("k"), *kept, "g", "r", "f")
+    pairs = cells.mapInArrow(run, "al long, bl long, ar long, br long").distinct()
+    return pairs.select(F.struct(F.col("al").alias("a"), F.col("bl").alias("b")).alias("kl"), F.struct(F.col("ar").alias("a"), F.col("br").alias("b")).alias("kr"))
 
 
 def _set_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, to_set, threshold: float) -> DataFrame:
@@ -476,47 +638,51 @@ def _set_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str,
 
     With t = threshold / 100, a match of sizes a and b shares at least
     t / (1 + t) (a + b) grams. So it shares one of the ``a - ceil(t a) + 1`` rarest
-    grams; at the first such gram the grams that remain on both sides must still
-    reach that number; and no more bits of the maps may differ than grams can.
-    Each test is a bound, so no match is refused. Empty sets equal each other.
+    grams of the larger set with fewer of the smaller one; at the first such gram the
+    grams that remain on both sides must still reach that number; and no more bits of
+    the sketches may differ than grams can. Each test is a bound, so no match is
+    refused. Empty sets equal each other. Sets meet as leading grams and sketches,
+    a row for each part of the grams of a size class; texts travel once to their key
+    and once to each pair that the bounds leave.
     """
     _check(threshold)
-    share = threshold / 100.0
+    over = _Overlap(threshold)
     own = left is right and left_col == right_col
+    grams = lambda v: F.array_distinct(F.transform(to_set(v), lambda g: F.xxhash64(g)))
 
-    def signed(df: DataFrame, column: str) -> DataFrame:
-        spots, *maps = _wide_bits("s")
-        hashed = F.array_distinct(F.transform(to_set(F.col("v")), lambda g: F.xxhash64(g)))
-        values = distinct_values(df, column).withColumn("s", hashed)
-        return written(values.select("*", F.size("s").alias("size"), spots).select("k", "v", "n", "s", "size", *maps))
+    def keyed(df: DataFrame, column: str) -> DataFrame:
+        values = df.select(F.col(quoted(column)).cast("string").alias("v")).filter("v is not null")
+        return values.select(_key(F.col("v")).alias("k"), "v")
 
-    # Each side is read several times, so it is written once; equal sides are one table.
-    sides = [signed(left, left_col)]
-    sides.append(sides[0] if own else signed(right, right_col))
-    frequency = _frequency(sides[0], sides[1], "s").orderBy(F.desc("f"), "g").limit(KNOWN).toPandas().sort_values("g")
+    rows = [keyed(left, left_col)]
+    rows += [] if own else [keyed(right, right_col)]
+    sets = [r.select("k", grams(F.col("v")).alias("s")) for r in rows]
+    # The order of grams follows from their frequency among all rows; it decides what is compared, not what is found.
+    frequency = _counted(reduce(DataFrame.unionAll, sets)).orderBy(F.desc("f"), "g").limit(KNOWN).toPandas().sort_values("g")
     known = left.sparkSession.sparkContext.broadcast((frequency["g"].to_numpy("int64"), frequency["f"].to_numpy("int64")))
-    prefix = [_prefix(s, known, share) for s in sides]
-    a, b = F.col("l.size"), F.col("r.size")
-    need = F.ceil((a + b) * (share / (1 + share)) - 1e-9)
-    left_over = F.least(a - F.col("l.r") + 1, b - F.col("r.r") + 1)
-    lost_l, lost_r = (reduce(lambda x, y: x + y, side) for side in zip(*[_lost(m) for m in _MAPS]))
-    once = F.col("l.k") < F.col("r.k") if own else F.lit(True)
-    fits = once & (F.least(a, b) >= F.greatest(a, b) * share - 1e-9) & (left_over >= need) & (lost_l <= a - need) & (lost_r <= b - need)
-    pairs = _meet(prefix[0], prefix[1], fits).distinct()
-    empty = [s.filter("size = 0").select("k", F.lit("").alias("g")) for s in sides]
-    pairs = pairs.unionAll(_meet(empty[0], empty[1], once))
-    # Sets, and then texts, travel with pairs of different values only, once for both orders.
-    l, r = (s.select(F.col("k").alias(f"k{x}"), F.col("s").alias(f"s{x}")) for s, x in zip(sides, "lr"))
+    packed = written(reduce(DataFrame.unionAll, [_packed(s, known, over, side) for side, s in enumerate(sets)]))
+    counted = packed.filter("size > 0").groupBy(F.floor(F.log("size") / float(over.width)).alias("c")).agg(F.sum(F.size("g")).alias("n")).collect()
+    held = {row.c: row.n for row in counted}
+    parts = {c: 1 + (n + held.get(c + 1, 0)) // CELL_GRAMS for c, n in held.items()}
+    # A logarithm may round apart at the edge of a class, so neighbours of a class that holds sets are there too.
+    parts |= {c: 1 for near in list(held) for c in (near - 1, near + 1) if c not in parts}
+    pairs = _set_pairs(_cells(packed.filter("size > 0"), over, parts), over, own)
+    empty = [packed.filter(f"size = 0 and side = {side}").select("k", F.col("size").alias("g")).distinct() for side in (0, 0 if own else 1)]
+    pairs = pairs.unionAll(_meet(empty[0], empty[1], F.col("l.k") < F.col("r.k") if own else F.lit(True)))
+    values = [r.groupBy("k").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n")) for r in rows]
+    l, r = values[0].alias("l"), values[-1].alias("r")
+    met = pairs.join(l, F.col("kl") == F.col("l.k")).select("kr", F.col("l.v").alias("vl"), F.col("l.n").alias("nl"))
+    met = met.join(r, F.col("kr") == F.col("r.k")).select("vl", F.col("r.v").alias("vr"), "nl", F.col("r.n").alias("nr"))
+    met = met.withColumns({"sl": grams(F.col("vl")), "sr": grams(F.col("vr"))})
     both = F.size(F.array_intersect("sl", "sr"))
     either = F.size("sl") + F.size("sr") - both
     score = F.when(either == 0, F.lit(100.0)).otherwise(100.0 * both / F.greatest(either, F.lit(1)))
-    scored = pairs.join(l, "kl").join(r, "kr").select("kl", "kr", score.alias("score")).filter(F.col("score") >= threshold)
-    l, r = (s.select(F.col("k").alias(f"k{x}"), F.col("v").alias(f"v{x}"), F.col("n").alias(f"n{x}")) for s, x in zip(sides, "lr"))
-    found = scored.join(l, "kl").join(r, "kr").select("vl", "vr", "nl", "nr", "score")
+    # Exploded, so that the texts are not split once more for a filter inside the join.
+    found = met.select("vl", "vr", "nl", "nr", F.explode(F.array(score)).alias("score")).filter(F.col("score") >= threshold)
     if own:
         turned = F.explode(F.array(F.struct("vl", "vr", "nl", "nr"), F.struct(F.col("vr").alias("vl"), F.col("vl").alias("vr"), F.col("nr").alias("nl"), F.col("nl").alias("nr"))))
         found = found.select(turned.alias("p"), "score").select("p.*", "score")
-        found = found.unionByName(sides[0].select(F.col("v").alias("vl"), F.col("v").alias("vr"), F.col("n").alias("nl"), F.col("n").alias("nr"), F.lit(100.0).alias("score")))
+        found = found.unionByName(values[0].select(F.col("v").alias("vl"), F.col("v").alias("vr"), F.col("n").alias("nl"), F.col("n").alias("nr"), F.lit(100.0).alias("score")))
     return _named(found)
 
 
